@@ -27,7 +27,7 @@ def label(url: str) -> str:
 # -- catalogue ------------------------------------------------------------------
 
 _OCTAL = (
-    "list_sum(list_transform(range(length(o)), i -> CAST(substr(o, CAST(i AS INT) + 1, 1) AS BIGINT)"
+    "list_sum(list_transform(range(length(o)), lambda i: CAST(substr(o, CAST(i AS INT) + 1, 1) AS BIGINT)"
     " * CAST(pow(8, length(o) - i - 1) AS BIGINT)))"
 )
 

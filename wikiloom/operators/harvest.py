@@ -176,7 +176,10 @@ def dump_rows(bodies: DataFrame) -> DataFrame:
 
 def _fields(line: Column) -> Column:
     """Fields of one CSV line; doubled quotes stand for one."""
-    raw = F.regexp_extract_all(line, F.lit(r"""(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)"""), F.lit(1))
+    # With a comma before each field, no match is empty.
+    raw = F.regexp_extract_all(
+        F.concat(F.lit(","), line), F.lit(r""",("(?:[^"]++|"")*+"|[^,]*+)"""), F.lit(1)
+    )
     return F.transform(
         raw,
         lambda f: F.when(
