@@ -21,7 +21,7 @@ from wikiloom.operators import (
     sessions,
 )
 from wikiloom.plans import add_source, answer
-from wikiloom.session import scratch_path
+from wikiloom.session import scratch_path, staged
 from wikiloom.streaming import answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ class Inputs:
     @property
     def every_request(self) -> DataFrame:
         endpoint = F.concat(F.lit("https://"), "host", F.lit("/w/api.php"))
-        return self.requests.select(endpoint.alias("endpoint"), "query")
+        return staged(self.requests.select(endpoint.alias("endpoint"), "query"), "requests")
 
     @property
     def languages(self) -> DataFrame:
@@ -67,7 +67,7 @@ class Inputs:
     @property
     def looked_up(self) -> DataFrame:
         routed = routing.route(self.messages)
-        return answer.looked_up_requests(routed, self.endpoints, routing.RESOLVERS)
+        return answer.looked_up_requests(routed, self.endpoints)
 
 
 def query(job: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -277,30 +277,33 @@ def resolver_dispatch(fx: Inputs) -> DataFrame:
 @query
 def search_top1(fx: Inputs) -> DataFrame:
     articles = fx.articles.withColumnRenamed("abstract_text", "lead")
-    return search.top1(fx.requests, articles)
+    return search.top1(staged(fx.requests, "requests"), articles)
+
+
+def _resolved(fx: Inputs, resolver: resolvers.Resolver) -> DataFrame:
+    requests = fx.every_request.withColumn("resolver", F.lit("only"))
+    return resolvers.resolve(requests, fx.articles, {"only": resolver}).drop("resolver")
 
 
 @query
 def resolve_generic(fx: Inputs) -> DataFrame:
-    return resolvers.resolve_generic(fx.every_request, fx.articles)
+    return _resolved(fx, resolvers.GENERIC)
 
 
 @query
 def resolve_wikia(fx: Inputs) -> DataFrame:
-    return resolvers.resolve_wikia(fx.every_request, fx.articles)
+    return _resolved(fx, resolvers.WIKIA)
 
 
 @query
 def resolve_wikia_reference(fx: Inputs) -> DataFrame:
-    return resolvers.resolve_wikia(fx.every_request, fx.articles, mode="reference")
+    return _resolved(fx, resolvers.WIKIA_REFERENCE)
 
 
 @query
 def request_plan(fx: Inputs) -> DataFrame:
     requests = fx.looked_up
-    hits = resolvers.resolve_all(requests, fx.articles, routing.RESOLVERS)
-    asked = requests.select("endpoint", "query", "resolver").distinct()
-    return routing.request_plan(asked, hits.join(asked, ["endpoint", "query"]))
+    return routing.request_plan(requests, resolvers.resolve(requests, fx.articles))
 
 
 @query

@@ -7,10 +7,16 @@ from pyspark.sql import Column, functions as F
 RGB_MASK = 0xFFFFFF
 
 
+_UP_TO_SPACE = "".join(map(chr, range(0x21)))
+
+
 def normalized(text: Column) -> Column:
     """Trim every character up to U+0020 and collapse runs of spaces; tabs inside stay."""
-    trimmed = F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.regexp_replace(trimmed, " {2,}", " ")
+    trimmed = F.trim(text, F.lit(_UP_TO_SPACE))
+    # Most texts have no run of spaces, and looking for one is cheaper than a pattern.
+    return F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, " +", " ")).otherwise(
+        trimmed
+    )
 
 
 def space_words(text: Column) -> Column:

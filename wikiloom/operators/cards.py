@@ -22,7 +22,7 @@ def answers_of(looked_up: DataFrame, cards: DataFrame) -> DataFrame:
         .when(F.col("article_id").isNull(), "no_result")
         .otherwise("result")
     )
-    return looked_up.join(cards, ["endpoint", "query"], "left").select(
+    return looked_up.join(cards, ["endpoint", "query", "resolver"], "left").select(
         "wiki_key", "query", "endpoint", "color", "article_id", *CARD, outcome.alias("answer")
     )
 

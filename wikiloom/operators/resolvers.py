@@ -1,14 +1,17 @@
 """Answers from article tables: one card per distinct (endpoint, query).
 
-Each resolver is a function ``(requests, articles) -> cards`` over the requests of
-its endpoints; ``RESOLVERS`` maps ids to them. ``requests`` has ``endpoint, query``.
-``articles`` has ``article_id, host, page_url, title, section_text, abstract_text,
-ns, quality, thumb_url, thumb_w, thumb_h``.
+A resolver says which articles its search looks at and what it shows as summary;
+``REGISTRY`` maps ids to resolvers. All of them share one search over the articles.
+``articles`` has ``article_id, host, page_url, title, section_text, abstract_text, ns,
+quality, thumb_url, thumb_w, thumb_h``.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,64 +28,69 @@ SEARCH_NAMESPACES = (0, 14)
 SEARCH_QUALITY = 1
 
 
-def _cards(requests: DataFrame, articles: DataFrame, summary: Column) -> DataFrame:
-    """Search, then fetch the winning pages once each."""
-    asked = requests.select("endpoint", "query", host_of(F.col("endpoint")).alias("host")).distinct()
-    searchable = articles.select(
-        "host", "article_id", "title", F.col("abstract_text").alias("lead")
-    )
-    hits = search.top1(asked, searchable).select("host", "query", "article_id")
-    pages = articles.select(
-        "host",
-        "article_id",
-        "title",
-        summary.alias("summary"),
-        F.coalesce("thumb_url", F.lit("")).alias("thumb_url"),
-        "page_url",
-        "thumb_w",
-        "thumb_h",
-    )
-    return (
-        asked.join(hits, ["host", "query"])
-        .join(pages, ["host", "article_id"])
-        .select("endpoint", "query", "article_id", *CARD)
-    )
+@dataclass(frozen=True)
+class Resolver:
+    """Two expressions over the articles."""
 
+    searched: Callable[[], Column]
+    summary: Callable[[], Column]
 
-def resolve_generic(requests: DataFrame, articles: DataFrame) -> DataFrame:
-    """The best hit's extract, with runs of four dots as one."""
-    extract = F.replace(
-        F.left(F.col("abstract_text"), F.lit(EXTRACT_LENGTH)), F.lit("...."), F.lit(".")
-    )
-    return _cards(requests, articles, F.coalesce(extract, F.lit("")))
 
+def _extract() -> Column:
+    """The lead text, with runs of four dots as one."""
+    lead = F.left(F.coalesce("abstract_text", F.lit("")), F.lit(EXTRACT_LENGTH))
+    return F.replace(lead, F.lit("...."), F.lit("."))
 
-def resolve_wikia(requests: DataFrame, articles: DataFrame, mode: str = "default") -> DataFrame:
-    """The first text of the best hit, or else its abstract cut to whole sentences.
 
-    ``mode="reference"`` cuts before the last sentence instead of behind it.
-    """
-    abstract = F.left(F.col("abstract_text"), F.lit(ABSTRACT_LENGTH))
-    trimmed = before_last_sentence(abstract) if mode == "reference" else whole_sentences(abstract)
-    summary = F.when(F.coalesce("section_text", F.lit("")) != "", F.col("section_text")).otherwise(
-        trimmed
-    )
-    eligible = articles.filter(
-        F.col("ns").isin(*SEARCH_NAMESPACES) & (F.col("quality") >= SEARCH_QUALITY)
-    )
-    return _cards(requests, eligible, summary)
+def _first_text(trim: Callable[[Column], Column]) -> Column:
+    """The first text of the first section, or else the trimmed abstract."""
+    section = F.coalesce("section_text", F.lit(""))
+    abstract = F.left("abstract_text", F.lit(ABSTRACT_LENGTH))
+    return F.when(section != "", section).otherwise(trim(abstract))
+
+
+def _quality_articles() -> Column:
+    return F.col("ns").isin(*SEARCH_NAMESPACES) & (F.col("quality") >= SEARCH_QUALITY)
 
 
-RESOLVERS = {
-    "generic": resolve_generic,
-    "wikia": resolve_wikia,
-    "wikia_reference": partial(resolve_wikia, mode="reference"),
-}
+GENERIC = Resolver(lambda: F.lit(True), _extract)
+WIKIA = Resolver(_quality_articles, lambda: _first_text(whole_sentences))
+# Cuts an abstract before its last sentence instead of behind it.
+WIKIA_REFERENCE = Resolver(_quality_articles, lambda: _first_text(before_last_sentence))
 
+# Ids of the resolvers, in order of registration.
+REGISTRY: Mapping[str, Resolver] = {"generic": GENERIC, "wikia": WIKIA}
 
-def resolve_all(requests: DataFrame, articles: DataFrame, resolvers: list[str]) -> DataFrame:
-    """Cards of all requests; ``requests`` also has ``resolver``."""
-    parts = [
-        RESOLVERS[name](requests.filter(F.col("resolver") == name), articles) for name in resolvers
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+def resolve(
+    requests: DataFrame, articles: DataFrame, registry: Mapping[str, Resolver] = REGISTRY
+) -> DataFrame:
+    """Search for each request, then fetch the winning pages.
+
+    ``requests`` has ``endpoint, query, resolver`` and should be a stored table.
+    """
+    asked = (
+        requests.filter(F.col("resolver").isin(*registry))
+        .select("endpoint", "query", "resolver", host_of(F.col("endpoint")).alias("host"))
+        .distinct()
+    )
+    searched = reduce(
+        or_, [(F.col("resolver") == name) & r.searched() for name, r in registry.items()]
+    )
+    collections = asked.select("host", "resolver").distinct()
+    searchable = (
+        articles.join(collections, "host")
+        .filter(searched)
+        .select("host", "resolver", "article_id", "title", F.col("abstract_text").alias("lead"))
+    )
+    hits = search.top1(asked, searchable, keys=["host", "resolver"])
+    summary = F.coalesce(
+        *[F.when(F.col("resolver") == name, r.summary()) for name, r in registry.items()]
+    )
+    return (
+        asked.join(hits, ["host", "resolver", "query"])
+        .join(articles, ["host", "article_id"])
+        .withColumn("summary", summary)
+        .withColumn("thumb_url", F.coalesce("thumb_url", F.lit("")))
+        .select("endpoint", "query", "resolver", "article_id", *CARD)
+    )

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions.text import normalized, space_words
-
-# Ids of the resolvers, in order of registration.
-RESOLVERS = ["generic", "wikia"]
+from wikiloom.operators.resolvers import REGISTRY
 
 DEFAULT_PREFIX = "wiki"
 
@@ -22,19 +20,21 @@ def route(messages: DataFrame, prefix: str = DEFAULT_PREFIX, mode: str = "defaul
     exactly. Any other message is a query, unless its second word is ``help``.
     """
     start = f"{prefix if mode == 'reference' else prefix.lower()} "
-    words = space_words(F.col("content"))
+    for_bot = messages.filter(F.lower("content").startswith(start))
+    # Filters on the route or the words would each repeat the work on the text below
+    # themselves; they do not pass a generator, so the words are made by one.
+    split = for_bot.select("*", F.explode(F.array(space_words(F.col("content")))).alias("words"))
     second = F.lower(F.get(F.col("words"), F.lit(1)))
     kind = (
         F.when(F.col("content") == f"{prefix} help", "help")
         .when(second == "help", "ignored")
         .otherwise("query")
     )
-    return (
-        messages.filter(F.lower("content").startswith(start))
-        .withColumn("words", words)
-        .withColumn("route", kind)
-        .withColumn("wiki_key", second)
-        .withColumn("query", _query(F.col("words")))
+    return split.select(
+        "*",
+        kind.alias("route"),
+        second.alias("wiki_key"),
+        _query(F.col("words")).alias("query"),
     )
 
 
@@ -68,12 +68,12 @@ def with_endpoint(rows: DataFrame, endpoints: DataFrame) -> DataFrame:
     return rows.join(lookup_table(endpoints), "wiki_key", "left")
 
 
-def with_resolver(rows: DataFrame, resolvers: list[str] | None = None) -> DataFrame:
+def with_resolver(rows: DataFrame, resolvers: Iterable[str] = REGISTRY) -> DataFrame:
     """The registered resolver of each looked-up endpoint, or NULL.
 
     The registry is an argument of the job, so membership needs no join.
     """
-    known = F.col("resolverid").isin(*(resolvers if resolvers is not None else RESOLVERS))
+    known = F.col("resolverid").isin(*resolvers)
     return rows.withColumn("resolver", F.when(known, F.col("resolverid")))
 
 

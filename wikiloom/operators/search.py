@@ -1,4 +1,4 @@
-"""Best article per (host, query).
+"""Best article per collection and query, where a collection is the pages of a host.
 
 The ranking is this project's own choice, since a wiki's search engine is out of
 reach: an article is a hit if any query word is in its title or lead text; hits are
@@ -7,20 +7,22 @@ lowest ``article_id``. Words are lower-cased runs of letters and digits.
 
 How the work is kept from growing with articles times queries:
 
-* Articles are cut to the words that some query of their host asks for before they
+* Articles are cut to the words that some query of their collection asks for before they
   are shuffled, and what is shuffled is one short row per article.
-* The best article for one word alone is found once per (host, word) by a partial
+* The best article for one word alone is found once per (collection, word) by a partial
   aggregate, whatever the number of queries with that word.
 * An article with two or more words of a query has at least one word besides the
   query's most frequent one. So only the rarer words of a query are matched against
   articles one by one; the most frequent word never is. What is left are articles
-  with that one word alone, and the best of them is the one found per (host, word).
+  with that one word alone, and the best of them is the one found per (collection, word).
 * Scores are computed from the row at hand and pre-aggregated to one row per
   (query, score) in each task, on numbers only, before the last shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wikiloom.functions.text import word_set
@@ -45,34 +47,31 @@ def _placed_words(title: Column, lead: Column) -> Column:
     )
 
 
-def _asked(requests: DataFrame) -> DataFrame:
-    """Distinct questions per host, compared in lower case, with their words."""
+def _asked(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct questions per collection, compared in lower case, with their words."""
     return (
-        requests.select("host", F.lower("query").alias("question"))
+        requests.select(*keys, F.lower("query").alias("question"))
         .distinct()
         .withColumn("terms", word_set(F.col("question")))
         .filter(F.size("terms") > 0)
     )
 
 
-def _matched_articles(articles: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _matched_articles(articles: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
     """One row per article with a word asked for: the words in its title and lead."""
-    hosts = vocabulary.select("host").distinct()
     words = (
-        articles.join(hosts, "host", "left_semi")
-        .withColumn("title_words", word_set(F.col("title")))
+        articles.withColumn("title_words", word_set(F.col("title")))
         .withColumn("lead_words", word_set(F.col("lead")))
         .select(
-            "host",
+            *keys,
             "article_id",
             F.lower("title").alias("title_key"),
-            F.explode(_placed_words(F.col("title_words"), F.col("lead_words"))).alias("word"),
+            F.inline(_placed_words(F.col("title_words"), F.col("lead_words"))),
         )
-        .select("host", "article_id", "title_key", "word.term", "word.place")
     )
     return (
-        words.join(vocabulary, ["host", "term"])
-        .groupBy("article_id", "host", "title_key")
+        words.join(vocabulary, [*keys, "term"])
+        .groupBy("article_id", *keys, "title_key")
         .agg(F.collect_list(F.struct("term", "place")).alias("matched"))
     )
 
@@ -85,25 +84,27 @@ def _shared(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(left, right))
 
 
-def top1(requests: DataFrame, articles: DataFrame) -> DataFrame:
+def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
     """Best hit of each request.
 
-    ``requests`` has ``host, query``; ``articles`` has ``host, article_id, title,
-    lead``. Gives ``host, query, article_id, exact_title, title_terms, lead_terms``;
-    requests without a hit have no row.
+    ``requests`` has ``query``, ``articles`` has ``article_id, title, lead``, and both
+    have the ``keys`` of the collection that is searched. Gives the keys and ``query,
+    article_id, exact_title, title_terms, lead_terms``; requests without a hit have no
+    row. The requests are read several times and should be a stored table.
     """
-    asked = _asked(requests)
-    asked_terms = asked.select("host", "question", F.explode("terms").alias("term"))
-    vocabulary = asked_terms.select("host", "term").distinct()
-    matched = staged(_matched_articles(articles, vocabulary), "matched")
+    keys = list(keys)
+    asked = _asked(requests, keys)
+    asked_terms = asked.select(*keys, "question", F.explode("terms").alias("term"))
+    vocabulary = asked_terms.select(*keys, "term").distinct()
+    matched = staged(_matched_articles(articles, vocabulary, keys), "matched")
 
     # Per word: in how many articles, and the best article for it alone.
     def lowest_id(place: int) -> Column:
         return F.min(F.when(F.col("place") == place, F.col("article_id"))).alias(f"id_{place}")
 
     by_term = (
-        matched.select("host", "article_id", F.inline("matched"))
-        .groupBy("host", "term")
+        matched.select(*keys, "article_id", F.inline("matched"))
+        .groupBy(*keys, "term")
         .agg(
             F.count("*").alias("articles"),
             *[lowest_id(p) for p in (_TITLE_AND_LEAD, _TITLE, _LEAD)],
@@ -114,9 +115,9 @@ def top1(requests: DataFrame, articles: DataFrame) -> DataFrame:
         .when(F.col("id_2").isNotNull(), _TITLE)
         .otherwise(_LEAD)
     )
-    found_terms = asked_terms.join(by_term, ["host", "term"])
+    found_terms = asked_terms.join(by_term, [*keys, "term"])
     single = found_terms.select(
-        "host",
+        *keys,
         "question",
         F.lit(0).alias("exact_title"),
         F.when(place >= _TITLE, 1).otherwise(0).alias("title_terms"),
@@ -125,25 +126,24 @@ def top1(requests: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
     # Words to match article by article: all but the most frequent one of a query.
-    frequent_first = Window.partitionBy("host", "question").orderBy(F.desc("articles"), "term")
+    frequent_first = Window.partitionBy(*keys, "question").orderBy(F.desc("articles"), "term")
     rarer = (
-        found_terms.select("host", "question", "term", "articles")
+        found_terms.select(*keys, "question", "term", "articles")
         .withColumn("rank", F.row_number().over(frequent_first))
         .filter("rank > 1")
-        .select("host", "question", "term")
+        .select(*keys, "question", "term", word_set(F.col("question")).alias("terms"))
     )
     scored = (
         matched.select(
-            "host",
+            *keys,
             "article_id",
             _terms_at(F.col("matched"), _TITLE_AND_LEAD, _TITLE).alias("in_title"),
             _terms_at(F.col("matched"), _TITLE_AND_LEAD, _LEAD).alias("in_lead"),
             F.explode("matched.term").alias("term"),
         )
-        .join(rarer, ["host", "term"])
-        .withColumn("terms", word_set(F.col("question")))
+        .join(rarer, [*keys, "term"])
         .select(
-            "host",
+            *keys,
             "question",
             F.lit(0).alias("exact_title"),
             _shared(F.col("terms"), F.col("in_title")).alias("title_terms"),
@@ -154,9 +154,9 @@ def top1(requests: DataFrame, articles: DataFrame) -> DataFrame:
 
     # Exact titles: an article matches at most one question.
     exact = matched.join(
-        asked.withColumn("title_key", F.col("question")), ["host", "title_key"]
+        asked.withColumn("title_key", F.col("question")), [*keys, "title_key"]
     ).select(
-        "host",
+        *keys,
         "question",
         F.lit(1).alias("exact_title"),
         F.size("terms").alias("title_terms"),
@@ -167,20 +167,20 @@ def top1(requests: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
     score = ["exact_title", "title_terms", "lead_terms"]
-    best_first = Window.partitionBy("host", "question").orderBy(*[F.desc(c) for c in score])
+    best_first = Window.partitionBy(*keys, "question").orderBy(*[F.desc(c) for c in score])
     best = (
         single.unionByName(scored)
         .unionByName(exact)
-        .groupBy("host", "question", *score)
+        .groupBy(*keys, "question", *score)
         .agg(F.min("article_id").alias("article_id"))
         .withColumn("rank", F.row_number().over(best_first))
         .filter("rank = 1")
         .drop("rank")
     )
     return (
-        requests.select("host", "query")
+        requests.select(*keys, "query")
         .distinct()
         .withColumn("question", F.lower("query"))
-        .join(best, ["host", "question"])
-        .select("host", "query", "article_id", *score)
+        .join(best, [*keys, "question"])
+        .select(*keys, "query", "article_id", *score)
     )

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.operators import cards, catalog, resolvers, routing
+from wikiloom.operators.resolvers import REGISTRY, Resolver
 from wikiloom.session import staged
 
 
 def looked_up_requests(
-    routed: DataFrame, endpoints: DataFrame, registry: list[str]
+    routed: DataFrame, endpoints: DataFrame, registry: Mapping[str, Resolver] = REGISTRY
 ) -> DataFrame:
+    """Distinct requests with their endpoint and resolver, as a stored table."""
     asked = routing.with_endpoint(routing.requests_of(routed), endpoints)
-    return routing.with_resolver(asked, registry)
+    return staged(routing.with_resolver(asked, registry), "requests")
 
 
 def answer_table(
-    routed: DataFrame, endpoints: DataFrame, articles: DataFrame, registry: list[str]
+    routed: DataFrame,
+    endpoints: DataFrame,
+    articles: DataFrame,
+    registry: Mapping[str, Resolver] = REGISTRY,
 ) -> DataFrame:
     """Everything that depends on the request alone, worked out once per request."""
-    looked_up = staged(looked_up_requests(routed, endpoints, registry), "requests")
-    found = resolvers.resolve_all(looked_up, articles, registry)
-    return cards.answers_of(looked_up, found)
+    looked_up = looked_up_requests(routed, endpoints, registry)
+    return cards.answers_of(looked_up, resolvers.resolve(looked_up, articles, registry))
 
 
 def message_outcomes(
@@ -29,12 +35,11 @@ def message_outcomes(
     endpoints: DataFrame,
     articles: DataFrame,
     prefix: str = routing.DEFAULT_PREFIX,
-    registry: list[str] | None = None,
+    registry: Mapping[str, Resolver] = REGISTRY,
 ) -> DataFrame:
     """One row per query message with outcome and card fields."""
     routed = routing.route(messages, prefix)
-    answers = answer_table(routed, endpoints, articles, registry or routing.RESOLVERS)
-    return cards.outcomes(routed, answers)
+    return cards.outcomes(routed, answer_table(routed, endpoints, articles, registry))
 
 
 def answer_messages(
@@ -42,12 +47,10 @@ def answer_messages(
     raw_catalog: DataFrame,
     articles: DataFrame,
     prefix: str = routing.DEFAULT_PREFIX,
-    registry: list[str] | None = None,
+    registry: Mapping[str, Resolver] = REGISTRY,
 ) -> DataFrame:
     """The whole way from a raw catalogue and messages to one answer per query message."""
-    answered = message_outcomes(
-        messages, catalog.load(raw_catalog), articles, prefix, registry
-    )
+    answered = message_outcomes(messages, catalog.load(raw_catalog), articles, prefix, registry)
     is_result = F.col("outcome") == "result"
     shown = [F.when(is_result, c).alias(name) for name, c in cards.card_columns().items()]
     return answered.select("event_id", "outcome", *shown)
