@@ -36,16 +36,16 @@ def colour_number(literal: Column) -> Column:
     Decimal, ``0x``/``0X``/``#`` hexadecimal or leading-``0`` octal, with an
     optional sign, within 32 bits; the low 24 bits are kept.
     """
-    sign = F.when(literal.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    hexadecimal = F.regexp_extract(literal, "^[+-]?(?:0[xX]|#)([0-9a-fA-F]+)$", 1)
-    octal = F.regexp_extract(literal, "^[+-]?0([0-7]+)$", 1)
-    decimal = F.regexp_extract(literal, "^[+-]?(0|[1-9][0-9]*)$", 1)
+    # No more digits than 32 bits can need, so that no conversion overflows.
+    hexadecimal = F.regexp_extract(literal, "^[+-]?(?:0[xX]|#)0*([0-9a-fA-F]{1,8})$", 1)
+    octal = F.regexp_extract(literal, "^[+-]?0+([0-7]{1,11})$", 1)
+    decimal = F.regexp_extract(literal, "^[+-]?(0|[1-9][0-9]{0,9})$", 1)
     digits = (
         F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10))
         .when(octal != "", F.conv(octal, 8, 10))
         .when(decimal != "", decimal)
-    )
-    number = F.try_multiply(digits.try_cast("bigint"), sign)
+    ).cast("bigint")
+    number = F.when(literal.startswith("-"), -digits).otherwise(digits)
     in_range = number.between(F.lit(-(2**31)), F.lit(2**31 - 1))
     return F.when(in_range, number.bitwiseAND(F.lit(RGB_MASK)).cast("int"))
 

@@ -50,16 +50,16 @@ def card_columns() -> dict[str, Column]:
         F.lit(" | Requested "),
         F.date_format("ts", "MM/dd/yyyy"),
     )
-    has_picture = (F.col("thumb_url") != "") & (F.col("thumb_w") > 0) & (F.col("thumb_h") > 0)
-    wide = F.col("thumb_w") / F.col("thumb_h") > WIDE_PICTURE
+    # A picture without a size could not be read, and is not shown.
+    ratio = F.when(F.col("thumb_url") != "", F.try_divide("thumb_w", "thumb_h"))
     return {
         "title": F.col("title"),
         "title_link": F.col("page_url"),
         "summary": F.col("summary"),
         "color": F.col("color"),
         "footer": footer,
-        "image_url": F.when(has_picture & wide, F.col("thumb_url")),
-        "thumbnail_url": F.when(has_picture & ~wide, F.col("thumb_url")),
+        "image_url": F.when(ratio > WIDE_PICTURE, F.col("thumb_url")),
+        "thumbnail_url": F.when(ratio <= WIDE_PICTURE, F.col("thumb_url")),
     }
 
 

@@ -156,7 +156,7 @@ def dump_rows(bodies: DataFrame) -> DataFrame:
         .withColumn("lines", record)
         .select(
             "source",
-            _fields(F.col("lines")[0]).alias("columns"),
+            _fields(F.get("lines", F.lit(0))).alias("columns"),
             F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias(
                 "line_no", "line"
             ),

@@ -30,7 +30,10 @@ def well_formed_rows(rows: DataFrame) -> DataFrame:
 
 
 def quarantined_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("_corrupt_record").isNotNull()).select("seq", "_corrupt_record")
+    """Short rows with what could be read of them."""
+    return rows.filter(F.col("_corrupt_record").isNotNull()).select(
+        "seq", *CATALOG_COLUMNS, "_corrupt_record"
+    )
 
 
 def write_csv(catalog: DataFrame, path: str, order: list[str]) -> None:
