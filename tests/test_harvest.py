@@ -14,10 +14,10 @@ def hrefs(links):
 
 
 TRICKY = (
-    "<A class='x result-link y' HREF=/one title=\"a > href='no'\">1</A>"
+    "<A class='x Result-Link y' HREF=/one title=\"a > href='no'\">1</A>"
     "<!-- <a class='result-link' href='/comment'> --><script>'<a class=result-link href=/script>'</script>"
     "<div class=result-link data-href='/no'>2</div><abbr href='/abbr'></abbr>"
-    "<a class=\"result-links\" href=\"/other?x=1&amp;copy=2&copy=3&#47;\">3</a><a name=here>4</a>"
+    "<a class=\"result-links\" href=\"/other?x=1&amp;copy=2&copy=3&#47;\">3</a><a name=here>4</a><a title=' href=\"/no\" '>5</a>"
     "<a\nhref = '/three'/>"
 )
 

@@ -27,10 +27,16 @@ _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(?:;|(?![=A-Za-z0-9]))")
 
 
+def _up_to(name: str) -> str:
+    """Pattern of a tag's attributes up to the first of this name."""
+    end = r"(?:[\s=/]|$)"
+    others = rf"(?:[\s/]*+(?!{name}{end})[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+)*+"
+    return rf"(?is)^{others}[\s/]*+{name}(?={end})"
+
+
 def _attribute(attributes: Column, name: str) -> Column:
     """Raw value of one attribute of a tag, '' if it is missing."""
-    others = rf"(?:[\s/]*+(?!{name}[\s=])[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+)*+"
-    found = F.regexp_extract(attributes, rf"(?is)^{others}[\s/]*+{name}\s*+=\s*+({_VALUE})", 1)
+    found = F.regexp_extract(attributes, _up_to(name) + rf"\s*+=\s*+({_VALUE})", 1)
     return F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
@@ -49,11 +55,17 @@ def unescaped(values: pd.Series) -> pd.Series:
 
 
 def has_class(attributes: Column, name: str) -> Column:
-    return F.array_contains(F.split(_attribute(attributes, "class"), r"\s+"), name)
+    """Whether a tag has a class; classes are compared in any case."""
+    return F.array_contains(F.split(F.lower(_attribute(attributes, "class")), r"\s+"), name.lower())
 
 
 def has_attribute(attributes: Column, name: str) -> Column:
-    return attributes.rlike(rf"(?is)(?:^|[\s/\"']){name}(?=[\s=/]|$)")
+    return attributes.rlike(_up_to(name))
+
+
+def mentions(page: Column, text: str) -> Column:
+    """Whether a page can hold an element named by ``text``: a cheap filter before parsing."""
+    return F.contains(F.lower(page), F.lit(text.lower()))
 
 
 def link_target(attributes: Column) -> Column:
@@ -74,7 +86,7 @@ class _PageParser(HTMLParser):
 
     def __init__(self, marker: str | None):
         super().__init__()
-        self.marker = marker
+        self.marker = marker.lower() if marker else None
         self.open: list[tuple[str, _Element | None, int]] = []
         self.found: list[_Element] = []
         self.marks = 0
@@ -83,7 +95,7 @@ class _PageParser(HTMLParser):
         if tag == "a" and any(t == "a" for t, _, _ in self.open):
             self.handle_endtag("a")
         values = {k: v or "" for k, v in reversed(attrs)}
-        marked = self.marker is not None and self.marker in values.get("class", "").split()
+        marked = self.marker is not None and self.marker in values.get("class", "").lower().split()
         mark = self.marks if marked else -1
         self.marks += marked
         element = None
@@ -148,7 +160,7 @@ def _page_rows(
             yield pd.concat([batch.loc[repeated, keys].reset_index(drop=True), found], axis=1)
 
     return (
-        pages.filter(F.contains("html", F.lit(needle)))
+        pages.filter(mentions(F.col("html"), needle))
         .select(*keys, "html")
         .mapInPandas(extract, schema)
     )

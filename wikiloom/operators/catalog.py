@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wikiloom.functions.text import colour_number, derived_colour
 from wikiloom.functions.urls import DISABLED
 from wikiloom.schemas import CATALOG_COLUMNS
+from wikiloom.session import staged
 
 # Fixed value: the mark for a colour to be generated.
 RANDOM_COLOUR = "!random"
@@ -98,7 +99,7 @@ def unknown_endpoints(new: DataFrame, catalog: DataFrame, distinct: bool = False
     The new rows stay a bag; ``distinct=True`` keeps the first of each URL.
     """
     known = catalog.select(F.coalesce("endpoint", F.lit("")).alias("endpoint")).distinct()
-    fresh = new.join(known, "endpoint", "left_anti").select(*new.columns)
+    fresh = new.join(staged(known, "known"), "endpoint", "left_anti").select(*new.columns)
     if distinct:
         order = [c for c in ("source", "seq", "pos") if c in new.columns]
         first = Window.partitionBy("endpoint").orderBy(*order)

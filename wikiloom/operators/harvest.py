@@ -24,7 +24,7 @@ LIVE_STATUSES = (200, 404)
 
 def _cut_links(pages: DataFrame, needle: str, tags: Column) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
-    found = pages.filter(F.contains("html", F.lit(needle))).select(
+    found = pages.filter(html.mentions(F.col("html"), needle)).select(
         *kept, F.posexplode(tags).alias("pos", "tag")
     )
     return found.select(*kept, "pos", html.link_target(F.col("tag")).alias("href"))
@@ -231,7 +231,7 @@ def expanded_links(dump: DataFrame, display_links: DataFrame) -> DataFrame:
     text``. The template comes from the first well-formed link whose text is a prefix
     of the project; a project without one gives empty links.
     """
-    prefixes = dump.select("project", F.col("prefix").alias("text")).distinct()
+    prefixes = staged(dump.select("project", F.col("prefix").alias("text")).distinct(), "prefixes")
     template = F.concat(
         F.lit("http://"), F.replace(host_of(F.col("href")), F.col("text"), F.lit(_SLOT))
     )
@@ -243,7 +243,7 @@ def expanded_links(dump: DataFrame, display_links: DataFrame) -> DataFrame:
         .select("project", "first.template")
     )
     return (
-        dump.join(templates, "project", "left")
+        dump.join(staged(templates, "templates"), "project", "left")
         .withColumn(
             "url", F.coalesce(F.replace("template", F.lit(_SLOT), F.col("prefix")), F.lit(""))
         )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions.urls import DISABLED, host_label, host_of, https_form, is_well_formed
 from wikiloom.operators.containment import contained
+from wikiloom.session import staged
 
 # Where the two kinds of wiki keep their interface.
 GENERIC_SUFFIXES = ["/api.php", "/w/api.php", "/wiki/api.php"]
@@ -25,11 +26,12 @@ def known_hosts(candidates: DataFrame, endpoints: DataFrame, exact: bool = False
     hosts = candidates.select(host_of(F.col("url")).alias("host")).distinct()
     if exact:
         covered = endpoints.select(host_of(F.col("endpoint")).alias("host")).distinct()
-        return hosts.join(covered, "host", "left_semi")
-    return contained(
+        return staged(hosts.join(covered, "host", "left_semi"), "hosts")
+    found = contained(
         hosts.withColumnRenamed("host", "needle"),
         endpoints.select(F.col("endpoint").alias("haystack")),
-    ).withColumnRenamed("needle", "host")
+    )
+    return staged(found.withColumnRenamed("needle", "host"), "hosts")
 
 
 def drop_known_hosts(candidates: DataFrame, endpoints: DataFrame, exact: bool = False) -> DataFrame:
@@ -147,7 +149,9 @@ def resolve_by_url(
         suffixes,
     )
     verified = statuses.select("url", endpoint.alias("endpoint")).filter("endpoint IS NOT NULL")
-    return candidates.join(verified, "url").select(*candidates.columns, "endpoint")
+    return candidates.join(staged(verified, "verified"), "url").select(
+        *candidates.columns, "endpoint"
+    )
 
 
 def named_endpoints(verified: DataFrame, resolver: str, auto_enable: bool = True) -> DataFrame:

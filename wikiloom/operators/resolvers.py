@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wikiloom.functions.text import before_last_sentence, whole_sentences
 from wikiloom.functions.urls import host_of
 from wikiloom.operators import search
+from wikiloom.session import staged
 
 CARD = ["title", "summary", "thumb_url", "page_url", "thumb_w", "thumb_h"]
 
@@ -77,7 +78,7 @@ def resolve(
     searched = reduce(
         or_, [(F.col("resolver") == name) & r.searched() for name, r in registry.items()]
     )
-    collections = asked.select("host", "resolver").distinct()
+    collections = staged(asked.select("host", "resolver").distinct(), "collections")
     searchable = (
         articles.join(collections, "host")
         .filter(searched)

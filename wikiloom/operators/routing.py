@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions.text import normalized, space_words
 from wikiloom.operators.resolvers import REGISTRY
+from wikiloom.session import staged
 
 DEFAULT_PREFIX = "wiki"
 
@@ -56,11 +57,12 @@ def requests_of(routed: DataFrame) -> DataFrame:
 def lookup_table(endpoints: DataFrame) -> DataFrame:
     """First endpoint per lower-cased id, so a look-up cannot fan out."""
     fields = F.struct("seq", "referenceid", "endpoint", "resolverid", "color")
-    return (
+    first = (
         endpoints.groupBy(F.lower("referenceid").alias("wiki_key"))
         .agg(F.min(fields).alias("first"))
         .select("wiki_key", "first.referenceid", "first.endpoint", "first.resolverid", "first.color")
     )
+    return staged(first, "lookup")
 
 
 def with_endpoint(rows: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -90,12 +90,12 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
     ``requests`` has ``query``, ``articles`` has ``article_id, title, lead``, and both
     have the ``keys`` of the collection that is searched. Gives the keys and ``query,
     article_id, exact_title, title_terms, lead_terms``; requests without a hit have no
-    row. The requests are read several times and should be a stored table.
+    row.
     """
     keys = list(keys)
-    asked = _asked(requests, keys)
+    asked = staged(_asked(requests, keys), "asked")
     asked_terms = asked.select(*keys, "question", F.explode("terms").alias("term"))
-    vocabulary = asked_terms.select(*keys, "term").distinct()
+    vocabulary = staged(asked_terms.select(*keys, "term").distinct(), "vocabulary")
     matched = staged(_matched_articles(articles, vocabulary, keys), "matched")
 
     # Per word: in how many articles, and the best article for it alone.
@@ -115,7 +115,7 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
         .when(F.col("id_2").isNotNull(), _TITLE)
         .otherwise(_LEAD)
     )
-    found_terms = asked_terms.join(by_term, [*keys, "term"])
+    found_terms = asked_terms.join(staged(by_term, "terms"), [*keys, "term"])
     single = found_terms.select(
         *keys,
         "question",

@@ -125,12 +125,9 @@ def search_links(
     first page.
     """
     coded = harvest.with_language_code(searches, languages).filter(F.col("code").isNotNull())
+    asked = staged(coded.select("term", F.col("code").alias("lang")).distinct(), "searches")
     pages = (
-        crawl.join(
-            coded.select("term", F.col("code").alias("lang")).distinct(),
-            ["term", "lang"],
-            "left_semi",
-        )
+        crawl.join(asked, ["term", "lang"], "left_semi")
         .withColumn("source", F.concat_ws(" ", "term", "lang"))
         .select("source", "page_no", "html")
     )
@@ -158,7 +155,7 @@ def search_links(
         .unionByName(unpaged, allowMissingColumns=True)
     )
     found = (
-        links.join(lengths, "source")
+        links.join(staged(lengths, "lengths"), "source")
         .filter(F.col("page_no").between(1, F.col("last_page")))
         .select(
             F.col("href").alias("url"), "source", F.col("page_no").cast("long").alias("seq"), "pos"

@@ -26,5 +26,5 @@ SEARCH_JSON = "total int, items array<struct<id int>>"
 SECTIONS_JSON = "sections array<struct<content array<struct<text string>>>>"
 DETAILS_JSON = (
     "basepath string, "
-    "items map<string, struct<url string, title string, thumbnail string, abstract string>>"
+    "items map<string, struct<url string, title string, thumbnail variant, abstract string>>"
 )

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs count on. Joins carry no broadcast hint: Spark broadcasts a side
-# when its estimated or measured size is under the threshold, and otherwise
-# shuffles and lets adaptive execution split the partitions of hot keys.
+# when its known size is under the threshold, and otherwise shuffles both sides and
+# lets adaptive execution split the partitions of hot keys.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -54,8 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    For a table that several branches of a plan read: it is worked out once, survives
-    lost executors, and its true size decides how it is joined.
+    For a table that several branches of a plan read, and for the reduced side of a
+    join. It is worked out once and survives lost executors. Its true size is known when
+    the join is planned, so a large other side is not shuffled to find out. And if it is
+    too large to be broadcast, both sides are shuffled for the join alone, which is
+    what lets adaptive execution split hot keys: it leaves a join alone whose side comes
+    straight from an aggregate on the join keys.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -109,7 +109,13 @@ def wikia_cards(requests: DataFrame, responses: DataFrame, mode: str = "default"
             F.when(F.size("content") > 0, F.get("content", F.lit(0))["text"])
             .otherwise(trimmed)
             .alias("summary"),
-            F.coalesce("item.thumbnail", F.lit("")).alias("thumb_url"),
+            # Some wikis give something else than a text here.
+            F.when(
+                F.schema_of_variant("item.thumbnail") == "STRING",
+                F.try_variant_get("item.thumbnail", "$", "string"),
+            )
+            .otherwise("")
+            .alias("thumb_url"),
             F.concat("basepath", "item.url").alias("page_url"),
         )
     )
