@@ -1,8 +1,8 @@
 """Links of HTML pages.
 
 Links chosen by their own tag or class are cut out by expressions. Links chosen by an
-enclosing element, and link texts, need the open elements; the standard library's
-parser finds them page by page.
+enclosing element, and link texts, need the open elements, which are followed page by
+page.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import html
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -46,12 +45,16 @@ def tags(page: Column, tag: str = "[a-z][a-z0-9]*") -> Column:
     return F.regexp_extract_all(visible, F.lit(rf"(?is)<{tag}(?=[\s/>])" + _ATTRIBUTES), F.lit(1))
 
 
+def _decoded(value: str) -> str:
+    """An attribute value with its character references decoded."""
+    if "&" not in value:
+        return value
+    return _REFERENCE.sub(lambda m: html.unescape(m[0]), value)
+
+
 @F.pandas_udf(T.StringType())
-def unescaped(values: pd.Series) -> pd.Series:
-    """Character references of attribute values decoded."""
-    coded = values.str.contains("&", regex=False)
-    decoded = values[coded].map(lambda v: _REFERENCE.sub(lambda m: html.unescape(m[0]), v))
-    return values.where(~coded, decoded)
+def decoded(values: pd.Series) -> pd.Series:
+    return values.map(_decoded)
 
 
 def has_class(attributes: Column, name: str) -> Column:
@@ -69,7 +72,18 @@ def mentions(page: Column, text: str) -> Column:
 
 
 def link_target(attributes: Column) -> Column:
-    return unescaped(_attribute(attributes, "href"))
+    return decoded(_attribute(attributes, "href"))
+
+
+# One step through a page: what is skipped as a whole, or one start or end tag.
+_STEP = re.compile(
+    r"<!--.*?-->"
+    r"|<(script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</\1\s*>"
+    r"|<(/?)([a-z][^\s/>]*+)" + _ATTRIBUTES,
+    re.IGNORECASE | re.DOTALL,
+)
+_NAMED_VALUE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_OF_INTEREST = re.compile("href|class", re.IGNORECASE)
 
 
 @dataclass
@@ -81,55 +95,66 @@ class _Element:
     text: list[str] = field(default_factory=list)
 
 
-class _PageParser(HTMLParser):
-    """Links and marked elements of one page, with their texts and enclosing marks."""
+def _values(attributes: str) -> dict[str, str]:
+    """Attributes of a tag; the first of equal names counts."""
+    found = {}
+    for match in _NAMED_VALUE.finditer(attributes):
+        value = match[2] or match[3] or match[4] or ""
+        found.setdefault(match[1].lower(), _decoded(value))
+    return found
 
-    def __init__(self, marker: str | None):
-        super().__init__()
-        self.marker = marker.lower() if marker else None
-        self.open: list[tuple[str, _Element | None, int]] = []
-        self.found: list[_Element] = []
-        self.marks = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "a" and any(t == "a" for t, _, _ in self.open):
-            self.handle_endtag("a")
-        values = {k: v or "" for k, v in reversed(attrs)}
-        marked = self.marker is not None and self.marker in values.get("class", "").lower().split()
-        mark = self.marks if marked else -1
-        self.marks += marked
+def _parse(page: str, marker: str | None = None) -> list[_Element]:
+    """Links and marked elements of a page, with their texts and enclosing marks."""
+    marker = marker.lower() if marker else None
+    found: list[_Element] = []
+    opened: list[tuple[str, _Element | None, int]] = []
+    collecting: list[_Element] = []
+    marks, place = 0, 0
+
+    def close(depth: int) -> None:
+        for _, element, _ in opened[depth:]:
+            if element is not None:
+                collecting.remove(element)
+        del opened[depth:]
+
+    for step in _STEP.finditer(page):
+        for element in collecting:
+            element.text.append(page[place : step.start()])
+        place = step.end()
+        tag = step[3]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if step[2] or tag == "a":
+            # An end tag closes the innermost such element and what is open in it; a
+            # link also ends the link before.
+            for depth in range(len(opened) - 1, -1, -1):
+                if opened[depth][0] == tag:
+                    close(depth)
+                    break
+        if step[2]:
+            continue
+        values = _values(step[4]) if _OF_INTEREST.search(step[4]) else {}
+        marked = marker is not None and marker in values.get("class", "").lower().split()
+        mark = marks if marked else -1
+        marks += marked
         element = None
         if marked or tag == "a" or "href" in values:
-            within = [m for _, _, m in self.open if m >= 0] + [mark] * marked
+            within = [m for _, _, m in opened if m >= 0] + [mark] * marked
             element = _Element(tag, values.get("href"), marked, within)
-            self.found.append(element)
+            found.append(element)
         if tag not in VOID:
-            self.open.append((tag, element, mark))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        for _, element, _ in self.open:
+            opened.append((tag, element, mark))
             if element is not None:
-                element.text.append(data)
-
-
-def _parse(page: str, marker: str | None = None) -> list[_Element]:
-    parser = _PageParser(marker)
-    parser.feed(page)
-    parser.close()
-    return parser.found
+                collecting.append(element)
+    for element in collecting:
+        element.text.append(page[place:])
+    return found
 
 
 def _text(element: _Element) -> str:
-    return " ".join("".join(element.text).split())
+    return " ".join(html.unescape("".join(element.text)).split())
 
 
 def _page_rows(
