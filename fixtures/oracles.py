@@ -265,6 +265,8 @@ SELECT DISTINCT * FROM (
   UNION ALL
   SELECT 'details', endpoint || '/Articles/Details?ids=' || article_id || '&abstract=500' FROM {WIKIA_CARDS} d) x"""
 
+_TITLED = "(SELECT * FROM fx_articles WHERE article_id IN (SELECT min(article_id) FROM fx_articles GROUP BY host, title))"
+
 _DOC_WORDS = ", ".join(f"'{w}'" for w in WORDS)
 
 _REGISTERED = ", ".join(f"('{r}', '{s}')" for r, names in RETRIEVERS.items() for s in names)
@@ -312,7 +314,7 @@ SELECT 'a' AS selector, page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unne
 UNION ALL SELECT '.wiki a', page_id, 0, 'http://' || {host('url')} FROM pages
 UNION ALL SELECT '.result-link', page_id, 0, 'http://' || {host('url')} || '/?a=1&b=2//' FROM pages""",
     "index_links": f"SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS href, unnest(t) AS text FROM (SELECT page_id, {_LINKS} AS l, {_TEXTS} AS t FROM pages) h",
-    "page_frontier": "SELECT term AS seed, CAST(unnest(range(1, last_page + 1)) AS INT) AS page_no FROM (SELECT DISTINCT term, last_page FROM fx_paginator) p",
+    "page_frontier": "SELECT seed, page_no, seed || '?page=' || page_no AS url FROM (SELECT term AS seed, CAST(unnest(range(1, last_page + 1)) AS INT) AS page_no FROM (SELECT DISTINCT term, last_page FROM fx_paginator) p) n",
     "paginator_chase": LAST_PAGES,
     "template_expand": f"""
 SELECT id, project, prefix, CASE WHEN template IS NULL THEN '' ELSE replace(template, ';;;', prefix) END AS url
@@ -349,6 +351,8 @@ SELECT NULL, NULL, sum(r), count(*), count(*) FILTER (r > 0), bool_and(r > 0)
 FROM (SELECT shard, count(*) FILTER (kind = 'ready') AS r FROM fx_lifecycle WHERE kind <> 'message' GROUP BY 1) s""",
     "search_top1": f"SELECT * FROM {top1('fx_requests', ALL_ARTICLES)} t",
     "route_messages": f"SELECT event_id, route, len(words) AS word_count, wiki_key, query FROM {ROUTED} m",
+    "generic_responses": f"SELECT 'https://' || host || '/w/api.php' AS endpoint, title AS query, title, replace(abstract_text, '....', '.') AS summary, coalesce(thumb_url, '') AS thumb_url, page_url FROM {_TITLED} t",
+    "wikia_responses": f"SELECT 'https://' || host || '/api/v1' AS endpoint, title AS query, title, {_wikia_summary('end')} AS summary, coalesce(thumb_url, '') AS thumb_url, page_url || '/wiki' AS page_url FROM {_TITLED} t",
     "query_outcome": f"SELECT event_id, wiki_key, query, outcome, endpoint, article_id FROM {ANSWERED} z",
     "query_terms": f"SELECT DISTINCT endpoint, query FROM {ASKED} k WHERE endpoint IS NOT NULL",
     "result_card": RESULT_CARDS,

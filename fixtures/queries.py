@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fixtures.oracles import LANGUAGES
-from fixtures.views import WORDS, base, stream_view, view
+from fixtures.views import WORDS, base, stream_view, titled_pages, view
+from fixtures.views import responses as fetched_responses
 from wikiloom.functions.urls import host_of
 from wikiloom.operators import (
     cards,
@@ -22,6 +23,7 @@ from wikiloom.operators import (
 )
 from wikiloom.plans import add_source, answer
 from wikiloom.session import scratch_path, staged
+from wikiloom.sources import responses
 from wikiloom.streaming import answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,7 +159,8 @@ def page_frontier(fx: Inputs) -> DataFrame:
     items = fx.paginator.select(
         F.col("term").alias("seed"), F.col("page_no").alias("pos"), F.col("last_page").cast("string").alias("label")
     )
-    return harvest.numbered_pages(harvest.last_number(items))
+    pages = harvest.numbered_pages(harvest.last_number(items))
+    return pages.withColumn("url", F.concat("seed", F.lit("?page="), "page_no"))
 
 
 @query
@@ -323,6 +326,18 @@ def answer_messages(fx: Inputs) -> DataFrame:
     return answer.answer_messages(fx.messages, fx.catalog_raw, fx.articles)
 
 
+@query
+def generic_responses(fx: Inputs) -> DataFrame:
+    asked = titled_pages(fx.articles).select(F.col("generic").alias("endpoint"), F.col("title").alias("query"))
+    return responses.generic_cards(asked, fetched_responses(fx.articles))
+
+
+@query
+def wikia_responses(fx: Inputs) -> DataFrame:
+    asked = titled_pages(fx.articles).select(F.col("wikia").alias("endpoint"), F.col("title").alias("query"))
+    return responses.wikia_cards(asked, fetched_responses(fx.articles))
+
+
 # -- sources --------------------------------------------------------------------
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from wikiloom.operators import routing
 
 _HOST = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
 
@@ -197,3 +199,64 @@ def with_views(query: str) -> str:
         ctes.append(query[start.end():])
         return f"{start[0]}" + ",\n".join(ctes)
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + query
+
+
+def _xml_text(column: str) -> Column:
+    text = F.col(column)
+    for character, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(character), F.lit(reference))
+    return text
+
+
+def titled_pages(articles: DataFrame) -> DataFrame:
+    """The first article of each title and host, with the endpoints of both kinds."""
+    first = articles.groupBy("host", "title").agg(F.min("article_id").alias("article_id"))
+    return (
+        articles.join(first.select("article_id"), "article_id", "left_semi")
+        .withColumn("generic", F.concat(F.lit("https://"), "host", F.lit("/w/api.php")))
+        .withColumn("wikia", F.concat(F.lit("https://"), "host", F.lit("/api/v1")))
+    )
+
+
+def responses(articles: DataFrame) -> DataFrame:
+    """What the wikis would answer if each title is searched for; ``url, body``."""
+    pages = titled_pages(articles)
+
+    def by_search(kind: str, body: Column) -> DataFrame:
+        asked = pages.select(
+            "*", F.col(kind).alias("endpoint"), F.col("title").alias("query"), F.lit(kind).alias("resolver")
+        )
+        return routing.search_requests(asked).select("url", body.alias("body"))
+
+    def by_page(kind: str, bodies: dict[str, Column]) -> DataFrame:
+        hits = pages.withColumns({"endpoint": F.col(kind), "resolver": F.lit(kind)})
+        fetched = routing.page_requests(hits.withColumns(bodies), keep=list(bodies))
+        body = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in bodies])
+        return fetched.select("url", body.alias("body"))
+
+    found_xml = F.concat(
+        F.lit('<api><query><search><p title="'), _xml_text("title"), F.lit('"/><p title="Other"/></search></query></api>')
+    )
+    page_xml = F.concat(
+        F.lit('<api><query><pages><page fullurl="'), _xml_text("page_url"), F.lit('"><extract xml:space="preserve">'),
+        _xml_text("abstract_text"), F.lit("</extract>"),
+        F.coalesce(F.concat(F.lit('<thumbnail source="'), _xml_text("thumb_url"), F.lit('"/>')), F.lit("")),
+        F.lit("</page></pages></query></api>"),
+    )
+    found_json = F.to_json(F.struct(F.lit(1).alias("total"), F.array(F.struct(F.col("article_id").alias("id"))).alias("items")))
+    content = F.when(F.col("section_text") != "", F.array(F.struct(F.col("section_text").alias("text")))).otherwise(
+        F.array().cast("array<struct<text:string>>")
+    )
+    sections_json = F.to_json(F.struct(F.array(F.struct(content.alias("content"))).alias("sections")))
+    item = F.struct(
+        F.lit("/wiki").alias("url"), "title", F.col("thumb_url").alias("thumbnail"), F.left("abstract_text", F.lit(500)).alias("abstract")
+    )
+    details_json = F.to_json(
+        F.struct(F.col("page_url").alias("basepath"), F.create_map(F.col("article_id").cast("string"), item).alias("items"))
+    )
+    return (
+        by_search("generic", found_xml)
+        .unionByName(by_page("generic", {"page_info": page_xml}))
+        .unionByName(by_search("wikia", found_json))
+        .unionByName(by_page("wikia", {"sections": sections_json, "details": details_json}))
+    )

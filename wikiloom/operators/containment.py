@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wikiloom.session import staged
+
 GRAM = 8
 
 
@@ -27,8 +29,10 @@ def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     Both tables have one text column, ``needle`` and ``haystack``. The empty needle is
     contained in any haystack.
     """
-    needles = needles.select("needle").filter(F.col("needle").isNotNull()).distinct()
-    haystacks = haystacks.select("haystack").filter(F.col("haystack").isNotNull()).distinct()
+    needles = staged(needles.select("needle").filter("needle IS NOT NULL").distinct(), "needles")
+    haystacks = staged(
+        haystacks.select("haystack").filter("haystack IS NOT NULL").distinct(), "haystacks"
+    )
 
     short = needles.filter(F.length("needle") < GRAM)
     short_grams = F.flatten(

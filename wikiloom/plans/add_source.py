@@ -6,7 +6,7 @@ against the probe log, names them and appends what the catalogue lacks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +23,17 @@ RETRIEVERS = {
     "fandom": ["<single word search or all>"],
 }
 
+# Source and language that a retriever takes if none is given, the word
+# for all search results, and the word that leaves new endpoints disabled.
+DEFAULTS = {
+    "wikistats": ("wikipedias", "english"),
+    "gamepedia": ("gamepedia", "english"),
+    "fandom": ("all", "english"),
+}
+ALL_RESULTS = "all"
+DISABLING_WORD = "noauto"
+FAMILY = "fandom"
+
 
 def _verified_into(
     catalog: DataFrame,
@@ -178,3 +189,59 @@ def add_source_search(
     return _verified_into(
         catalog, links, log, probes.WIKIA_SUFFIXES, "wikia", auto_enable, distinct
     )
+
+
+def display_pages(index_pages: DataFrame, crawl: DataFrame, base: str, prefix: str) -> DataFrame:
+    """``project, html`` of the page that the index shows first for each project.
+
+    ``index_pages`` has ``html``, ``crawl`` has ``url, html``. Links of the index start
+    with ``prefix``, are named after the project and are relative to ``base``.
+    """
+    links = harvest.index_links(index_pages.select("html"), prefix)
+    first = harvest.first_links_by_text(links).select(
+        F.col("text").alias("project"), F.concat(F.lit(base), "href").alias("url")
+    )
+    return first.join(crawl.select("url", "html"), "url").select("project", "html")
+
+
+def add_source(catalog: DataFrame, tables: Mapping[str, DataFrame], command: str) -> DataFrame | None:
+    """The catalogue after a command ``<retriever>:<source> <language> [noauto]``.
+
+    Only the retriever must be named. ``tables`` has the inputs of its pipeline by the
+    names of its arguments. A command that names no retriever, or an unreadable
+    source, changes nothing.
+    """
+    target, *words = command.split()
+    retriever, *source = target.split(":")
+    if retriever not in DEFAULTS or len(source) > 1 or source == [""]:
+        return None
+    default_source, default_language = DEFAULTS[retriever]
+    name = source[0] if source else default_source
+    language = words[0] if words else default_language
+    auto_enable = DISABLING_WORD not in words[1:2]
+    if retriever == "wikistats":
+        return add_source_dump(
+            catalog,
+            tables["bodies"].filter(F.col("source") == name),
+            tables["display_pages"].filter(F.col("project") == name),
+            tables["log"],
+            language,
+            auto_enable,
+        )
+    if retriever == "gamepedia":
+        return add_source_directory(
+            catalog, tables["crawl"], tables["seeds"], tables["log"], auto_enable
+        )
+    term = "" if name == ALL_RESULTS else name
+    searches = tables["languages"].limit(1).select(
+        F.lit(term).alias("term"), F.lit(language).alias("language")
+    )
+    return add_source_search(
+        catalog,
+        tables["crawl"],
+        searches,
+        tables["languages"],
+        tables["log"],
+        FAMILY,
+        auto_enable,
+    )

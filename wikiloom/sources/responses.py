@@ -19,7 +19,7 @@ def _fetched(responses: DataFrame) -> DataFrame:
 
 
 def _xml(body: Column, schema: str) -> Column:
-    return F.from_xml(body, schema, {"mode": "PERMISSIVE"})
+    return F.from_xml(body, schema, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
 
 
 def generic_hits(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -53,7 +53,9 @@ def generic_cards(requests: DataFrame, responses: DataFrame) -> DataFrame:
         pages.select(
             "endpoint",
             F.col("page_title").alias("title"),
-            F.replace(F.col("page.extract._VALUE"), F.lit("...."), F.lit(".")).alias("summary"),
+            F.replace(
+                F.coalesce("page.extract._VALUE", F.lit("")), F.lit("...."), F.lit(".")
+            ).alias("summary"),
             F.coalesce("page.thumbnail._source", F.lit("")).alias("thumb_url"),
             F.col("page._fullurl").alias("page_url"),
         ),
