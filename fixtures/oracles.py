@@ -150,7 +150,7 @@ WITH RECURSIVE chase AS (
 SELECT term, page_no AS last_page FROM chase WHERE page_no = last_shown"""
 
 SEARCH_LINKS = f"""(
-  SELECT 'http://' || h || '/?a=1&b=2' AS url, term || ' en' AS source, page_no AS seq, 0 AS pos FROM {_PLACED} p
+  SELECT 'http://' || h AS url, term || ' en' AS source, page_no AS seq, 0 AS pos FROM {_PLACED} p
   WHERE page_no <= last_page AND contains(h, 'example.com')
     AND EXISTS (SELECT 1 FROM {_PLACED} q WHERE q.term = p.term AND q.page_no = p.last_page))"""
 
@@ -312,7 +312,7 @@ UNION ALL SELECT cand_id, 1, replace(url, 'http://', 'https://'), NULL FROM fx_c
     "harvest_links": f"""
 SELECT 'a' AS selector, page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS href FROM (SELECT page_id, {_HREFS} AS l FROM pages) h
 UNION ALL SELECT '.wiki a', page_id, 0, 'http://' || {host('url')} FROM pages
-UNION ALL SELECT '.result-link', page_id, 0, 'http://' || {host('url')} || '/?a=1&b=2//' FROM pages""",
+UNION ALL SELECT '.result-link', page_id, 0, 'http://' || {host('url')} || '//' FROM pages""",
     "index_links": f"SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS href, unnest(t) AS text FROM (SELECT page_id, {_LINKS} AS l, {_TEXTS} AS t FROM pages) h",
     "page_frontier": "SELECT seed, page_no, seed || '?page=' || page_no AS url FROM (SELECT term AS seed, CAST(unnest(range(1, last_page + 1)) AS INT) AS page_no FROM (SELECT DISTINCT term, last_page FROM fx_paginator) p) n",
     "paginator_chase": LAST_PAGES,

@@ -101,7 +101,7 @@ FROM (SELECT 'https://directory.example/' || CAST(CAST(floor(page_id / 50) AS BI
 """,
     "fx_crawl": f"""
 SELECT page_id, term, page_no, term || '?page=' || CAST(page_no AS STRING) AS url,
-       html || '<div class="wikis wiki"><p><a href="http://' || host || '">Wiki</a></div><a title="a > b" class="result-link" href="http://' || host || '/?a=1&amp;b=2//">Found</a>'
+       html || '<div class="wikis wiki"><p><a href="http://' || host || '">Wiki</a></div><a title="a > b" class="result-link" href="http://' || host || '&#47;/">Found</a>'
        || '<div><a class="b-pagination-item" href="?page=1">1</a><a class="b-pagination-item" href="?page=2"> ' || CAST(last_page AS STRING)
        || '</a><span class="b-pagination-item">next</span><a class="paginator-page">1</a><a class="paginator-page"><b>'
        || CAST(least(page_no + 9, last_page) AS STRING) || '</b></a></div>' AS html

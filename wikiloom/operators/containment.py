@@ -53,7 +53,7 @@ def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     frequencies = postings.groupBy("gram").agg(F.count("*").alias("haystacks"))
     rarest = (
         long.select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-        .join(frequencies, "gram", "left")
+        .join(staged(frequencies, "grams"), "gram", "left")
         .groupBy("needle")
         .agg(
             F.bool_and(F.col("haystacks").isNotNull()).alias("possible"),

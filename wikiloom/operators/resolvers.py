@@ -88,9 +88,9 @@ def resolve(
     summary = F.coalesce(
         *[F.when(F.col("resolver") == name, r.summary()) for name, r in registry.items()]
     )
+    winners = staged(asked.join(hits, ["host", "resolver", "query"]), "winners")
     return (
-        asked.join(hits, ["host", "resolver", "query"])
-        .join(articles, ["host", "article_id"])
+        articles.join(winners, ["host", "article_id"])
         .withColumn("summary", summary)
         .withColumn("thumb_url", F.coalesce("thumb_url", F.lit("")))
         .select("endpoint", "query", "resolver", "article_id", *CARD)

@@ -115,7 +115,13 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
         .when(F.col("id_2").isNotNull(), _TITLE)
         .otherwise(_LEAD)
     )
-    found_terms = asked_terms.join(staged(by_term, "terms"), [*keys, "term"])
+    frequent_first = Window.partitionBy(*keys, "question").orderBy(F.desc("articles"), "term")
+    found_terms = staged(
+        asked_terms.join(staged(by_term, "terms"), [*keys, "term"]).withColumn(
+            "rank", F.row_number().over(frequent_first)
+        ),
+        "found",
+    )
     single = found_terms.select(
         *keys,
         "question",
@@ -126,12 +132,8 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
     )
 
     # Words to match article by article: all but the most frequent one of a query.
-    frequent_first = Window.partitionBy(*keys, "question").orderBy(F.desc("articles"), "term")
-    rarer = (
-        found_terms.select(*keys, "question", "term", "articles")
-        .withColumn("rank", F.row_number().over(frequent_first))
-        .filter("rank > 1")
-        .select(*keys, "question", "term", word_set(F.col("question")).alias("terms"))
+    rarer = found_terms.filter("rank > 1").select(
+        *keys, "question", "term", word_set(F.col("question")).alias("terms")
     )
     scored = (
         matched.select(

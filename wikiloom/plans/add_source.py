@@ -99,16 +99,22 @@ def directory_links(crawl: DataFrame, seeds: DataFrame) -> DataFrame:
         return F.concat("seed", F.lit("?page="), number.cast("string"))
 
     pages = crawl.select("url", "html")
-    first = seeds.select("seed", page_url(F.lit(1)).alias("url")).join(pages, "url")
-    items = html.marked_texts(first.select("seed", "html"), "b-pagination-item", tag="a")
+    first = staged(seeds.select("seed", page_url(F.lit(1)).alias("url")), "seeds")
+    items = html.marked_texts(
+        pages.join(first, "url").select("seed", "html"), "b-pagination-item", tag="a"
+    )
     counted = harvest.last_number(items.withColumnRenamed("text", "label"))
     frontier = harvest.numbered_pages(counted).withColumn("url", page_url(F.col("page_no")))
-    found = frontier.join(pages, "url").select("seed", "page_no", "html")
-    return harvest.links_within_class(found, "wiki").select(
-        F.col("href").alias("url"),
-        F.col("seed").alias("source"),
-        F.col("page_no").cast("long").alias("seq"),
-        "pos",
+    # Links are cut out where the pages are read, so that no page is shuffled.
+    return (
+        harvest.links_within_class(pages, "wiki")
+        .join(staged(frontier, "frontier"), "url")
+        .select(
+            F.col("href").alias("url"),
+            F.col("seed").alias("source"),
+            F.col("page_no").cast("long").alias("seq"),
+            "pos",
+        )
     )
 
 

@@ -27,7 +27,8 @@ def answer_table(
 ) -> DataFrame:
     """Everything that depends on the request alone, worked out once per request."""
     looked_up = looked_up_requests(routed, endpoints, registry)
-    return cards.answers_of(looked_up, resolvers.resolve(looked_up, articles, registry))
+    found = resolvers.resolve(looked_up, articles, registry)
+    return staged(cards.answers_of(looked_up, found), "answers")
 
 
 def message_outcomes(

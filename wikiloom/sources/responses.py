@@ -2,7 +2,8 @@
 
 ``responses`` has ``url, body``, one row per fetched URL. Requests are matched with
 their response by the URL of the request plan; a missing or unreadable response leaves
-the request without a card.
+the request without a card. Bodies are read where they are stored, and only the few
+fields in use are joined.
 """
 
 from __future__ import annotations
@@ -12,105 +13,103 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wikiloom import schemas
 from wikiloom.functions.text import before_last_sentence, whole_sentences
 from wikiloom.operators import routing
+from wikiloom.session import staged
 
 
-def _fetched(responses: DataFrame) -> DataFrame:
-    return responses.select("url", "body")
+def _of_kind(responses: DataFrame, mark: str, response: Column) -> DataFrame:
+    """Responses to requests whose URL holds ``mark``, read by an expression."""
+    return responses.filter(F.contains("url", F.lit(mark))).select("url", response.alias("r"))
 
 
-def _xml(body: Column, schema: str) -> Column:
-    return F.from_xml(body, schema, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
+def _xml(schema: str) -> Column:
+    return F.from_xml("body", schema, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
+
+
+def _searches(requests: DataFrame, resolver: str) -> DataFrame:
+    asked = requests.select("endpoint", "query").distinct().withColumn("resolver", F.lit(resolver))
+    return staged(routing.search_requests(asked), "searches")
 
 
 def generic_hits(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Title of the first search hit per (endpoint, query)."""
-    asked = routing.search_requests(
-        requests.select("endpoint", "query").distinct().withColumn("resolver", F.lit("generic"))
-    )
-    found = asked.join(_fetched(responses), "url").withColumn(
-        "response", _xml(F.col("body"), schemas.SEARCH_XML)
+    found = _of_kind(responses, "&list=search&", _xml(schemas.SEARCH_XML)).select(
+        "url", F.get(F.col("r.query.search.p"), F.lit(0))["_title"].alias("title")
     )
-    title = F.get(F.col("response.query.search.p"), F.lit(0))["_title"]
-    return found.select("endpoint", "query", "resolver", title.alias("title")).filter(
-        F.col("title").isNotNull()
+    return (
+        found.filter(F.col("title").isNotNull())
+        .join(_searches(requests, "generic"), "url")
+        .select("endpoint", "query", "resolver", "title")
     )
 
 
 def generic_cards(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Cards from a search response and a page-info response each."""
-    hits = generic_hits(requests, responses)
-    pages = (
-        routing.page_requests(
-            hits.select("endpoint", "resolver", "title", F.lit(None).cast("long").alias("article_id"))
-            .distinct()
-            .withColumn("page_title", F.col("title")),
-            keep=["page_title"],
-        )
-        .join(_fetched(responses), "url")
-        .withColumn("page", _xml(F.col("body"), schemas.PAGE_XML)["query"]["pages"]["page"])
+    hits = staged(generic_hits(requests, responses), "hits")
+    asked = hits.select("endpoint", "resolver", "title").distinct()
+    fetches = routing.page_requests(
+        asked.withColumn("article_id", F.lit(None).cast("long")), keep=["title"]
     )
-    return hits.join(
-        pages.select(
-            "endpoint",
-            F.col("page_title").alias("title"),
-            F.replace(
-                F.coalesce("page.extract._VALUE", F.lit("")), F.lit("...."), F.lit(".")
-            ).alias("summary"),
+    extract = F.coalesce("page.extract._VALUE", F.lit(""))
+    pages = (
+        _of_kind(responses, "?action=query&titles=", _xml(schemas.PAGE_XML))
+        .select("url", F.col("r.query.pages.page").alias("page"))
+        .filter(F.col("page").isNotNull())
+        .select(
+            "url",
+            F.replace(extract, F.lit("...."), F.lit(".")).alias("summary"),
             F.coalesce("page.thumbnail._source", F.lit("")).alias("thumb_url"),
             F.col("page._fullurl").alias("page_url"),
-        ),
-        ["endpoint", "title"],
-    ).select("endpoint", "query", "title", "summary", "thumb_url", "page_url")
+        )
+        .join(staged(fetches, "fetches"), "url")
+    )
+    return hits.join(pages, ["endpoint", "title"]).select(
+        "endpoint", "query", "title", "summary", "thumb_url", "page_url"
+    )
 
 
 def wikia_hits(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Page id of the search hit per (endpoint, query)."""
-    asked = routing.search_requests(
-        requests.select("endpoint", "query").distinct().withColumn("resolver", F.lit("wikia"))
-    )
-    found = asked.join(_fetched(responses), "url").withColumn(
-        "response", F.from_json("body", schemas.SEARCH_JSON)
+    found = (
+        _of_kind(responses, "/Search/List?query=", F.from_json("body", schemas.SEARCH_JSON))
+        .filter("r.total <> 0")
+        .select("url", F.get(F.col("r.items"), F.lit(0))["id"].alias("article_id"))
     )
     return (
-        found.filter(F.col("response.total") != 0)
-        .select(
-            "endpoint",
-            "query",
-            "resolver",
-            F.get(F.col("response.items"), F.lit(0))["id"].alias("article_id"),
-        )
-        .filter(F.col("article_id").isNotNull())
+        found.filter(F.col("article_id").isNotNull())
+        .join(_searches(requests, "wikia"), "url")
+        .select("endpoint", "query", "resolver", "article_id")
     )
 
 
 def wikia_cards(requests: DataFrame, responses: DataFrame, mode: str = "default") -> DataFrame:
     """Cards from a search, a sections and a details response each."""
-    hits = wikia_hits(requests, responses)
-    fetched = routing.page_requests(
-        hits.select("endpoint", "resolver", F.lit("").alias("title"), "article_id").distinct(),
-        keep=["article_id"],
-    ).join(_fetched(responses), "url")
-    # Both responses of a page in one row.
-    pages = fetched.groupBy("endpoint", "article_id").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("body"))).alias(k) for k in ("sections", "details")]
+    hits = staged(wikia_hits(requests, responses), "hits")
+    asked = hits.select("endpoint", "resolver", "article_id").distinct()
+    fetches = staged(
+        routing.page_requests(asked.withColumn("title", F.lit("")), keep=["article_id"]), "fetches"
     )
-    content = F.get(F.from_json("sections", schemas.SECTIONS_JSON)["sections"], F.lit(0))["content"]
-    details = F.from_json("details", schemas.DETAILS_JSON)
-    item = F.try_element_at(details["items"], F.col("article_id").cast("string"))
-    abstract = F.col("item.abstract")
-    trimmed = before_last_sentence(abstract) if mode == "reference" else whole_sentences(abstract)
-    cards = (
-        pages.withColumn("content", content)
-        .withColumn("item", item)
-        .withColumn("basepath", details["basepath"])
-        .filter(F.col("content").isNotNull() & F.col("item").isNotNull())
+
+    content = F.get(F.col("r.sections"), F.lit(0))["content"]
+    sections = (
+        _of_kind(responses, "/Articles/AsSimpleJson?id=", F.from_json("body", schemas.SECTIONS_JSON))
+        .select("url", content.alias("content"))
+        .filter(F.col("content").isNotNull())
+        .select("url", F.get("content", F.lit(0))["text"].alias("text"))
+        .join(fetches, "url")
+        .select("endpoint", "article_id", "text")
+    )
+
+    trim = before_last_sentence if mode == "reference" else whole_sentences
+    details = (
+        _of_kind(responses, "/Articles/Details?ids=", F.from_json("body", schemas.DETAILS_JSON))
+        .join(fetches, "url")
+        .withColumn("item", F.try_element_at("r.items", F.col("article_id").cast("string")))
+        .filter(F.col("item").isNotNull())
         .select(
             "endpoint",
             "article_id",
             F.col("item.title").alias("title"),
-            F.when(F.size("content") > 0, F.get("content", F.lit(0))["text"])
-            .otherwise(trimmed)
-            .alias("summary"),
+            trim(F.col("item.abstract")).alias("abstract"),
             # Some wikis give something else than a text here.
             F.when(
                 F.schema_of_variant("item.thumbnail") == "STRING",
@@ -118,9 +117,12 @@ def wikia_cards(requests: DataFrame, responses: DataFrame, mode: str = "default"
             )
             .otherwise("")
             .alias("thumb_url"),
-            F.concat("basepath", "item.url").alias("page_url"),
+            F.concat("r.basepath", "item.url").alias("page_url"),
         )
     )
-    return hits.join(cards, ["endpoint", "article_id"]).select(
-        "endpoint", "query", "title", "summary", "thumb_url", "page_url"
+    page = ["endpoint", "article_id"]
+    return (
+        hits.join(sections.join(details, page), page)
+        .withColumn("summary", F.coalesce("text", "abstract"))
+        .select("endpoint", "query", "title", "summary", "thumb_url", "page_url")
     )
