@@ -347,10 +347,10 @@ SELECT doc_id, list_has_any(string_split(text, ' '), [{_DOC_WORDS}]) AS any_list
 SELECT shard, state, ready_events, 1 AS shards, CAST(ready_events > 0 AS INT) AS ready_shards, ready_events > 0 AS all_ready
 FROM (SELECT shard, arg_max(kind, (ts, event_id)) AS state, count(*) FILTER (kind = 'ready') AS ready_events FROM fx_lifecycle WHERE kind <> 'message' GROUP BY 1) s
 UNION ALL
-SELECT NULL, NULL, sum(r), count(*), count(*) FILTER (r > 0), bool_and(r > 0)
+SELECT NULL, NULL, CAST(sum(r) AS BIGINT), count(*), count(*) FILTER (r > 0), bool_and(r > 0)
 FROM (SELECT shard, count(*) FILTER (kind = 'ready') AS r FROM fx_lifecycle WHERE kind <> 'message' GROUP BY 1) s""",
     "search_top1": f"SELECT * FROM {top1('fx_requests', ALL_ARTICLES)} t",
-    "route_messages": f"SELECT event_id, route, len(words) AS word_count, wiki_key, query FROM {ROUTED} m",
+    "route_messages": f"SELECT event_id, route, CAST(len(words) AS INT) AS word_count, wiki_key, query FROM {ROUTED} m",
     "generic_responses": f"SELECT 'https://' || host || '/w/api.php' AS endpoint, title AS query, title, replace(abstract_text, '....', '.') AS summary, coalesce(thumb_url, '') AS thumb_url, page_url FROM {_TITLED} t",
     "wikia_responses": f"SELECT 'https://' || host || '/api/v1' AS endpoint, title AS query, title, {_wikia_summary('end')} AS summary, coalesce(thumb_url, '') AS thumb_url, page_url || '/wiki' AS page_url FROM {_TITLED} t",
     "query_outcome": f"SELECT event_id, wiki_key, query, outcome, endpoint, article_id FROM {ANSWERED} z",

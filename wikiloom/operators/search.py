@@ -15,6 +15,8 @@ How the work is kept from growing with articles times queries:
   query's most frequent one. So only the rarer words of a query are matched against
   articles one by one; the most frequent word never is. What is left are articles
   with that one word alone, and the best of them is the one found per (collection, word).
+* A question that is the title of some article needs no such matching: articles with
+  other titles rank behind.
 * Scores are computed from the row at hand and pre-aggregated to one row per
   (query, score) in each task, on numbers only, before the last shuffle.
 """
@@ -131,9 +133,31 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
         F.coalesce("id_3", "id_2", "id_1").alias("article_id"),
     )
 
-    # Words to match article by article: all but the most frequent one of a query.
-    rarer = found_terms.filter("rank > 1").select(
-        *keys, "question", "term", word_set(F.col("question")).alias("terms")
+    # Exact titles: an article matches at most one question, and beats all others.
+    score = ["exact_title", "title_terms", "lead_terms"]
+    exact = (
+        matched.join(asked.withColumn("title_key", F.col("question")), [*keys, "title_key"])
+        .select(
+            *keys,
+            "question",
+            F.lit(1).alias("exact_title"),
+            F.size("terms").alias("title_terms"),
+            _shared(
+                F.col("terms"), _terms_at(F.col("matched"), _TITLE_AND_LEAD, _LEAD)
+            ).alias("lead_terms"),
+            "article_id",
+        )
+        .groupBy(*keys, "question", *score)
+        .agg(F.min("article_id").alias("article_id"))
+    )
+    exact = staged(exact, "exact")
+
+    # Words to match article by article: all but the most frequent one of a question
+    # that is no title.
+    rarer = (
+        found_terms.filter("rank > 1")
+        .join(exact.select(*keys, "question").distinct(), [*keys, "question"], "left_anti")
+        .select(*keys, "question", "term", word_set(F.col("question")).alias("terms"))
     )
     scored = (
         matched.select(
@@ -154,21 +178,6 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
         )
     )
 
-    # Exact titles: an article matches at most one question.
-    exact = matched.join(
-        asked.withColumn("title_key", F.col("question")), [*keys, "title_key"]
-    ).select(
-        *keys,
-        "question",
-        F.lit(1).alias("exact_title"),
-        F.size("terms").alias("title_terms"),
-        _shared(
-            F.col("terms"), _terms_at(F.col("matched"), _TITLE_AND_LEAD, _LEAD)
-        ).alias("lead_terms"),
-        "article_id",
-    )
-
-    score = ["exact_title", "title_terms", "lead_terms"]
     best_first = Window.partitionBy(*keys, "question").orderBy(*[F.desc(c) for c in score])
     best = (
         single.unionByName(scored)

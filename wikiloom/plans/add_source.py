@@ -239,7 +239,7 @@ def add_source(catalog: DataFrame, tables: Mapping[str, DataFrame], command: str
             catalog, tables["crawl"], tables["seeds"], tables["log"], auto_enable
         )
     term = "" if name == ALL_RESULTS else name
-    searches = tables["languages"].limit(1).select(
+    searches = catalog.sparkSession.range(1).select(
         F.lit(term).alias("term"), F.lit(language).alias("language")
     )
     return add_source_search(

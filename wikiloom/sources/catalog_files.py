@@ -13,7 +13,8 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of catalogue files with their order; short rows carry ``_corrupt_record``.
 
     With ``multiLine`` each file is read whole by one task, so the generated id follows
-    the order in the file; files count in the order of their names.
+    the order in the file; files count in the order of their names. Store the rows as a
+    snapshot, which numbers them, before other jobs extend them.
     """
     rows = (
         spark.read.options(**_CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
