@@ -15,6 +15,7 @@ How the work is kept from growing with articles times queries:
   query's most frequent one. So only the rarer words of a query are matched against
   articles one by one; the most frequent word never is. What is left are articles
   with that one word alone, and the best of them is the one found per (collection, word).
+* Articles that hold the same of the words asked for, such as copies, are matched once.
 * A question that is the title of some article needs no such matching: articles with
   other titles rank behind.
 * Scores are computed from the row at hand and pre-aggregated to one row per
@@ -159,14 +160,20 @@ def top1(requests: DataFrame, articles: DataFrame, keys: Sequence[str] = ("host"
         .join(exact.select(*keys, "question").distinct(), [*keys, "question"], "left_anti")
         .select(*keys, "question", "term", word_set(F.col("question")).alias("terms"))
     )
-    scored = (
+    # Articles that hold the same of the words asked for score alike: only the lowest id
+    # of each such group can win, so copies are scored once.
+    alike = (
         matched.select(
             *keys,
+            F.sort_array(_terms_at(F.col("matched"), _TITLE_AND_LEAD, _TITLE)).alias("in_title"),
+            F.sort_array(_terms_at(F.col("matched"), _TITLE_AND_LEAD, _LEAD)).alias("in_lead"),
             "article_id",
-            _terms_at(F.col("matched"), _TITLE_AND_LEAD, _TITLE).alias("in_title"),
-            _terms_at(F.col("matched"), _TITLE_AND_LEAD, _LEAD).alias("in_lead"),
-            F.explode("matched.term").alias("term"),
         )
+        .groupBy(*keys, "in_title", "in_lead")
+        .agg(F.min("article_id").alias("article_id"))
+    )
+    scored = (
+        alike.select("*", F.explode(F.array_union("in_title", "in_lead")).alias("term"))
         .join(rarer, [*keys, "term"])
         .select(
             *keys,
