@@ -6,12 +6,15 @@ one Arrow batch of documents and the arrays of one document.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from wikiloom.session import staged
+
 BATCH_ROWS = 512
 
 U64 = np.uint64
@@ -23,6 +26,17 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored and read back, and the shuffle files behind it released.
+
+    Spark removes them when its driver has collected what referred to them.
+    """
+    out = staged(df, label)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def fields(*parts: T.StructType | T.StructField | str) -> T.StructType:
     """A schema of the given ones in a row; texts are DDL."""
     found: list[T.StructField] = []

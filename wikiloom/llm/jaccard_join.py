@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, shuffle_partitions, word_bounds
+from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, settled, shuffle_partitions, word_bounds
 from wikiloom.session import staged
 
 WORDS = 5
@@ -262,7 +262,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
 def _frequent(prefixes: DataFrame) -> np.ndarray:
     """Shingles of very many sets, at most ``MOST_FREQUENT``; fewer by a higher limit."""
     counted = prefixes.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > FREQUENT)
-    counted = staged(counted, "frequent")
+    counted = settled(counted, "frequent")
     limit, n = FREQUENT, counted.count()
     while n > MOST_FREQUENT:
         limit *= 2
@@ -325,7 +325,7 @@ def _links(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, p
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "items"])
 
-    sets = staged(arrow_map(texts, whole, "sid long, items binary").dropDuplicates(["sid"]), "whole-sets")
+    sets = settled(arrow_map(texts, whole, "sid long, items binary").dropDuplicates(["sid"]), "whole-sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -385,14 +385,14 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id:
     by_key = Window.partitionBy("key")
     exploded = prefixes.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key"))
     several = exploded.withColumn("low", F.min("sid").over(by_key)).withColumn("high", F.max("sid").over(by_key)).filter("low <> high")
-    shared = staged(several.select("key", "sid").distinct(), "shared")
+    shared = settled(several.select("key", "sid").distinct(), "shared")
     bits = prefixes.filter("bits IS NOT NULL").join(shared.select("sid").distinct(), "sid", "left_semi")
     bits = staged(bits.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
 
     first = shared.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
     first = first.select("sid", F.explode("keys").alias("key")).withColumn("part", F.col("sid"))
     pairs = staged(_pairs(first.join(bits, "sid"), percent, merging=True), "pairs")
-    links = staged(_links(pairs, prefixes, rows, words, percent), "links")
+    links = settled(_links(pairs, prefixes, rows, words, percent), "links")
     parts = staged(components(links), "parts")
 
     # Groups of several components; groups of the same sets are looked at once.
