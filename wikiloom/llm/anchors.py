@@ -14,27 +14,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.llm.common import Rolling, arrow_map, joined, minimisers
-from wikiloom.session import staged
+from wikiloom.llm.common import Rolling, arrow_map, joined, minimisers, settled
 
 #: Units of a text, as numbers: ``(data, rolling) -> array``.
 Units = Callable[[bytes, Rolling], np.ndarray]
 
 
+#: Keys remembered by a task, so its memory is bounded; a forgotten one is read again.
+SEEN = 1_000_000
+
+
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``docs`` with ``__key``, a hash of id and text, so rows that repeat both share a key."""
     return docs.withColumn("__key", F.xxhash64(F.col(id), F.col(text)))
 
 
-def recurring(docs: DataFrame, units: Units, length: int, gram: int, text: str) -> DataFrame:
-    """``__key, __anchors``: per document the hashes of its anchors that occur more than once."""
+def recurring(docs: DataFrame, units: Units, length: int, gram: int, text: str, once: bool = False) -> DataFrame:
+    """``__key, __anchors``: per key the hashes of its anchors that occur more than once.
+
+    With ``once`` a task reads the first document of each key only.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
+        seen: set[int] = set()
         for batch in batches:
             hashes, owners = [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t:
+                if t and key not in seen:
+                    if once:
+                        seen = seen if len(seen) < SEEN else set()
+                        seen.add(key)
                     grams = rolling.grams(units(t.encode("utf-8", "surrogatepass"), rolling), gram)
                     places = minimisers(grams, length - gram + 1)[1]
                     hashes.append(grams[places])
@@ -42,6 +52,6 @@ def recurring(docs: DataFrame, units: Units, length: int, gram: int, text: str)
             found = pa.array(joined(hashes, np.uint64).view(np.int64)), pa.array(joined(owners, np.int64))
             yield pa.RecordBatch.from_arrays(list(found), names=["anchor", "__key"])
 
-    rows = staged(arrow_map(docs.select("__key", text), find, "anchor long, __key long"), "anchors")
+    rows = settled(arrow_map(docs.select("__key", text), find, "anchor long, __key long"), "anchors")
     again = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
     return rows.join(again, "anchor", "left_semi").groupBy("__key").agg(F.collect_set("anchor").alias("__anchors"))

@@ -4,7 +4,8 @@ A window is ``WINDOW`` words in a row; each holds a phrase of ``PHRASE`` words t
 it (see ``anchors``). Phrases that recur are confirmed first. Each batch of documents then
 is a shard: its recurring phrases are compiled into an Aho-Corasick automaton, and its
 documents are streamed through that to locate every occurrence. Windows around located phrases
-are counted exactly, and the words of those that recur are removed.
+are counted exactly, and the words of those that recur are removed. Equal texts are told by
+their hash and give their windows once, as recurring ones.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.llm.anchors import keyed, recurring
-from wikiloom.llm.common import WHITE, Rolling, arrow_map, byte_class, covered, fields, minimisers, word_bounds
-from wikiloom.session import staged
+from wikiloom.llm.anchors import SEEN, recurring
+from wikiloom.llm.common import WHITE, Rolling, arrow_map, byte_class, covered, fields, minimisers, settled, word_bounds
 
 WINDOW = 35
-PHRASE = 8
+PHRASE = 12
 
 _WORD = byte_class(WHITE)
 
@@ -55,20 +55,27 @@ def _located(automaton: ahocorasick.Automaton, text: str, phrase: int) -> np.nda
 
 
 def candidates(rows: DataFrame, window: int, phrase: int, text: str) -> DataFrame:
-    """``rows`` without anchors, with ``__hashes, __starts`` of the windows around located phrases."""
+    """``rows`` without anchors, with ``__hashes, __starts`` of the windows around located phrases.
+
+    A copied text gives its windows where a task meets it first, and no starts.
+    """
     kept = rows.drop("__anchors")
-    place = kept.columns.index(text)
+    wanted = [*[kept.columns.index(c) for c in (text, "__key", "__copied")], len(kept.columns)]
     schema = fields(kept.schema, "n_words long, __hashes array<long>, __starts array<int>")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
+        seen: set[int] = set()
         for batch in batches:
             documents, phrases = [], set()
-            for t, anchors in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for t, key, copied, anchors in zip(*[batch.column(i).to_pylist() for i in wanted]):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 words = data.split()
                 runs = None
-                if anchors:
+                if anchors and key not in seen:
+                    if copied:
+                        seen = seen if len(seen) < SEEN else set()
+                        seen.add(key)
                     hashes = word_hashes(data, rolling)
                     grams = rolling.grams(hashes, phrase)
                     places, distinct = minimisers(grams, window - phrase + 1)
@@ -76,10 +83,10 @@ def candidates(rows: DataFrame, window: int, phrase: int, text: str) -> DataFram
                     for at in distinct[np.isin(grams[distinct], known)].tolist():
                         phrases.add(_spaced(words[at : at + phrase]))
                     runs = hashes, places
-                documents.append((words, runs))
+                documents.append((words, runs, copied))
             automaton = _automaton(phrases) if phrases else None
             n_words, hashes_out, starts_out = [], [], []
-            for words, runs in documents:
+            for words, runs, copied in documents:
                 n_words.append(len(words))
                 starts = np.zeros(0, dtype=np.int64)
                 found = np.zeros(0, dtype=np.int64)
@@ -87,7 +94,7 @@ def candidates(rows: DataFrame, window: int, phrase: int, text: str) -> DataFram
                     starts = np.flatnonzero(np.isin(runs[1], _located(automaton, _spaced(words), phrase)))
                     found = rolling.ranges(rolling.prefix(runs[0]), starts, starts + window).view(np.int64)
                 hashes_out.append(found)
-                starts_out.append(starts.astype(np.int32))
+                starts_out.append(starts[: 0 if copied else None].astype(np.int32))
             columns = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(hashes_out, pa.list_(pa.int64())), pa.array(starts_out, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -119,15 +126,20 @@ def find_repeats(
     """
     added = ["n_words", "n_removed", "kept_sha256", *["clean_text"] * with_text]
     kept = docs.drop(*added)
-    rows = keyed(kept, id, text)
-    anchors = recurring(rows, word_hashes, window, phrase, text)
-    found = staged(candidates(rows.join(anchors, "__key", "left"), window, phrase, text), "windows")
-    windows = found.select("__key", F.explode(F.arrays_zip("__hashes", "__starts")).alias("w")).select("__key", "w.__hashes", "w.__starts")
-    again = windows.groupBy("__hashes").count().filter("count > 1").select("__hashes")
+    rows = kept.withColumn("__key", F.xxhash64(F.col(text)))
+    anchors = recurring(rows, word_hashes, window, phrase, text, once=True)
+    copies = rows.groupBy("__key").count().filter("count > 1").select("__key", F.lit(True).alias("__copied"))
+    joined = rows.join(anchors.join(copies, "__key", "full"), "__key", "left")
+    located = candidates(joined.withColumn("__copied", F.coalesce("__copied", F.lit(False))), window, phrase, text)
+    found = settled(located, "windows")
+    times = F.when(F.col("__copied"), 2).otherwise(1)
+    again = found.select(times.alias("times"), F.explode("__hashes").alias("__hashes")).groupBy("__hashes").agg(F.sum("times").alias("times"))
+    again = again.filter("times > 1").select("__hashes")
+    windows = found.filter("NOT __copied").select("__key", F.explode(F.arrays_zip("__hashes", "__starts")).alias("w")).select("__key", "w.__hashes", "w.__starts")
     repeated = windows.join(again, "__hashes", "left_semi").groupBy("__key").agg(F.collect_set("__starts").alias("__removed"))
-    touched = F.size("__hashes") > 0
-    plain = [*[F.col(c) for c in kept.columns], "n_words"]
-    apart = found.filter(touched).select("__key", *plain).join(staged(repeated, "repeats"), "__key", "left").select(*plain, "__removed")
+    touched = F.size("__starts") > 0
+    plain = [*[F.col(c) for c in kept.columns], "n_words", "__copied"]
+    apart = found.filter(touched).select("__key", *plain).join(settled(repeated, "repeats"), "__key", "left").select(*plain, "__removed")
     whole = found.filter(~touched).select(*plain, F.lit(None).cast("array<int>").alias("__removed"))
     place = kept.columns.index(text)
     schema = fields(kept.schema, "n_words long, n_removed long, kept_sha256 string" + ", clean_text string" * with_text)
@@ -135,18 +147,19 @@ def find_repeats(
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hashes, clean = [], [], []
-            for t, starts in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for t, copied, starts in zip(batch.column(place).to_pylist(), *[c.to_pylist() for c in batch.columns[-2:]]):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 words = data.split()
-                removed = np.zeros(len(words), dtype=bool)
+                removed = np.full(len(words), copied and len(words) >= window)
                 if starts:
                     removed = covered(np.array(starts, dtype=np.int64), window, len(words))
+                if removed.any():
                     words = [w for w, r in zip(words, removed.tolist()) if not r]
                 counts.append(int(removed.sum()))
                 hashes.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if with_text:
-                    clean.append(_cut(data, removed) if starts else t)
-            columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hashes, pa.string())]
+                    clean.append(_cut(data, removed) if removed.any() else t)
+            columns = [*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(hashes, pa.string())]
             if with_text:
                 columns.append(pa.array(clean, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.llm.anchors import keyed, recurring
-from wikiloom.llm.common import U64, Rolling, arrow_map, fields, minimisers, mix, shuffle_partitions
+from wikiloom.llm.common import U64, Rolling, arrow_map, fields, minimisers, mix, settled, shuffle_partitions
 from wikiloom.llm.gsaca import common_prefixes, suffix_array
-from wikiloom.session import staged
 
 LENGTH = 200
 GRAM = 64
@@ -194,17 +193,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     """
     kept = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept)
     rows = keyed(kept, id, text)
-    anchors = staged(recurring(rows, byte_values, length, gram, text), "recurring")
-    found = staged(segments(rows.join(anchors, "__key"), length, gram, text).withColumn("hash", F.xxhash64("segment")), "segments")
+    anchors = settled(recurring(rows, byte_values, length, gram, text), "recurring")
+    found = settled(segments(rows.join(anchors, "__key"), length, gram, text).withColumn("hash", F.xxhash64("segment")), "segments")
     distinct = found.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.first("segment").alias("segment"))
-    sorted_out = staged(sorted_segments(distinct, length).filter(F.size("runs") > 0), "runs")
+    sorted_out = settled(sorted_segments(distinct, length).filter(F.size("runs") > 0), "runs")
     shifted = F.transform("runs", lambda r: r + F.col("start"))
     spans = (
         found.select("anchor", "hash", "__key", "start").join(sorted_out, ["anchor", "hash"])
         .groupBy("__key").agg(F.flatten(F.collect_list(shifted)).alias("__spans"))
     )
     place = kept.columns.index(text)
-    marked = rows.join(staged(spans, "spans"), "__key", "left").select(*kept.columns, "__spans")
+    marked = rows.join(settled(spans, "spans"), "__key", "left").select(*kept.columns, "__spans")
     schema = fields(kept.schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
