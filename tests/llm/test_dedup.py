@@ -151,9 +151,10 @@ def test_near_copies_equal_brute_force(documents, texts):
     assert rows_of(jaccard_join.near_copies(documents)) == brute_copies(texts)
 
 
-@pytest.mark.parametrize("frequent", [2, 200])
-def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "block"), [(2, 15), (200, 4000)])
+def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = rng.choices(words, k=120)
@@ -178,7 +179,7 @@ def test_trees_lose_no_pair():
         kept = base[rng.random(300) < rng.uniform(0.3, 1)]
         sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64)])))
     sizes = np.array([len(s) for s in sets])
-    pairs = jaccard_join.candidate_pairs(sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(len(sets)), 75, False)
+    pairs = jaccard_join.candidate_pairs(sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(len(sets)), 75, merging=False)
     found = {tuple(sorted(p)) for p in pairs}
     for i, j in itertools.combinations(range(len(sets)), 2):
         shared = len(np.intersect1d(sets[i], sets[j]))

@@ -8,16 +8,16 @@ There a signature tree is built: its nodes hold the OR of the bitmaps below and
 sizes. Pairs of nodes are descended together and dropped if the largest possible overlap is
 too small for any pair below.
 
-First each set goes to the groups of its few least shared shingles, and each pair that the trees leave
-joins two parts of the group, so a crowd of near copies gives as many pairs as members and
-not all. These pairs are checked on the sets themselves, and links become components. Then all
-groups that still hold several components are descended for pairs across components only.
-So no link between two components is missed, and no pair within one is made.
+First each set goes to the groups of its few least shared shingles, then the groups that still hold
+several clusters are descended. A pair that bitmaps allow puts two clusters of its group together and pairs within a
+cluster are skipped, so a crowd gives as many pairs as members and not all. All links lie
+within clusters. The sets of a cluster are sent to one task, once, or to blocks of tasks if there are
+very many, where a tree over them is descended again and pairs are checked on the sets themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ MOST_FREQUENT = 1_000_000
 FIRST = 3
 LEAF = 16
 
+#: Sets of a cluster that meet in one task; larger clusters are cut into blocks that meet in pairs.
+BLOCK = 4000
+
 _WORD = byte_class(WHITE)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -66,7 +69,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def bitmap(found: np.ndarray) -> bytes:
     """Bits of the hashes; as many as the size asks for, a power of two."""
-    bits = 64 << max(0, (len(found) * 2 - 1).bit_length() - 6)
+    bits = 64 << max(0, (len(found) * 4 - 1).bit_length() - 6)
     marks = np.zeros(bits, dtype=np.uint8)
     marks[(found >> U64(7)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(marks).tobytes()
@@ -147,7 +150,7 @@ class Parts:
         self.parents[max(p, q)] = min(p, q)
 
 
-def _descend(tree: Tree, parts: Parts, percent: int, merging: bool) -> Iterator[tuple[int, int]]:
+def _descend(tree: Tree, parts: Parts, percent: int, merging: bool, check: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
     """Pairs of members of different parts whose bitmaps allow the overlap they need."""
     sizes, bits, ones = tree.sizes, tree.bits, tree.ones
 
@@ -185,7 +188,7 @@ def _descend(tree: Tree, parts: Parts, percent: int, merging: bool) -> Iterator[
                 fits &= (100 * sizes[i] >= percent * sizes[others]) & (100 * sizes[others] >= percent * sizes[i])
                 for j in others[fits].tolist():
                     p, q = parts.root(int(tree.parts[i])), parts.root(int(tree.parts[j]))
-                    if p != q:
+                    if p != q and check(i, j):
                         yield i, j
                         if merging:
                             parts.join(p, q)
@@ -198,11 +201,13 @@ def _descend(tree: Tree, parts: Parts, percent: int, merging: bool) -> Iterator[
             todo += [(a, b.below[1]), (a, b.below[0])]
 
 
-def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], parts: np.ndarray, percent: int, merging: bool) -> list[tuple[int, int]]:
+def candidate_pairs(
+    sizes: np.ndarray, bitmaps: list[bytes], parts: np.ndarray, percent: int, merging: bool = True, check: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
     """Pairs of places of different parts that may be linked.
 
     With ``merging`` a pair puts its two parts together, so pairs form a forest; without, all are
-    given. Sets that are alike have bitmaps of one size or of neighbouring ones, so
+    given. ``check`` has the last word on a pair. Sets that are alike have bitmaps of one size or of neighbouring ones, so
     there is a tree for each two neighbouring sizes.
     """
     lengths = np.array([len(b) for b in bitmaps])
@@ -213,7 +218,8 @@ def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], parts: np.ndarray,
         if len(chosen) < 2:
             continue
         tree = Tree(sizes[chosen], [bitmaps[i] for i in chosen.tolist()], lengths[chosen] == length, parts[chosen])
-        pairs += [(int(chosen[i]), int(chosen[j])) for i, j in _descend(tree, known, percent, merging)]
+        passes = (lambda i, j: True) if check is None else lambda i, j, c=chosen: check(int(c[i]), int(c[j]))
+        pairs += [(int(chosen[i]), int(chosen[j])) for i, j in _descend(tree, known, percent, merging, passes)]
     return pairs
 
 
@@ -272,8 +278,8 @@ def _frequent(prefixes: DataFrame) -> np.ndarray:
     return np.sort(np.array(keys, dtype=np.int64).view(U64))
 
 
-def _pairs(groups: DataFrame, percent: int, merging: bool) -> DataFrame:
-    """``a, b``: candidate pairs of the groups ``key, sid, part, n, bits``."""
+def _pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs that put clusters ``part`` of a group together; ``key, sid, part, n, bits``."""
     tasks = shuffle_partitions(groups.sparkSession)
     ordered = groups.repartition(tasks, "key").sortWithinPartitions("key", "sid").select("key", "sid", "part", "n", "bits")
 
@@ -286,7 +292,7 @@ def _pairs(groups: DataFrame, percent: int, merging: bool) -> DataFrame:
                 sids = [r[1] for r in group]
                 parts = np.array([r[2] for r in group], dtype=np.int64)
                 sizes = np.array([r[3] for r in group], dtype=np.int64)
-                for i, j in candidate_pairs(sizes, [r[4] for r in group], parts, percent, merging):
+                for i, j in candidate_pairs(sizes, [r[4] for r in group], parts, percent):
                     found.add((min(sids[i], sids[j]), max(sids[i], sids[j])))
             group.clear()
 
@@ -308,39 +314,56 @@ def _pairs(groups: DataFrame, percent: int, merging: bool) -> DataFrame:
     return arrow_map(ordered, find, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are linked, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")).join(wanted, "sid", "left_semi")
-    texts = docs.join(staged(places, "places"), "id").select("sid", "text")
+def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
+    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")).join(clusters, "sid")
+    members = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    texts = docs.join(settled(places.join(members, "part"), "places"), "id").select("sid", "part", "blocks", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            sets, sids = [], []
-            for sid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingles(t, words, rolling)
-                if identity(found) == sid:  # an id may stand for several texts
-                    sids.append(sid)
-                    sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "items"])
-
-    sets = settled(arrow_map(texts, whole, "sid long, items binary").dropDuplicates(["sid"]), "whole-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b"
-    )
+            found: tuple[list, ...] = ([], [], [], [])
+            for sid, part, blocks, t in zip(*[c.to_pylist() for c in batch.columns]):
+                items = shingles(t, words, rolling)
+                if identity(items) == sid:  # an id may stand for several texts
+                    for column, value in zip(found, (sid, part, blocks, items.tobytes())):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], names=["sid", "part", "blocks", "items"])
+
+    sets = arrow_map(texts, whole, "sid long, part long, blocks long, items binary").dropDuplicates(["sid"])
+    # Each block meets each block of its cluster, itself included, in one task.
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "items")
+    ordered = met.repartition(shuffle_partitions(docs.sparkSession), "part", "x", "y").sortWithinPartitions("part", "x", "y", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            sids = [r[3] for r in group]
+            items = [np.frombuffer(r[4], dtype=np.uint64) for r in group]
+            group.clear()
+
+            def linked(i: int, j: int) -> bool:
+                shared = len(np.intersect1d(items[i], items[j], assume_unique=True))
+                return 100 * shared >= percent * (len(items[i]) + len(items[j]) - shared)
+
+            sizes = np.array([len(x) for x in items], dtype=np.int64)
+            pairs = candidate_pairs(sizes, [bitmap(x) for x in items], np.arange(len(items)), percent, check=linked) if items else []
+            columns = [pa.array([sids[p[side]] for p in pairs], pa.int64()) for side in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            kept = batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if group and group[0][:3] != row[:3]:
+                    yield close()
+                group.append(row)
+        yield close()
 
-    return arrow_map(both.select("a", "b", "x", "y"), compare, "a long, b long")
+    return arrow_map(ordered, compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -391,21 +414,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id:
 
     first = shared.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
     first = first.select("sid", F.explode("keys").alias("key")).withColumn("part", F.col("sid"))
-    pairs = staged(_pairs(first.join(bits, "sid"), percent, merging=True), "pairs")
-    links = settled(_links(pairs, prefixes, rows, words, percent), "links")
-    parts = staged(components(links), "parts")
+    pairs = settled(_pairs(first.join(bits, "sid"), percent), "pairs")
+    clusters = components(pairs)
 
-    # Groups of several components; groups of the same sets are looked at once.
-    placed = shared.join(parts, "sid", "left").select("key", "sid", F.coalesce("part", "sid").alias("part"))
-    placed = staged(placed, "placed")
+    # Groups of several clusters; groups of the same sets are looked at once.
+    placed = shared.join(clusters, "sid", "left").select("key", "sid", F.coalesce("part", "sid").alias("part"))
+    placed = settled(placed, "placed")
     mixed = placed.groupBy("key").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("who")
     )
     chosen = mixed.filter("low <> high").groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
-    crossing = placed.join(chosen, "key", "left_semi")
-    more = staged(_pairs(crossing.join(bits, "sid"), percent, merging=False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = settled(_pairs(placed.join(chosen, "key", "left_semi").join(bits, "sid"), percent), "pairs")
     if not more.isEmpty():
-        parts = staged(components(links.union(_links(more, prefixes, rows, words, percent))), "parts")
+        clusters = components(pairs.union(more))
+    parts = components(settled(_links(clusters, prefixes, rows, words, percent), "links"))
 
     sets = prefixes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     sets = sets.join(parts, "sid", "left").select("sid", "least", F.coalesce("part", "sid").alias("part"))
