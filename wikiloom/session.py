@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,8 @@ def build_session(name: str = "wikiloom", master: str | None = None, **conf: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder shared by all executors, as the session names it.
 
-    A local folder is made only where the session names none, as in tests.
+    A local folder is made only where the session names none and all its tasks run in the
+    driver, as in tests. On a cluster each machine would write to its own, so it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -41,6 +43,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(root)
     return root
