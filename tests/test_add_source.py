@@ -100,3 +100,8 @@ def test_search(spark, catalog):
     assert names("fandom:all klingon") == []
     first = add_source.add_source(catalog, tables, "fandom:cat english").filter("part = 1").first()
     assert (first.endpoint, first.resolverid) == ("http://g.fandom.org/api/v1", "wikia")
+
+
+def test_a_blank_command_changes_nothing():
+    assert add_source.add_source(None, {}, " ") is None
+    assert add_source.add_source(None, {}, "") is None

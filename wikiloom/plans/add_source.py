@@ -217,7 +217,7 @@ def add_source(catalog: DataFrame, tables: Mapping[str, DataFrame], command: str
     names of its arguments. A command that names no retriever, or an unreadable
     source, changes nothing.
     """
-    target, *words = command.split()
+    target, *words = command.split() or [""]
     retriever, *source = target.split(":")
     if retriever not in DEFAULTS or len(source) > 1 or source == [""]:
         return None
