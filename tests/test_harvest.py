@@ -162,3 +162,49 @@ def test_lists(spark):
     assert ids(corpus.holds_any(F.col("items"), ["a", "z"])) == [1, 2]
     assert ids(corpus.holds(F.col("items"), "b")) == [1]
     assert ids(corpus.holds_any(F.col("items"), [])) == []
+
+
+UNTIDY = (
+    "<a title=it's href=\"u1\">it's</a><a href=\"u2\"\" class=z>2</a> a 'quote <a href=u3 class='result-link z'>3</a>"
+    "<a href= class=result-link>4</a><a =x href='u5'>5</a><a title='<!--' href=u6>6</a><!-- --><a / href=u7 / >7</a>"
+    "<A HREF=u8/>8</A><a title=\"never closed href=no>9</a>"
+)
+
+
+def test_untidy_attributes_lose_no_link(spark):
+    found = ["u1", "u2", "u3", "class=result-link", "u5", "u6", "u7", "u8/"]
+    page = pages(spark, UNTIDY)
+    assert [h for _, _, h in hrefs(harvest.links_by_tag(page))] == found
+    assert [h for _, _, h in hrefs(harvest.links_by_class(page, "result-link"))] == ["u3"]
+    texts = [(r.href, r.text) for r in harvest.index_links(page, "").orderBy("pos").collect()]
+    assert [h for h, _ in texts] == found and texts[0] == ("u1", "it's") and texts[6] == ("u7", "7")
+
+
+@pytest.mark.parametrize(
+    ("page", "inside"),
+    [
+        ("<ul><li class=wiki><a href=in></a><li><a href=out></a></ul>", ["in"]),
+        ("<ul><li class=wiki><ul><li>x<li><a href=in></a></ul><a href=in2></a></ul><a href=out></a>", ["in", "in2"]),
+        ("<p class=wiki><a href=in></a><div><a href=out></a></div>", ["in"]),
+        ("<table><tr class=wiki><td><a href=in></a><td><table><tr><td><a href=in2></a></table><tr><td><a href=out></a></table>", ["in", "in2"]),
+        ("<dl><dt class=wiki><a href=in></a><dd><a href=out></a></dl>", ["in"]),
+        ("<div class=wiki><span></div></span><a href=out></a>", []),
+        ("<span class=wiki><p></span><a href=in></a></p></span><a href=out></a>", ["in"]),
+        ("<div class=wiki><b><p></b><a href=in></a></p></div></body><a href=out></a>", ["in"]),
+        ("<td class=wiki><a href=in></a></li></p><a href=in2></a></td>", ["in", "in2"]),
+    ],
+)
+def test_elements_without_end_tags(spark, page, inside):
+    assert [h for _, _, h in hrefs(harvest.links_within_class(pages(spark, page), "wiki"))] == inside
+
+
+def test_quotes_inside_dump_fields_are_data(spark):
+    body = (
+        "lang,prefix,http\nEnglish,5\" disc,200\nFrench,b,200\r\nGerman,7\" x,200\n\nEnglish,c,200\n"
+        "\"two\nlines, \"\"q\"\"\",d,1\nx,\"never closed,2\nlast,e,3"
+    )
+    rows = harvest.dump_rows(spark.createDataFrame([("s", body)], "source string, body string")).orderBy("line_no").collect()
+    assert [(r.lang, r.prefix, r.http) for r in rows] == [
+        ("English", '5" disc', "200"), ("French", "b", "200"), ("German", '7" x', "200"), ("English", "c", "200"),
+        ("two\nlines, \"q\"", "d", "1"), ("x", '"never closed', "2"), ("last", "e", "3"),
+    ]

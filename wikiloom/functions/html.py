@@ -20,16 +20,22 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 
-_UNSEEN = r"(?is)<!--.*?-->|<(script|style|textarea|title)\b.*?</\1\s*>"
-_ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+# Attributes as the HTML standard cuts them: a quote opens a value only right after ``=``. A
+# value whose quote is never closed makes no tag.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>|(?![\s\S])))"""
+_NAME = r"[^\s/>][^\s/>=]*+"
+_ATTRIBUTES = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}|(?!\s*+=)))*+"
+
+# What a page consists of besides text: comments, elements whose content is no markup, tags.
+_COMMENT = r"<!--.*?-->"
+_RAW = rf"<(script|style|textarea|title)(?=[\s/>]){_ATTRIBUTES}>.*?</\1(?=[\s/>])"
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(?:;|(?![=A-Za-z0-9]))")
 
 
 def _up_to(name: str) -> str:
     """Pattern of a tag's attributes up to the first of this name."""
     end = r"(?:[\s=/]|$)"
-    others = rf"(?:[\s/]*+(?!{name}{end})[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+)*+"
+    others = rf"(?:[\s/]*+(?!{name}{end}){_NAME}(?:\s*+=\s*+{_VALUE})?+)*+"
     return rf"(?is)^{others}[\s/]*+{name}(?={end})"
 
 
@@ -40,9 +46,10 @@ def _attribute(attributes: Column, name: str) -> Column:
 
 
 def tags(page: Column, tag: str = "[a-z][a-z0-9]*") -> Column:
-    """Attribute texts of all start tags of a page, in order."""
-    visible = F.regexp_replace(page, _UNSEEN, "")
-    return F.regexp_extract_all(visible, F.lit(rf"(?is)<{tag}(?=[\s/>])" + _ATTRIBUTES), F.lit(1))
+    """Attribute texts of all start tags of a page, in order; '' for everything else."""
+    wanted = rf"<{tag}(?=[\s/>])({_ATTRIBUTES})>"
+    others = rf"</?[a-z][^\s/>]*+{_ATTRIBUTES}>"
+    return F.regexp_extract_all(page, F.lit(rf"(?is){_COMMENT}|{_RAW}|{wanted}|{others}"), F.lit(2))
 
 
 def _decoded(value: str) -> str:
@@ -76,15 +83,55 @@ def link_target(attributes: Column) -> Column:
 
 
 # One step through a page: what is skipped as a whole, or one start or end tag.
-_STEP = re.compile(
-    r"<!--.*?-->"
-    r"|<(script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</\1\s*>"
-    r"|<(/?)([a-z][^\s/>]*+)" + _ATTRIBUTES,
-    re.IGNORECASE | re.DOTALL,
-)
-_NAMED_VALUE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_STEP = re.compile(rf"{_COMMENT}|{_RAW}\s*>|<(/?)([a-z][^\s/>]*+)({_ATTRIBUTES})>", re.IGNORECASE | re.DOTALL)
+_NAMED_VALUE = re.compile(rf"""({_NAME})(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 _OF_INTEREST = re.compile("href|class", re.IGNORECASE)
 
+# Which elements end without an end tag (HTML standard): a start tag ends the outermost of the
+# named open elements that lies inside any element of the second set.
+_SCOPE = frozenset("applet caption html marquee object table td template th".split())
+_SPECIAL = _SCOPE | frozenset(
+    "address area article aside base basefont bgsound blockquote body br button center col colgroup dd details dir div "
+    "dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr iframe "
+    "img input keygen li link listing main menu meta nav noembed noframes noscript ol p param plaintext pre script "
+    "search section select source style summary tbody textarea tfoot thead title tr track ul wbr xmp".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS_P = _HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+_ITEM = _SPECIAL - {"address", "div", "p"}
+_TABLE = frozenset(["table", "template"])
+_CELLS = frozenset(["td", "th"])
+_ROWS = _CELLS | {"tr", "caption", "colgroup"}
+_GROUPS = _ROWS | {"tbody", "thead", "tfoot"}
+_IMPLIED = {
+    "li": (frozenset(["li"]), _ITEM),
+    "dt": (frozenset(["dt", "dd"]), _ITEM),
+    "dd": (frozenset(["dt", "dd"]), _ITEM),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "td": (_CELLS, _TABLE),
+    "th": (_CELLS, _TABLE),
+    "tr": (_ROWS, _TABLE),
+    "tbody": (_GROUPS, _TABLE),
+    "thead": (_GROUPS, _TABLE),
+    "tfoot": (_GROUPS, _TABLE),
+}
+
+
+def _end_scope(tag: str) -> frozenset[str]:
+    """Elements across which an end tag has no effect."""
+    if tag in _TABLE or tag in _GROUPS:
+        return _TABLE
+    if tag == "li":
+        return _SCOPE | {"ul", "ol"}
+    if tag == "p":
+        return _SCOPE | {"button"}
+    return _SCOPE if tag in _SPECIAL or tag in _FORMATTING else _SPECIAL
+
 
 @dataclass
 class _Element:
@@ -118,6 +165,45 @@ def _parse(page: str, marker: str | None = None) -> list[_Element]:
                 collecting.remove(element)
         del opened[depth:]
 
+    def innermost(wanted: frozenset[str], stops: frozenset[str]) -> int | None:
+        for depth in range(len(opened) - 1, -1, -1):
+            if opened[depth][0] in wanted:
+                return depth
+            if opened[depth][0] in stops:
+                break
+        return None
+
+    def end(tag: str) -> None:
+        """An end tag closes the innermost such element and what is open in it."""
+        if tag in ("body", "html"):
+            return  # what follows belongs to the body all the same
+        depth = innermost(_HEADINGS if tag in _HEADINGS else frozenset([tag]), _end_scope(tag))
+        if depth is None:
+            return
+        if tag in _FORMATTING and any(o[0] in _SPECIAL for o in opened[depth + 1 :]):
+            # The blocks inside stay open.
+            if opened[depth][1] is not None:
+                collecting.remove(opened[depth][1])
+            del opened[depth]
+        else:
+            close(depth)
+
+    def imply_ends(tag: str) -> None:
+        wanted, stops = _IMPLIED.get(tag, (frozenset(), frozenset()))
+        outermost = None
+        for depth in range(len(opened) - 1 if wanted else -1, -1, -1):
+            # An item ends at its own kind, so that comes before the stops.
+            if opened[depth][0] in wanted:
+                outermost = depth
+            elif opened[depth][0] in stops:
+                break
+        if outermost is not None:
+            close(outermost)
+        if tag in _ENDS_P and (depth := innermost(frozenset(["p"]), _SCOPE | {"button"})) is not None:
+            close(depth)
+        if tag in _HEADINGS and opened and opened[-1][0] in _HEADINGS:
+            close(len(opened) - 1)
+
     for step in _STEP.finditer(page):
         for element in collecting:
             element.text.append(page[place : step.start()])
@@ -126,15 +212,11 @@ def _parse(page: str, marker: str | None = None) -> list[_Element]:
         if tag is None:
             continue
         tag = tag.lower()
-        if step[2] or tag == "a":
-            # An end tag closes the innermost such element and what is open in it; a
-            # link also ends the link before.
-            for depth in range(len(opened) - 1, -1, -1):
-                if opened[depth][0] == tag:
-                    close(depth)
-                    break
+        if step[2] or tag == "a":  # a link also ends the link before
+            end(tag)
         if step[2]:
             continue
+        imply_ends(tag)
         values = _values(step[4]) if _OF_INTEREST.search(step[4]) else {}
         marked = marker is not None and marker in values.get("class", "").lower().split()
         mark = marks if marked else -1

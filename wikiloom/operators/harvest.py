@@ -147,9 +147,12 @@ def dump_rows(bodies: DataFrame) -> DataFrame:
 
     ``bodies`` has ``source, body``. Gives ``source, line_no``, the four columns in
     use, NULL where the dump lacks the column, and ``columns`` as the header names.
+    A quote opens a field only at its start, anywhere else it is data. A field whose quote is
+    never closed ends with its line. Empty lines are no rows.
     """
+    each = r"""(?:"(?:[^"]++|"")*+"[^,\r\n]*+|[^,\r\n]*+)"""
     record = F.regexp_extract_all(
-        F.col("body"), F.lit(r"""((?:[^\r\n"]++|"[^"]*+")++)"""), F.lit(1)
+        F.col("body"), F.lit(rf"((?=[^\r\n]){each}(?:,{each})*+)"), F.lit(1)
     )
     lines = (
         bodies.filter(~F.contains("body", F.lit(MISSING_SOURCE)))
@@ -183,7 +186,7 @@ def _fields(line: Column) -> Column:
     return F.transform(
         raw,
         lambda f: F.when(
-            f.startswith('"'),
+            f.rlike(r'^"(?:[^"]++|"")*+"\z'),
             F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(f),
     )
