@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept. All but the
 last return the columns of ``documents``, with ``n_chars`` of the text they leave.
+
+Other columns are not carried on. Documents without a letter go in the first stage, so NULL and
+empty texts go there. Ids are meant to be unique: rows that repeat one go or stay together as near copies, and
+rows without one always stay. Without documents there is no row.
 """
 
 from __future__ import annotations
