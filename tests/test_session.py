@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from wikiloom.session import checkpoint_root
+from wikiloom.session import checkpoint_root, ship_package
 
 
 def session(master, folder=None):
@@ -19,3 +19,8 @@ def test_a_cluster_needs_a_shared_folder(master):
 
 def test_local_sessions_make_one():
     assert checkpoint_root(session("local[4]")).startswith("/tmp/run-")
+
+
+def test_workers_get_the_package(spark):
+    ship_package(spark)
+    assert sum(f.endswith("/wikiloom.zip") for f in spark.sparkContext.listFiles) == 1

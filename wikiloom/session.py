@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,21 @@ def build_session(name: str = "wikiloom", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may start in any folder.
+
+    The archive is served by the driver, so its own folder for temporary files will do.
+    """
+    package = Path(__file__).resolve().parent
+    if any(f.endswith(f"/{package.name}.zip") for f in spark.sparkContext.listFiles):
+        return
+    base = Path(tempfile.mkdtemp(prefix="run-")) / package.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
