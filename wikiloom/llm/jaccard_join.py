@@ -201,6 +201,30 @@ def _descend(tree: Tree, parts: Parts, percent: int, merging: bool, check: Calla
             todo += [(a, b.below[1]), (a, b.below[0])]
 
 
+def _leaf_pairs(sizes: list[int], bitmaps: list[bytes], parts: list[int], percent: int, merging: bool, check: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """As ``_descend`` for members that make one leaf, each two at the smaller size of their bitmaps."""
+    known = Parts()
+    numbers = [int.from_bytes(b, "little") for b in bitmaps]
+    lengths = [len(b) for b in bitmaps]
+    for j in range(1, len(sizes)):
+        for i in range(j):
+            if 100 * sizes[i] < percent * sizes[j] or 100 * sizes[j] < percent * sizes[i]:
+                continue
+            p, q = known.root(parts[i]), known.root(parts[j])
+            if p == q:
+                continue
+            x, y = (i, j) if lengths[i] <= lengths[j] else (j, i)
+            a, b, length = numbers[x], numbers[y], lengths[y]
+            while length > lengths[x]:
+                length //= 2
+                b = b >> 8 * length | b & (1 << 8 * length) - 1
+            overlap = (a & b).bit_count() + min(sizes[x] - a.bit_count(), sizes[y] - b.bit_count())
+            if overlap >= least_overlap(sizes[i], sizes[j], percent) and check(i, j):
+                yield i, j
+                if merging:
+                    known.join(p, q)
+
+
 def candidate_pairs(
     sizes: np.ndarray, bitmaps: list[bytes], parts: np.ndarray, percent: int, merging: bool = True, check: Callable[[int, int], bool] | None = None
 ) -> list[tuple[int, int]]:
@@ -210,6 +234,8 @@ def candidate_pairs(
     given. ``check`` has the last word on a pair. Sets that are alike have bitmaps of one size or of neighbouring ones, so
     there is a tree for each two neighbouring sizes.
     """
+    if len(bitmaps) <= LEAF:
+        return list(_leaf_pairs(sizes.tolist(), bitmaps, parts.tolist(), percent, merging, check or (lambda i, j: True)))
     lengths = np.array([len(b) for b in bitmaps])
     known = Parts()
     pairs: list[tuple[int, int]] = []
