@@ -6,6 +6,7 @@ one Arrow batch of documents and the arrays of one document.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,19 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans that are made and run inside, then as before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` stored and read back, and the shuffle files behind it released.
 

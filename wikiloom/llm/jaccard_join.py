@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, settled, shuffle_partitions, word_bounds
+from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, configured, fields, mix, settled, shuffle_partitions, word_bounds
 from wikiloom.session import staged
 
 WORDS = 5
@@ -40,6 +40,15 @@ LEAF = 16
 #: Sets of a cluster that meet in one task; larger clusters are cut into blocks that meet in pairs.
 BLOCK = 4000
 
+#: For the join of a cluster's sets with their texts: Spark drops texts of other documents by a Bloom filter
+#: of ids before it shuffles, also where its default takes the texts for too few. The filter has a fixed
+#: 1 MB; with many millions of near copies it lets most through and the join costs a shuffle of the texts.
+PRUNED = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
 _WORD = byte_class(WHITE)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -344,7 +353,9 @@ def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
     places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")).join(clusters, "sid")
     members = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    texts = docs.join(settled(places.join(members, "part"), "places"), "id").select("sid", "part", "blocks", "text")
+    # The filter says what all rows have, but tells Spark that this side may prune the other.
+    few = settled(places.join(members, "part"), "places").filter("blocks >= 1")
+    texts = docs.join(few, "id").select("sid", "part", "blocks", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -453,7 +464,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id:
     more = settled(_pairs(placed.join(chosen, "key", "left_semi").join(bits, "sid"), percent), "pairs")
     if not more.isEmpty():
         clusters = components(pairs.union(more))
-    parts = components(settled(_links(clusters, prefixes, rows, words, percent), "links"))
+    with configured(rows.sparkSession, PRUNED):
+        links = settled(_links(clusters, prefixes, rows, words, percent), "links")
+    parts = components(links)
 
     sets = prefixes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     sets = sets.join(parts, "sid", "left").select("sid", "least", F.coalesce("part", "sid").alias("part"))
