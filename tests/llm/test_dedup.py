@@ -171,7 +171,9 @@ def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block)
     assert rows_of(jaccard_join.near_copies(docs)) == brute_copies(rows)
 
 
-def test_trees_lose_no_pair():
+@pytest.mark.parametrize("leaf", [8, 64, 200])
+def test_trees_lose_no_pair(monkeypatch, leaf):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
     sets = []

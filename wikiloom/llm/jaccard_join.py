@@ -35,7 +35,7 @@ MOST_FREQUENT = 1_000_000
 
 #: Groups of the first round that each set goes to.
 FIRST = 3
-LEAF = 16
+LEAF = 64
 
 #: Sets of a cluster that meet in one task; larger clusters are cut into blocks that meet in pairs.
 BLOCK = 4000
