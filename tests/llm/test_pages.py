@@ -107,3 +107,31 @@ def test_deep_pages_do_not_break(spark):
     rows = [(1, "http://h.example/", "<div>" * 5000 + "deep" + "</div>" * 5000)]
     found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert [r["text"] for r in found.collect()] == ["deep"]
+
+
+def test_text_below_any_level_counts_as_varying(spark):
+    rows, expected = [], {}
+    for i in range(5):
+        deep = "<div>" * 60 + f"<p>Story {i} of the day</p><div>Read on</div>" + "</div>" * 60
+        rows += [(i, "http://a.example/", page(f"<article><h1>Title {i}</h1>{deep}</article>")), (10 + i, "http://b.example/", page(f"<h1>Title {i}</h1>{deep}"))]
+        expected |= dict.fromkeys((i, 10 + i), f"Title {i}\n\nStory {i} of the day")
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()} == expected
+
+
+def test_wide_pages_keep_their_text_and_lose_their_template(spark):
+    """Over 64 runs of siblings: constant ones are template and varying ones are read, wherever they stand."""
+    rows, expected = [], {}
+    for i in range(6):
+        runs = "".join(f"<p>Part {j} of story {i}</p><div class=x{j}>Notice {j}</div>" for j in range(50))
+        late = "".join(f"<div class=a{j}>Box</div><div class=b{j}>Box</div>" for j in range(40)) + f"<section>End of story {i}</section>"
+        rows.append((i, "http://w.example/", page(f"<article>{runs}<div>{late}</div></article>")))
+        expected[i] = "\n\n".join([*(f"Part {j} of story {i}" for j in range(50)), f"End of story {i}"])
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()} == expected
+
+
+def test_rare_nodes_leave_what_varies_in_them():
+    leaf = lambda kind, pages, text, size, *kids: [kind, pages, text, size, list(kids)]
+    found = html_extract.pruned(leaf("div", 10, "", 0, leaf("p", 5, "h", 9), leaf("ul", 4, "", 0, leaf("li", 4, "*", 7)), leaf("b", 2, "k", 3)), 10)
+    assert found == leaf("div", 10, "*", 7, leaf("p", 5, "h", 9))

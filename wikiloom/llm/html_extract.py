@@ -26,9 +26,6 @@ from wikiloom.session import staged
 
 #: Hosts whose wrappers a task holds before it hands them on.
 HELD = 1000
-#: Children that a wrapper's node keeps, those of most pages; rarer ones are no template.
-WIDTH = 64
-DEPTH = 40
 DEEPEST = 200
 SALTS = 32
 
@@ -133,19 +130,18 @@ def parse(page: str) -> Node:
 KIND, PAGES, TEXT, SIZE, KIDS = range(5)
 
 
-def skeleton(node: Node, depth: int = 0) -> list:
-    """A page's tree as a wrapper of one page."""
+def skeleton(node: Node) -> list:
+    """A page's tree as a wrapper of one page, as deep as it was parsed."""
     text = " ".join(" ".join(c for c in node.content if type(c) is str).split())
     hashed = xxhash.xxh64_hexdigest(text) if text else ""
     kids: list[list] = []
-    if depth < DEPTH:
-        for child in node.content:
-            if type(child) is Node and child.tag not in HIDDEN:
-                own = skeleton(child, depth + 1)
-                if kids and kids[-1][KIND] == own[KIND]:
-                    kids[-1] = merge(kids[-1], own, 0)
-                else:
-                    kids.append(own)
+    for child in node.content:
+        if type(child) is Node and child.tag not in HIDDEN:
+            own = skeleton(child)
+            if kids and kids[-1][KIND] == own[KIND]:
+                kids[-1] = merge(kids[-1], own, 0)
+            else:
+                kids.append(own)
     return [node.kind, 1, hashed, len(text), kids]
 
 
@@ -169,13 +165,17 @@ def aligned(left: list, right: list) -> list[tuple[int, int]]:
     """Pairs of places of matched siblings, in order."""
     if [n[KIND] for n in left] == [n[KIND] for n in right]:
         return [(i, i) for i in range(len(left))]
-    best, weights = _table(left, right)
-    i, j, pairs = len(left), len(right), []
+    # Kinds of one side only match nothing, so they need no place in the table.
+    both = {n[KIND] for n in left} & {n[KIND] for n in right}
+    of_left = [i for i, n in enumerate(left) if n[KIND] in both]
+    of_right = [j for j, n in enumerate(right) if n[KIND] in both]
+    best, weights = _table([left[i] for i in of_left], [right[j] for j in of_right])
+    i, j, pairs = len(of_left), len(of_right), []
     while i and j:
         w = weights[i - 1][j - 1]
         if w and best[i][j] == best[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((of_left[i], of_right[j]))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
@@ -194,12 +194,24 @@ def merge(a: list, b: list, more: int = 1) -> list:
         if x < len(a[KIDS]):
             kids.append(merge(a[KIDS][x], b[KIDS][y], more))
         i, j = x + 1, y + 1
-    if len(kids) > WIDTH:
-        least = sorted((k[PAGES] for k in kids), reverse=True)[WIDTH - 1]
-        kids = [k for k in kids if k[PAGES] >= least][:WIDTH]
     return [a[KIND], pages, text, a[SIZE] + b[SIZE], kids]
 
 
+def pruned(node: list, pages: int) -> list:
+    """A wrapper of all ``pages`` of a host without nodes of less than half of them, which are no template.
+
+    What varies in them counts as text of the node above.
+    """
+    kids, text, size = [], node[TEXT], node[SIZE]
+    for kid in node[KIDS]:
+        if kid[PAGES] * 2 >= pages:
+            kids.append(pruned(kid, pages))
+        elif lost := _varying(kid):
+            size = lost + (size if text == "*" else 0)
+            text = "*"
+    return [node[KIND], node[PAGES], text, size, kids]
+
+
 def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host, wrapper`` from all pages; the wrapper as JSON."""
     rows = pages.select(url_host(F.col(url)).alias("host"), F.col(html).alias("html")).filter("html <> ''")
@@ -220,16 +232,23 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                     yield out()
         yield out()
 
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
+    def united(group: pd.DataFrame) -> list:
         whole = None
         for text in sorted(group["wrapper"]):
             part = json.loads(text)
             whole = part if whole is None else merge(whole, part)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+        return whole
+
+    def unite(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(united(group))]})
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        whole = united(group)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(pruned(whole, whole[PAGES]))]})
 
     parts = arrow_map(rows, fold, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     some = parts.groupBy("host", "salt").applyInPandas(unite, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(unite, "host string, wrapper string")
+    return some.groupBy("host").applyInPandas(finish, "host string, wrapper string")
 
 
 # -- reading a page ------------------------------------------------------------------
@@ -318,8 +337,8 @@ class Wrapper:
                 blocks.append(block)
             parts.clear()
 
-        def read(node: Node, slot: list | None, depth: int) -> None:
-            slots = {id(c): s for c, s in self._pairs(node, slot)} if slot is not None and depth < DEPTH else {}
+        def read(node: Node, slot: list | None) -> None:
+            slots = {id(c): s for c, s in self._pairs(node, slot)} if slot is not None else {}
             for item in node.content:
                 if type(item) is str:
                     parts.append(item)
@@ -332,12 +351,12 @@ class Wrapper:
                     inline = item.tag in INLINE
                     if not inline:
                         end()
-                    read(item, slots.get(id(item)), depth + 1)
+                    read(item, slots.get(id(item)))
                     if not inline:
                         end()
 
         for node, slot in self.region(root):
-            read(node, slot, 0)
+            read(node, slot)
             end()
         return "\n\n".join(blocks)
 
