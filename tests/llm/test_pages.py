@@ -135,3 +135,22 @@ def test_rare_nodes_leave_what_varies_in_them():
     leaf = lambda kind, pages, text, size, *kids: [kind, pages, text, size, list(kids)]
     found = html_extract.pruned(leaf("div", 10, "", 0, leaf("p", 5, "h", 9), leaf("ul", 4, "", 0, leaf("li", 4, "*", 7)), leaf("b", 2, "k", 3)), 10)
     assert found == leaf("div", 10, "*", 7, leaf("p", 5, "h", 9))
+
+
+def test_unmarked_pages_keep_all_that_varies(spark):
+    """Titles and leads beside the node with most of the text, at several levels."""
+    rows, expected = [], {}
+    for i in range(8):
+        story = "".join(f"<p>{f'Part {j} of story {i} '.strip()} {'and more ' * 30}</p>" for j in range(4))
+        inner = f"<div>By author {i}</div><div class=body>{story}</div><p>All rights reserved</p>"
+        rows.append((i, "http://a.example/", page(f"<a>Home</a><h1>Title {i}</h1><p>lead {i}</p><div>Site name</div><nav>Go {i}</nav><div class=all>{inner}</div>")))
+        parts = [f"Part {j} of story {i} {'and more ' * 30}".strip() for j in range(4)]
+        expected[i] = "\n\n".join([f"Title {i}", f"lead {i}", f"By author {i}", *parts])
+        # Only one child of the body varies: the rest is left out, whatever its tags are.
+        rows.append((20 + i, "http://b.example/", page(f"Site <a>Home</a><p>Slogan</p><div class=x><h2>Title {i}</h2><p>text {i}</p></div><p>Imprint</p>")))
+        expected[20 + i] = f"Title {i}\n\ntext {i}"
+    rows += [(40 + i, "http://two.example/", page(f"<p>same</p><div>text {i}</div>")) for i in range(2)]
+    expected |= {40 + i: f"same\n\ntext {i}" for i in range(2)}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()}
+    assert {i: t.replace("\n\nAll rights reserved", "") for i, t in found.items()} == expected

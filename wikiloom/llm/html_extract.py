@@ -38,6 +38,7 @@ INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption b i em strong span a".split())
+NONE: frozenset = frozenset()
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar "
@@ -184,9 +185,11 @@ def aligned(left: list, right: list) -> list[tuple[int, int]]:
 
 
 def merge(a: list, b: list, more: int = 1) -> list:
-    """The wrapper of both; with ``more`` 0 of two siblings on one page."""
+    """The wrapper of both; with ``more`` 0 of two siblings on one page, which vary only if pages differ in them."""
     pages = a[PAGES] + b[PAGES] if more else max(a[PAGES], b[PAGES])
     text = a[TEXT] if a[TEXT] == b[TEXT] else "*"
+    if text == "*" and not more and "*" not in (a[TEXT], b[TEXT]):
+        text = xxhash.xxh64_hexdigest(a[TEXT] + b[TEXT]) if a[TEXT] and b[TEXT] else a[TEXT] or b[TEXT]
     kids: list[list] = []
     i = j = 0
     for x, y in [*aligned(a[KIDS], b[KIDS]), (len(a[KIDS]), len(b[KIDS]))]:
@@ -260,6 +263,10 @@ def _varying(node: list) -> int:
     return own + sum(_varying(k) for k in node[KIDS])
 
 
+def _blank(node: Node) -> bool:
+    return all(not c.strip() if type(c) is str else c.tag in HIDDEN or _blank(c) for c in node.content)
+
+
 def _main_nodes(node: Node, found: list[Node]) -> list[Node]:
     for child in node.children():
         if child.tag in MAIN:
@@ -291,14 +298,19 @@ class Wrapper:
         match = {i: slot[KIDS][j] for i, j in aligned(runs, slot[KIDS])}
         return [(c, match.get(i)) for i, run in enumerate(members) for c in run]
 
-    def _is_template(self, node: Node, slot: list | None) -> bool:
+    def _known(self, slot: list | None) -> bool:
+        """Whether a slot is on so many of the host's pages that what is the same there is template."""
+        return self.varies and slot is not None and slot[PAGES] >= 3 and slot[PAGES] * 2 >= self.root[PAGES]
+
+    def _is_template(self, node: Node, slot: list | None, spared: frozenset = PROSE) -> bool:
         """Whether a node and all below it is the same on the host's pages that have it."""
-        if slot is None or node.tag in PROSE or slot[PAGES] < 3 or self.root[PAGES] < 3:
-            return False
-        return slot[PAGES] * 2 >= self.root[PAGES] and not _varying(slot) and self.varies
+        return node.tag not in spared and self._known(slot) and not _varying(slot)
 
-    def region(self, root: Node) -> list[tuple[Node, list | None]]:
-        """What holds the main text: marked as such, or the least node with most of the varying text."""
+    def region(self, root: Node) -> list[tuple[Node, list | None, frozenset]]:
+        """What holds the main text: marked as such, or the lowest node with all that is not template or apart.
+
+        With each the tags of children that are never taken for template.
+        """
         marked = _main_nodes(root, [])
         if marked:
             wanted = {id(n) for n in marked}
@@ -312,16 +324,17 @@ class Wrapper:
                         find(child, own)
 
             find(root, self.root)
-            return [(n, slots.get(id(n))) for n in marked]
+            return [(n, slots.get(id(n)), PROSE) for n in marked]
         node, slot = root, self.root
         while slot is not None:
-            inner = [(c, s) for c, s in self._pairs(node, slot) if not c.apart and s is not None and c.tag not in PROSE]
-            total = sum(_varying(s) for _, s in {id(s): (c, s) for c, s in self._pairs(node, slot) if s is not None and not c.apart}.values())
-            heavy = [(c, s) for c, s in inner if total and _varying(s) * 10 >= total * 8]
-            if len(heavy) != 1:
+            if any(type(c) is str and c.strip() for c in node.content) and (slot[TEXT] == "*" or not self._known(slot)):
+                break
+            inner = [(c, s) for c, s in self._pairs(node, slot) if not c.apart and not self._is_template(c, s, NONE) and not _blank(c)]
+            if len(inner) != 1 or inner[0][0].tag in PROSE:
                 break
-            node, slot = heavy[0]
-        return [(node, slot)]
+            node, slot = inner[0]
+        # Among varying text of its own a constant word is part of a sentence.
+        return [(node, slot, NONE if slot is not None and slot[TEXT] != "*" else INLINE)]
 
     def text(self, page: str | None) -> str:
         if not page:
@@ -337,7 +350,7 @@ class Wrapper:
                 blocks.append(block)
             parts.clear()
 
-        def read(node: Node, slot: list | None) -> None:
+        def read(node: Node, slot: list | None, spared: frozenset = PROSE) -> None:
             slots = {id(c): s for c, s in self._pairs(node, slot)} if slot is not None else {}
             for item in node.content:
                 if type(item) is str:
@@ -347,7 +360,7 @@ class Wrapper:
                 elif item.apart or item.tag in HIDDEN:
                     if item.tag not in INLINE:
                         end()
-                elif not self._is_template(item, slots.get(id(item))):
+                elif not self._is_template(item, slots.get(id(item)), spared):
                     inline = item.tag in INLINE
                     if not inline:
                         end()
@@ -355,8 +368,8 @@ class Wrapper:
                     if not inline:
                         end()
 
-        for node, slot in self.region(root):
-            read(node, slot)
+        for node, slot, spared in self.region(root):
+            read(node, slot, spared)
             end()
         return "\n\n".join(blocks)
 
@@ -366,8 +379,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     Elements that the standard or their class sets apart from the main text are left out, and so is
     what the host's wrapper knows as template. Where the page marks its article, the text is read
-    there, and paragraphs are never taken for template; elsewhere in the least node with most of
-    the varying text. Blocks have their white space made single and are joined by an empty
+    there, and paragraphs are never taken for template; elsewhere in the lowest node that holds all that
+    is neither template nor apart, without its constant children. Blocks have their white space made single and are joined by an empty
     line. NULL or empty html gives ''; a NULL url is a host of its own. Equal pages prove no
     template. No row is lost; columns of the new names are replaced.
     """
