@@ -199,3 +199,9 @@ def test_no_documents(nothing):
     assert rows_of(jaccard_join.near_copies(nothing)) == []
     assert rows_of(suffix_dedup.find_repeats(nothing)) == []
     assert rows_of(substring_dedup.find_repeats(nothing)) == []
+
+
+def test_a_row_without_an_id_links_two_others(spark):
+    rows = [(1, 0), (None, 10), (2, 20), (None, 10)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(s, s + 100))) for i, s in rows], "doc_id long, text string")
+    assert rows_of(jaccard_join.near_copies(docs)) == sorted([(1, 96, 1), (None, 96, 1), (2, 96, 1), (None, 96, 1)], key=repr)

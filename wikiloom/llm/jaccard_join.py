@@ -262,11 +262,12 @@ def candidate_pairs(
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
-    """``id, n, sid, keys, bits``; keys and bits where a task meets the set first.
+    """``id, mark, n, sid, keys, bits``; keys and bits where a task meets the set first.
 
+    ``mark`` is a hash of the text, by which rows of one id are told apart.
     ``frequent`` is a broadcast sorted array of shingles that come last in the order.
     """
-    schema = fields(docs.schema["id"], "n long, sid long, keys array<long>, bits binary")
+    schema = fields(docs.schema["id"], "mark long, n long, sid long, keys array<long>, bits binary")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -274,7 +275,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             sizes, sids, keys, bits = [], [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 found = shingles(t, words, rolling)
                 sid = identity(found)
                 sizes.append(len(found))
@@ -294,10 +295,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                     found_first = found
                 keys.append(found_first[:most].view(np.int64))
                 bits.append(bitmap(found))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sid", "keys", "bits"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "sid", "keys", "bits"])
 
-    return arrow_map(docs.select("id", "text"), find, schema)
+    return arrow_map(docs.select("id", F.xxhash64("text").alias("mark"), "text"), find, schema)
 
 
 def _frequent(prefixes: DataFrame) -> np.ndarray:
@@ -351,11 +352,14 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
 
 def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
-    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")).join(clusters, "sid")
+    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.min("mark").alias("mark")).join(clusters, "sid")
     members = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # The filter says what all rows have, but tells Spark that this side may prune the other.
     few = settled(places.join(members, "part"), "places").filter("blocks >= 1")
     texts = docs.join(few, "id").select("sid", "part", "blocks", "text")
+    # Sets of rows without an id only are found by the hash of a text.
+    nameless = docs.filter("id IS NULL").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"])
+    texts = texts.union(nameless.join(few.filter("id IS NULL"), "mark").select("sid", "part", "blocks", "text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
