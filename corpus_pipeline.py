@@ -4,8 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
 last return the columns of ``documents``, with ``n_chars`` of the text they leave.
 
 Other columns are not carried on. Documents without a letter go in the first stage, so NULL and
-empty texts go there. Ids are meant to be unique: rows that repeat one go or stay together as near copies, and
-rows without one always stay. Without documents there is no row.
+empty texts go there. Ids are meant to be unique, but near copies are told by row: of rows that repeat an id, or have
+none, one of each group stays like of others. A row that has no near copy goes, though, if another row of its id goes
+as a copy of a document of a lesser id. Without documents there is no row.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies; rows without an id stay."""
-    groups = jaccard_join.near_copies(docs)
-    dropped = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(staged(dropped, "copies"), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: that of the least id, rows without an id last."""
+    return jaccard_join.survivors(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

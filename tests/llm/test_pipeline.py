@@ -100,3 +100,21 @@ def test_pipeline_of_no_documents(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    """Also where rows repeat an id or have none, so that the next stage does not take their text for a repeat."""
+    words = [f"word{i}" for i in range(60)]
+    story, other, third = (" ".join(f"{head}{w}" for w in words) for head in ("a", "b", "c"))
+    rows = [
+        (1, story), (1, story), (2, story + " end"), (3, other), (None, other), (None, third), (None, third), (None, third + " end"),
+        (4, "alone with some words here"), (4, "not the same words at all"), (5, " "), (5, " "), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").select("doc_id", "text").collect()]
+    nameless = [t for i, t in kept if i is None and t]
+    assert len(nameless) == 1 and nameless[0].startswith(third)
+    expected = [(1, story), (3, other), rows[8], rows[9], (5, " "), (5, " "), (None, None)]
+    assert sorted((k for k in kept if k[0] or not k[1]), key=repr) == sorted(expected, key=repr)
+    cleaned = corpus_pipeline.repeated_passages(spark, spark.createDataFrame([(i, t, "en", None, 0) for i, t in kept], docs.schema), "")
+    assert sorted((tuple(r) for r in cleaned.select("doc_id", "text").collect()), key=repr) == sorted(kept, key=repr)

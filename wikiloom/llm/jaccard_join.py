@@ -430,17 +430,8 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document.
-
-    A document's set are its distinct runs of ``words`` words, ASCII letters lower-cased; with
-    fewer words the whole sequence is its one shingle, and without words the set is empty and
-    linked with nothing. Two documents link if the sets share ``percent`` of their union or
-    more; ``component_id`` is the least id that links reach, the document's own included.
-    Documents with equal sets are handled as one. Rows that repeat an id count one by one. A NULL id
-    gets the least other id of its component, or NULL. NULL texts are empty.
-    """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What ``_prefixes`` says of each row ``id, text``, and ``sid, part`` of all sets that are linked with others."""
     context = rows.sparkSession.sparkContext
     nothing = context.broadcast(np.zeros(0, dtype=U64))
     frequent = _frequent(_prefixes(rows, words, percent, nothing))
@@ -471,7 +462,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id:
     with configured(rows.sparkSession, PRUNED):
         links = settled(_links(clusters, prefixes, rows, words, percent), "links")
     parts = components(links)
+    return prefixes, parts
 
+
+def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each document.
+
+    A document's set are its distinct runs of ``words`` words, ASCII letters lower-cased; with
+    fewer words the whole sequence is its one shingle, and without words the set is empty and
+    linked with nothing. Two documents link if the sets share ``percent`` of their union or
+    more; ``component_id`` is the least id that links reach, the document's own included.
+    Documents with equal sets are handled as one. Rows that repeat an id count one by one. A NULL id
+    gets the least other id of its component, or NULL. NULL texts are empty.
+    """
+    prefixes, parts = _linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), words, percent)
     sets = prefixes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     sets = sets.join(parts, "sid", "left").select("sid", "least", F.coalesce("part", "sid").alias("part"))
     least = sets.groupBy("part").agg(F.min("least").alias("component_id"))
@@ -479,3 +483,35 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id:
     found = prefixes.join(classes, "sid", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, and all rows without words.
+
+    It is the row of the least id, rows without an id last, and of the least hash of the text among rows of that id.
+    Of rows that are equal in both, one stays. A row without near copies goes with its id, if another row of
+    that id is a copy of a document of a lesser id.
+    """
+    prefixes, parts = _linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), words, percent)
+    rows = prefixes.filter("n > 0").join(parts, "sid", "left").select(F.coalesce("part", "sid").alias("part"), "id", "mark")
+    keys = settled(rows.groupBy("part", "id", "mark").count(), "keys")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    best = keys.groupBy("part").agg(F.min(order).alias("best"), F.sum("count").alias("rows")).select("part", "best.id", "best.mark", "rows")
+    best = staged(best.toDF("part", "best_id", "best_mark", "rows"), "best")
+    is_best = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
+    judged = staged(keys.join(best, "part").select("id", "mark", "count", "rows", is_best.alias("kept"), (F.col("id") != F.col("best_id")).alias("later")), "judged")
+    later = judged.filter("later").select(F.col("id").alias("later_id")).distinct()
+    judged = judged.join(later, F.col("id") == F.col("later_id"), "left").withColumn("kept", F.expr("kept AND (rows > 1 OR later_id IS NULL)"))
+    gone = staged(judged.filter("NOT kept").select("id", "mark"), "gone")
+    again = staged(judged.filter("kept AND count > 1").select("id", "mark"), "again")
+
+    def chosen(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["__id"].eqNullSafe(keys["id"]) & (rows["__mark"] == keys["mark"]), how)
+
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("__id"), F.xxhash64(text).alias("__mark"))
+    left = chosen(marked, gone, "left_anti")
+    if not again.isEmpty():
+        # Partial aggregates leave one row of each in a task before the shuffle.
+        one = chosen(left, again, "left_semi").groupBy("__id", "__mark").agg(F.first("row").alias("row"))
+        left = chosen(left, again, "left_anti").select("row").union(one.select("row"))
+    return left.select("row.*")
