@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wikiloom.llm import bpe_trie, decontaminate, fingerprints, html_extract, jaccard_join, langid, substring_dedup, suffix_dedup, token_counts, url_filter
+from wikiloom.llm import bpe_trie, decontaminate, fingerprints, hard_negatives, html_extract, jaccard_join, langid, simhash, substring_dedup, suffix_dedup, token_counts, url_filter, whitening
 from wikiloom.llm.common import is_held_out
 
 
@@ -71,11 +71,30 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & whitening.is_complete("embedding"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), whitening.stepped("embedding", 256).alias("q"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").filter(whitening.is_complete("embedding"))
+    rows = rows.select("vec_id", whitening.stepped("embedding", 64, 1_000_000).alias("x"))
+    found = whitening.fit_and_whiten(rows, "x")
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_ngram_jaccard_join, op3_token_counts, op4_bpe_trie, op5_winnowing,
         op6_url_filter, op7_decontamination, op8_suffix_array_dedup, op9_substring_dedup, op10_html_extraction,
+        op11_hard_negatives, op12_whitening, op13_simhash,
     )
 }
 
@@ -144,4 +163,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op6_url_filter": OP6, "op7_decontamination": OP7, "op9_substring_dedup": OP9}
+OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[CAST(i AS INT)] * b.q[CAST(i AS INT)])), 0) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) t WHERE place <= 5),
+n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op6_url_filter": OP6, "op7_decontamination": OP7, "op9_substring_dedup": OP9, "op11_hard_negatives": OP11}
