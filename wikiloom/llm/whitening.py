@@ -124,15 +124,23 @@ def bidiagonalise(product: Callable[[np.ndarray], np.ndarray], dims: int) -> tup
         v = orthogonal(v)
         return v / np.linalg.norm(v)
 
+    def apart(left: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """X left without the left vectors so far, with its image and length."""
+        for _ in range(2):
+            known = lefts @ image
+            left, image = left - lefts.T @ known, image - images.T @ known
+        return left, image, float(np.sqrt(max(left @ image, 0.0)))
+
     v = start()
     for k in range(dims):
         image, left = product(v), v
         rights = np.vstack([rights, v])
-        largest = max(largest, float(np.sqrt(max(v @ image, 0.0))))
-        for _ in range(2):
-            known = lefts @ image
-            left, image = left - lefts.T @ known, image - images.T @ known
-        alpha = float(np.sqrt(max(left @ image, 0.0)))
+        whole = float(np.sqrt(max(v @ image, 0.0)))
+        largest = max(largest, whole)
+        left, image, alpha = apart(left, image)
+        if alpha < 0.1 * whole:
+            # Little is left of Xv, and of its digits, so its product is made anew.
+            left, image, alpha = apart(left, product(left))
         if alpha <= _TINY_LEFT * largest:
             # Xv lies in the span of the left vectors.
             alpha, left, image = 0.0, np.zeros(dims), np.zeros(dims)
