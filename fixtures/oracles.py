@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from fixtures.views import WORDS, with_views
 from wikiloom.operators.probes import GENERIC_SUFFIXES, WIKIA_SUFFIXES
-from wikiloom.plans.add_source import RETRIEVERS
+from wikiloom.operators.languages import iso_languages
+from wikiloom.plans.retrievers import registered_sources
 
-LANGUAGES = [("English", "en"), ("French", "fr"), ("German", "de"), ("Spanish", "es")]
+LANGUAGES = [(name, code) for _, name, code in iso_languages()]
 
 
 def host(url: str) -> str:
@@ -120,11 +121,11 @@ _SOURCE = "'project' || CAST(page_id AS STRING)"
 DUMP_ROWS = f"""(
   SELECT {_SOURCE} AS source, k.line_no AS line_no,
     CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ['German', '', 'ENGLISH'][k.line_no + 1] ELSE ['English', '', 'French', 'English'][k.line_no + 1] END AS lang,
-    CASE page_id % 4 WHEN 0 THEN [{_PREFIX}, 'm', 'x "y", z'][k.line_no + 1] WHEN 1 THEN ['de', {_PREFIX}, 'www'][k.line_no + 1] END AS prefix,
+    CASE page_id % 4 WHEN 0 THEN [{_PREFIX}, 'm', 'x "y", z', '"x"y', '6" z', 'two' || chr(10) || 'lines'][k.line_no + 1] WHEN 1 THEN ['de', {_PREFIX}, 'www'][k.line_no + 1] END AS prefix,
     CASE WHEN page_id % 4 > 1 THEN url END AS statsurl,
-    CASE page_id % 4 WHEN 0 THEN ['200', '404', '200'][k.line_no + 1] WHEN 1 THEN NULL ELSE ['200', '404', '200', 'n/a'][k.line_no + 1] END AS http
-  FROM pages CROSS JOIN (VALUES (0), (1), (2), (3)) k(line_no)
-  WHERE page_id % 13 <> 7 AND (k.line_no < 3 OR page_id % 4 > 1))"""
+    CASE page_id % 4 WHEN 0 THEN ['200', '404', '200', '200', '404', '200'][k.line_no + 1] WHEN 1 THEN NULL ELSE ['200', '404', '200', 'n/a'][k.line_no + 1] END AS http
+  FROM pages CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) k(line_no)
+  WHERE page_id % 13 <> 7 AND k.line_no < [6, 3, 4, 4][page_id % 4 + 1])"""
 
 DUMP_LINKS = f"""(
   SELECT CASE WHEN prefix IS NOT NULL THEN
@@ -265,11 +266,18 @@ SELECT DISTINCT * FROM (
   UNION ALL
   SELECT 'details', endpoint || '/Articles/Details?ids=' || article_id || '&abstract=500' FROM {WIKIA_CARDS} d) x"""
 
+
+
+def _about_pages(sql: str) -> str:
+    """The same for the messages that ask about pages, of wikis where titles name pages."""
+    return sql.replace("fx_messages", "fx_asks").replace("fx_articles", "fx_wiki_pages")
+
+
 _TITLED = "(SELECT * FROM fx_articles WHERE article_id IN (SELECT min(article_id) FROM fx_articles GROUP BY host, title))"
 
 _DOC_WORDS = ", ".join(f"'{w}'" for w in WORDS)
 
-_REGISTERED = ", ".join(f"('{r}', '{s}')" for r, names in RETRIEVERS.items() for s in names)
+_REGISTERED = ", ".join(f"('{r}', '{s}')" for r, names in registered_sources().items() for s in names)
 
 _LANGUAGE_ROWS = ", ".join(f"('{n}', '{c}')" for n, c in LANGUAGES)
 
@@ -317,9 +325,9 @@ UNION ALL SELECT '.result-link', page_id, 0, 'http://' || {host('url')} || '//'
     "page_frontier": "SELECT seed, page_no, seed || '?page=' || page_no AS url FROM (SELECT term AS seed, CAST(unnest(range(1, last_page + 1)) AS INT) AS page_no FROM (SELECT DISTINCT term, last_page FROM fx_paginator) p) n",
     "paginator_chase": LAST_PAGES,
     "template_expand": f"""
-SELECT id, project, prefix, CASE WHEN template IS NULL THEN '' ELSE replace(template, ';;;', prefix) END AS url
+SELECT id, project, prefix, CASE WHEN template IS NULL THEN '' ELSE 'http://' || replace(template, slot, prefix) END AS url
 FROM (SELECT id, prefix, split_part(url_host, '.', -1) AS project FROM (SELECT *, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS url_host FROM fx_dump JOIN pages ON page_id = id) j) d
-LEFT JOIN (SELECT split_part({host('statsurl')}, '.', -1) AS p, 'http://' || arg_min(replace({host('statsurl')}, prefix, ';;;'), id) AS template FROM fx_dump WHERE {host('statsurl')} IS NOT NULL GROUP BY 1) t ON t.p = d.project""",
+LEFT JOIN (SELECT split_part({host('statsurl')}, '.', -1) AS p, arg_min({host('statsurl')}, id) AS template, arg_min(prefix, id) AS slot FROM fx_dump WHERE {host('statsurl')} IS NOT NULL GROUP BY 1) t ON t.p = d.project""",
     "statsurl_links": f"SELECT id, 'http://' || {host('statsurl')} AS url FROM fx_dump WHERE try_cast(http AS INT) IN (200, 404) AND {host('statsurl')} IS NOT NULL",
     "language_filter": "SELECT id, lang FROM fx_dump WHERE lower(lang) IN ('english', '')",
     "link_normalize": "SELECT cand_id, rtrim(url, '/') AS url FROM fx_candidates WHERE contains(url, 'example.com')",
@@ -361,6 +369,14 @@ FROM (SELECT shard, count(*) FILTER (kind = 'ready') AS r FROM fx_lifecycle WHER
     "add_source_search": added_source(SEARCH_LINKS, WIKIA_SUFFIXES, "wikia"),
     "answer_messages": ANSWER_MESSAGES,
     "route_stream": ANSWER_MESSAGES,
+    "answer_from_responses": _about_pages(ANSWER_MESSAGES),
+    "request_plan_from_responses": _about_pages(REQUEST_PLAN),
+    "source_errors": f"""
+SELECT 'wikistats' AS retriever, {_SOURCE} AS source, 'english' AS language, 'source not found' AS error FROM pages WHERE page_id % 13 = 7
+UNION ALL
+SELECT 'fandom', prefix, language, 'unknown language'
+FROM (SELECT prefix, CASE WHEN id % 7 = 3 THEN lang || 'ish' ELSE lang END AS language FROM fx_dump) s
+WHERE lower(language) NOT IN (SELECT lower(name) FROM (VALUES {_LANGUAGE_ROWS}) v(name, code))""",
 }
 
 

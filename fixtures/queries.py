@@ -6,22 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fixtures.oracles import LANGUAGES
 from fixtures.views import WORDS, base, stream_view, titled_pages, view
 from fixtures.views import responses as fetched_responses
+from fixtures.views import simulated_wikis
 from wikiloom.functions.urls import host_of
 from wikiloom.operators import (
     cards,
     catalog,
     corpus,
     harvest,
+    languages,
     probes,
     resolvers,
     routing,
     search,
     sessions,
 )
-from wikiloom.plans import add_source, answer
+from wikiloom.plans import add_source, answer, retrievers
 from wikiloom.session import scratch_path, staged
 from wikiloom.sources import responses
 from wikiloom.streaming import answers
@@ -61,11 +62,6 @@ class Inputs:
         endpoint = F.concat(F.lit("https://"), "host", F.lit("/w/api.php"))
         return staged(self.requests.select(endpoint.alias("endpoint"), "query"), "requests")
 
-    @property
-    def languages(self) -> DataFrame:
-        rows = [(i, name, code) for i, (name, code) in enumerate(LANGUAGES)]
-        return self.spark.createDataFrame(rows, "ord int, name string, code string")
-
     @property
     def looked_up(self) -> DataFrame:
         routed = routing.route(self.messages)
@@ -129,7 +125,7 @@ def dump_scan(fx: Inputs) -> DataFrame:
 @query
 def source_listing(fx: Inputs) -> DataFrame:
     links = harvest.index_links(fx.base("pages").select("page_id", "html"), "/t")
-    return harvest.source_listing(add_source.RETRIEVERS, links, "wikistats")
+    return harvest.source_listing(retrievers.registered_sources(), links, "wikistats")
 
 
 @query
@@ -201,7 +197,7 @@ def link_normalize(fx: Inputs) -> DataFrame:
 @query
 def language_lookup(fx: Inputs) -> DataFrame:
     spoken = fx.dump.select("id", F.col("lang").alias("language"))
-    return harvest.with_language_code(spoken, fx.languages)
+    return languages.with_language_code(spoken)
 
 
 # -- probes ---------------------------------------------------------------------
@@ -338,9 +334,39 @@ def wikia_responses(fx: Inputs) -> DataFrame:
     return responses.wikia_cards(asked, fetched_responses(fx.articles))
 
 
+def _fetched(fx: Inputs) -> tuple[DataFrame, DataFrame]:
+    """What a fetcher got for the messages that ask about pages, and the sizes of the pictures."""
+    asked = answer.looked_up_requests(routing.route(fx.asks), fx.endpoints)
+    sizes = fx.wiki_pages.filter("thumb_url IS NOT NULL").select(
+        F.col("thumb_url").alias("url"), F.col("thumb_w").alias("width"), F.col("thumb_h").alias("height")
+    )
+    return staged(simulated_wikis(asked, fx.wiki_pages), "fetched"), sizes.dropDuplicates(["url"])
+
+
+@query
+def answer_from_responses(fx: Inputs) -> DataFrame:
+    fetched, pictures = _fetched(fx)
+    return answer.answer_from_responses(fx.asks, fx.catalog_raw, fetched, pictures)
+
+
+@query
+def request_plan_from_responses(fx: Inputs) -> DataFrame:
+    fetched, _ = _fetched(fx)
+    return answer.requests_to_fetch(fx.asks, fx.catalog_raw, fetched)
+
+
 # -- sources --------------------------------------------------------------------
 
 
+@query
+def source_errors(fx: Inputs) -> DataFrame:
+    missing = retrievers.missing_sources(fx.bodies, "english").withColumn("retriever", F.lit("wikistats"))
+    searches = fx.dump.select(F.col("prefix").alias("term"), F.when(F.col("id") % 7 == 3, F.concat("lang", F.lit("ish"))).otherwise(F.col("lang")).alias("language"))
+    unknown = retrievers.unknown_languages(searches).withColumn("retriever", F.lit("fandom"))
+    return missing.unionByName(unknown)
+
+
+
 @query
 def add_source_dump(fx: Inputs) -> DataFrame:
     return add_source.add_source_dump(fx.catalog_raw, fx.bodies, fx.display, fx.probe_log)
@@ -357,7 +383,7 @@ def add_source_search(fx: Inputs) -> DataFrame:
     searches = fx.crawl.select("term", F.lit("english").alias("language")).distinct()
     crawl = fx.crawl.withColumn("lang", F.lit("en"))
     return add_source.add_source_search(
-        fx.catalog_raw, crawl, searches, fx.languages, fx.probe_log, "example.com"
+        fx.catalog_raw, crawl, searches, None, fx.probe_log, "example.com"
     )
 
 

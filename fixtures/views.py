@@ -11,7 +11,8 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wikiloom.operators import routing
+from wikiloom.operators import resolvers, routing
+from wikiloom.session import staged
 
 _HOST = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
 
@@ -78,7 +79,7 @@ FROM {{pages}}
 SELECT 'project' || CAST(page_id AS STRING) AS source,
        CASE WHEN page_id % 13 = 7 THEN 'error: table name not set or unknown'
             WHEN page_id % 4 = 0 THEN
-              'id,prefix,http' || chr(10) || '1,' || prefix || ',200' || chr(10) || '2,"m",404' || chr(10) || '3,"x ""y"", z",200' || chr(10)
+              'id,prefix,http' || chr(10) || '1,' || prefix || ',200' || chr(10) || '2,"m",404' || chr(10) || '3,"x ""y"", z",200' || chr(10) || '4,"x"y,200' || chr(10) || '5,6" z,404' || chr(13) || chr(10) || '6,"two' || chr(10) || 'lines",200' || chr(10)
             WHEN page_id % 4 = 1 THEN
               'id,lang,prefix' || chr(10) || '1,German,de' || chr(10) || '2,,' || prefix || chr(10) || '3,ENGLISH,www' || chr(10)
             ELSE
@@ -156,6 +157,22 @@ FROM {events}
 """,
 }
 
+# The first article of each title, as titles name pages.
+VIEWS["fx_wiki_pages"] = f"""
+SELECT article_id, host, page_url, title, section_text, abstract_text, ns, quality, thumb_url, thumb_w, thumb_h
+FROM (SELECT *, row_number() OVER (PARTITION BY host, title ORDER BY article_id) AS rn FROM ({VIEWS["fx_articles"]}) a) t WHERE rn = 1
+"""
+# Messages about each page: its title, two words of its lead text, or the start of its title. Requests grow with the pages.
+VIEWS["fx_asks"] = f"""
+SELECT page_id AS event_id, TIMESTAMP '2024-03-01 10:00:00' AS ts, page_id % 97 AS user_id,
+       CASE CAST(page_id % 3 AS INT)
+         WHEN 0 THEN 'Wiki ' || wiki || '  ' || title
+         WHEN 1 THEN 'wiki ' || upper(wiki) || ' ' || split_part(lead, ' ', 3) || ' the ' || split_part(lead, ' ', 5)
+         ELSE 'wiki ' || wiki || ' ' || split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2) END AS content
+FROM (SELECT page_id, split_part({_HOST}, '.', 1) AS wiki, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+             regexp_extract(html, '<p>([^<]+)', 1) AS lead FROM {{pages}}) t
+"""
+
 WORDS = ["The", "onde", "zzzz"]
 
 
@@ -221,38 +238,58 @@ def titled_pages(articles: DataFrame) -> DataFrame:
 def responses(articles: DataFrame) -> DataFrame:
     """What the wikis would answer if each title is searched for; ``url, body``."""
     pages = titled_pages(articles)
+    asked = [pages.select("*", F.col(k).alias("endpoint"), F.col("title").alias("query"), F.lit(k).alias("resolver")) for k in ("generic", "wikia")]
+    return answered_by_wikis(asked[0].unionByName(asked[1]), F.col("page_url"), F.lit("/wiki"))
+
+
+def simulated_wikis(requests: DataFrame, articles: DataFrame) -> DataFrame:
+    """What the wikis would answer to requests ``endpoint, query, resolver``, also to those without a hit; ``url, body``."""
+    hits = resolvers.resolve(requests, articles).select("endpoint", "query", "resolver", "article_id")
+    asked = requests.filter("resolver IS NOT NULL").select("endpoint", "query", "resolver").distinct()
+    # They send no more of a lead text than they are asked for.
+    sent = articles.withColumn("abstract_text", F.left("abstract_text", F.lit(resolvers.EXTRACT_LENGTH)))
+    asked = asked.join(staged(hits, "hits"), ["endpoint", "query", "resolver"], "left").join(sent, "article_id", "left")
+    site = F.regexp_extract("page_url", "^(https?://[^/?#]*)", 1)
+    path = F.substring(F.col("page_url"), F.length(site) + 1, F.length("page_url"))
+    return answered_by_wikis(staged(asked, "asked"), site, path)
+
+
+def answered_by_wikis(pages: DataFrame, site: Column, path: Column) -> DataFrame:
+    """Responses to requests ``endpoint, query, resolver`` with the article that is found, if any."""
 
     def by_search(kind: str, body: Column) -> DataFrame:
-        asked = pages.select(
-            "*", F.col(kind).alias("endpoint"), F.col("title").alias("query"), F.lit(kind).alias("resolver")
-        )
-        return routing.search_requests(asked).select("url", body.alias("body"))
+        return routing.search_requests(pages.filter(F.col("resolver") == kind)).select("url", body.alias("body"))
 
     def by_page(kind: str, bodies: dict[str, Column]) -> DataFrame:
-        hits = pages.withColumns({"endpoint": F.col(kind), "resolver": F.lit(kind)})
+        hits = pages.filter((F.col("resolver") == kind) & F.col("article_id").isNotNull())
+        hits = hits.dropDuplicates(["endpoint", "article_id"])
         fetched = routing.page_requests(hits.withColumns(bodies), keep=list(bodies))
         body = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in bodies])
         return fetched.select("url", body.alias("body"))
 
-    found_xml = F.concat(
-        F.lit('<api><query><search><p title="'), _xml_text("title"), F.lit('"/><p title="Other"/></search></query></api>')
-    )
+    has_hit = F.col("article_id").isNotNull()
+    found_xml = F.when(
+        has_hit,
+        F.concat(F.lit('<api><query><search><p title="'), _xml_text("title"), F.lit('"/><p title="Other"/></search></query></api>')),
+    ).otherwise("<api><query><search/></query></api>")
     page_xml = F.concat(
         F.lit('<api><query><pages><page fullurl="'), _xml_text("page_url"), F.lit('"><extract xml:space="preserve">'),
         _xml_text("abstract_text"), F.lit("</extract>"),
         F.coalesce(F.concat(F.lit('<thumbnail source="'), _xml_text("thumb_url"), F.lit('"/>')), F.lit("")),
         F.lit("</page></pages></query></api>"),
     )
-    found_json = F.to_json(F.struct(F.lit(1).alias("total"), F.array(F.struct(F.col("article_id").alias("id"))).alias("items")))
+    found_json = F.when(
+        has_hit, F.to_json(F.struct(F.lit(1).alias("total"), F.array(F.struct(F.col("article_id").alias("id"))).alias("items")))
+    ).otherwise('{"total": 0, "items": []}')
     content = F.when(F.col("section_text") != "", F.array(F.struct(F.col("section_text").alias("text")))).otherwise(
         F.array().cast("array<struct<text:string>>")
     )
     sections_json = F.to_json(F.struct(F.array(F.struct(content.alias("content"))).alias("sections")))
     item = F.struct(
-        F.lit("/wiki").alias("url"), "title", F.col("thumb_url").alias("thumbnail"), F.left("abstract_text", F.lit(500)).alias("abstract")
+        path.alias("url"), "title", F.col("thumb_url").alias("thumbnail"), F.left("abstract_text", F.lit(500)).alias("abstract")
     )
     details_json = F.to_json(
-        F.struct(F.col("page_url").alias("basepath"), F.create_map(F.col("article_id").cast("string"), item).alias("items"))
+        F.struct(site.alias("basepath"), F.create_map(F.coalesce(F.col("article_id"), F.lit(0)).cast("string"), item).alias("items"))
     )
     return (
         by_search("generic", found_xml)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wikiloom.operators import catalog as catalogs
+from wikiloom.operators import harvest
 from wikiloom.plans import add_source
 
 CATALOG = "seq long, referenceid string, endpoint string, resolverid string, displaycolor string"
@@ -33,7 +34,7 @@ def frame(spark, rows, schema):
 def test_dump(spark, catalog):
     index = "<a href='display.php?t=p1'>proj</a><a href='display.php?t=p2'>proj</a><a href='other'>proj</a>"
     crawl = [("https://i.org/display.php?t=p1", "<a href='http://en.site.org/wiki'>en</a>"), ("https://i.org/display.php?t=p2", "<a href='http://en.no.org'>en</a>")]
-    shown = add_source.display_pages(
+    shown = harvest.display_pages(
         frame(spark, [(index,)], "html string"), frame(spark, crawl, "url string, html string"), "https://i.org/", "display.php?t="
     )
     bodies = [("proj", "prefix,lang\nen,English\nknown,English\nde,German\noff,\ndown,\n"), ("else", "prefix\nfr"), ("gone", "table name not set or unknown")]

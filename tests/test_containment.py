@@ -48,3 +48,15 @@ def test_known_hosts(spark):
     assert kept(endpoints, exact=True) == [1, 2, 3, 4, 6]
     assert kept(endpoints.limit(0)) == [1, 2, 3, 4, 5, 6]
     assert {r.host for r in known_hosts(candidates, endpoints).collect()} == {"a.org", "beta.org", ""}
+
+
+def test_short_grams_are_cut_for_short_hosts_only(spark):
+    haystacks = spark.createDataFrame([("https://www.example.org/w/api.php",)], "haystack string")
+    long = spark.createDataFrame([("www.example.org",), ("example.net",)], "needle string")
+    one = spark.createDataFrame([("www.example.org",), ("e.org",)], "needle string")
+
+    def plan(needles):
+        return contained(needles, haystacks)._jdf.queryExecution().analyzed().toString()
+
+    assert "flatten" not in plan(long) and "flatten" in plan(one)
+    assert {r.needle for r in contained(one, haystacks).collect()} == {"www.example.org", "e.org"}

@@ -208,3 +208,25 @@ def test_quotes_inside_dump_fields_are_data(spark):
         ("English", '5" disc', "200"), ("French", "b", "200"), ("German", '7" x', "200"), ("English", "c", "200"),
         ("two\nlines, \"q\"", "d", "1"), ("x", '"never closed', "2"), ("last", "e", "3"),
     ]
+
+
+def test_rounds_shrink_to_unfinished_chases(spark, monkeypatch):
+    """Short chases leave with all their pages; the rounds follow the longest chase, circles end at their own size."""
+    shown = {f"short{i}": {p: 9 for p in range(1, 10)} for i in range(50)}
+    shown["long"] = {p: min(p + 1, 300) for p in range(1, 301)}
+    shown["circle"] = {p: p % 5 + 1 for p in range(1, 6)}
+    rows = [(t, p, s) for t, chain in shown.items() for p, s in chain.items()]
+    counts, original = [], harvest.staged
+
+    def counted(df, label):
+        out = original(df, label)
+        if label == "jumps":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(harvest, "staged", counted)
+    found = {r.term: r.last_page for r in harvest.last_pages(spark.createDataFrame(rows, "term string, page_no int, last_shown int")).collect()}
+    assert found == {**{f"short{i}": 9 for i in range(50)}, "long": 300}
+    # All 755 pages, then those of the long chase and the circle once the short chases have arrived.
+    assert counts[0] == 755 and counts[1] == 755 and max(counts[2:]) <= 305
+    assert counts[5] <= 300 and counts[-1] == 0 and len(counts) <= 12

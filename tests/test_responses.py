@@ -73,3 +73,57 @@ def test_wikia(spark):
     ]
     old = responses.wikia_cards(asked, table(spark, bodies), mode="reference")
     assert [r.summary for r in old.collect() if r.query == "short"] == ["One. "]
+
+
+MESSAGES = "event_id long, content string, ts timestamp"
+
+
+def test_answers_come_step_by_step(spark):
+    """Fetch what is planned until nothing is left; the answers are those from the articles."""
+    from fixtures.queries import Inputs
+    from fixtures.views import simulated_wikis
+    from wikiloom.operators import routing
+    from wikiloom.plans import answer
+
+    fx = Inputs(spark, "/root/testdata/sf0.001")
+    asked = answer.looked_up_requests(routing.route(fx.asks), fx.endpoints)
+    wikis = simulated_wikis(asked, fx.wiki_pages).persist()
+    fetched, kinds = wikis.limit(0), []
+    for _ in range(4):
+        plan = answer.requests_to_fetch(fx.asks, fx.catalog_raw, fetched)
+        more = responses.unfetched(plan, fetched).persist()
+        kinds.append({r.kind for r in more.select("kind").distinct().collect()})
+        fetched = spark.createDataFrame(fetched.union(wikis.join(more.select("url"), "url")).collect(), wikis.schema)
+    assert kinds == [{"search"}, {"page_info", "sections", "details"}, set(), set()]
+    sizes = fx.wiki_pages.selectExpr("thumb_url AS url", "thumb_w AS width", "thumb_h AS height").filter("url IS NOT NULL").dropDuplicates(["url"])
+    got = answer.answer_from_responses(fx.asks, fx.catalog_raw, fetched, sizes)
+    want = answer.answer_messages(fx.asks, fx.catalog_raw, fx.wiki_pages)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r.outcome for r in want.select("outcome").distinct().collect()} >= {"result", "unknown_prefix"}
+    # Without sizes no picture is shown; without page responses there is no card.
+    bare = answer.answer_from_responses(fx.asks, fx.catalog_raw, fetched)
+    assert bare.filter("image_url IS NOT NULL OR thumbnail_url IS NOT NULL").count() == 0
+    searches = fetched.filter("url LIKE '%srsearch%' OR url LIKE '%Search/List%'")
+    assert answer.answer_from_responses(fx.asks, fx.catalog_raw, searches).filter("outcome = 'result'").count() == 0
+
+
+def test_a_resolver_is_a_function_of_tables(spark):
+    from wikiloom.plans import answer
+
+    def fixed(requests, tables):
+        """The same card for each request, from a table of its own."""
+        card = tables["notes"].selectExpr("note AS title", "note AS summary", "'' AS thumb_url", "'p' AS page_url", "1 AS thumb_w", "1 AS thumb_h", "7L AS article_id")
+        return requests.select("endpoint", "query", "resolver").distinct().join(card)
+
+    catalog = spark.createDataFrame(
+        [(0, "n", "https://n.org/x", "notes", "1"), (1, "a", API, "generic", "2"), (2, "z", "https://z.org/x", "other", "3")],
+        "seq long, referenceid string, endpoint string, resolverid string, displaycolor string",
+    )
+    bodies = {search("year"): '<api><query><search><p title="1984"/></search></query></api>',
+              info("1984"): '<api><query><pages><page fullurl="u"><extract xml:space="preserve">Book</extract></page></pages></query></api>'}
+    texts = ["wiki n any", "wiki a year", "wiki z any", "wiki a none", "wiki q any", "wiki a"]
+    messages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "event_id long, content string").selectExpr("*", "TIMESTAMP '2024-03-01 10:00:00' AS ts")
+    tables = {"notes": spark.createDataFrame([("N",)], "note string"), "responses": table(spark, bodies)}
+    registry = {"notes": fixed, **responses.REGISTRY}
+    got = {r.event_id: (r.outcome, r.title) for r in answer.answer_from_tables(messages, catalog, tables, registry).collect()}
+    assert got == {0: ("result", "N"), 1: ("result", "1984"), 2: ("unknown_resolver", None), 3: ("no_result", None), 4: ("unknown_prefix", None), 5: ("no_query", None)}

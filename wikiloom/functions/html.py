@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -137,7 +139,7 @@ def _end_scope(tag: str) -> frozenset[str]:
 class _Element:
     tag: str
     href: str | None
-    marked: bool
+    marked: frozenset[str]
     within: list[int]
     text: list[str] = field(default_factory=list)
 
@@ -151,9 +153,9 @@ def _values(attributes: str) -> dict[str, str]:
     return found
 
 
-def _parse(page: str, marker: str | None = None) -> list[_Element]:
-    """Links and marked elements of a page, with their texts and enclosing marks."""
-    marker = marker.lower() if marker else None
+def _parse(page: str, *markers: str) -> list[_Element]:
+    """Links and elements of the classes ``markers`` of a page, with their texts and enclosing marks."""
+    wanted_classes = {m.lower(): m for m in markers}
     found: list[_Element] = []
     opened: list[tuple[str, _Element | None, int]] = []
     collecting: list[_Element] = []
@@ -218,12 +220,12 @@ def _parse(page: str, marker: str | None = None) -> list[_Element]:
             continue
         imply_ends(tag)
         values = _values(step[4]) if _OF_INTEREST.search(step[4]) else {}
-        marked = marker is not None and marker in values.get("class", "").lower().split()
+        marked = frozenset(wanted_classes[c] for c in values.get("class", "").lower().split() if c in wanted_classes)
         mark = marks if marked else -1
-        marks += marked
+        marks += bool(marked)
         element = None
         if marked or tag == "a" or "href" in values:
-            within = [m for _, _, m in opened if m >= 0] + [mark] * marked
+            within = [m for _, _, m in opened if m >= 0] + [mark] * bool(marked)
             element = _Element(tag, values.get("href"), marked, within)
             found.append(element)
         if tag not in VOID:
@@ -240,9 +242,9 @@ def _text(element: _Element) -> str:
 
 
 def _page_rows(
-    pages: DataFrame, needle: str, columns: list[str], rows_of: Callable[[str], list[tuple]]
+    pages: DataFrame, needles: Sequence[str], columns: list[str], rows_of: Callable[[str], list[tuple]]
 ) -> DataFrame:
-    """``rows_of`` each page that holds ``needle``, numbered by ``pos``.
+    """``rows_of`` each page that holds one of ``needles``, numbered by ``pos``.
 
     The other columns of the pages are kept.
     """
@@ -267,7 +269,7 @@ def _page_rows(
             yield pd.concat([batch.loc[repeated, keys].reset_index(drop=True), found], axis=1)
 
     return (
-        pages.filter(mentions(F.col("html"), needle))
+        pages.filter(reduce(or_, [mentions(F.col("html"), n) for n in needles]))
         .select(*keys, "html")
         .mapInPandas(extract, schema)
     )
@@ -288,7 +290,7 @@ def anchors_within(pages: DataFrame, marker: str) -> DataFrame:
         ]
         return [(href,) for _, _, href in sorted(found)]
 
-    return _page_rows(pages, marker, ["href"], rows_of)
+    return _page_rows(pages, [marker], ["href"], rows_of)
 
 
 def links_with_text(pages: DataFrame, prefix: str = "") -> DataFrame:
@@ -301,7 +303,7 @@ def links_with_text(pages: DataFrame, prefix: str = "") -> DataFrame:
             if e.href is not None and e.href.startswith(prefix)
         ]
 
-    return _page_rows(pages, "href", ["href", "text"], rows_of)
+    return _page_rows(pages, ["href"], ["href", "text"], rows_of)
 
 
 def marked_texts(pages: DataFrame, marker: str, tag: str | None = None) -> DataFrame:
@@ -312,4 +314,16 @@ def marked_texts(pages: DataFrame, marker: str, tag: str | None = None) -> DataF
             (_text(e),) for e in _parse(page, marker) if e.marked and (tag is None or e.tag == tag)
         ]
 
-    return _page_rows(pages, marker, ["text"], rows_of)
+    return _page_rows(pages, [marker], ["text"], rows_of)
+
+
+def marked_elements(pages: DataFrame, *classes: str) -> DataFrame:
+    """``pos, mark, href, text`` per page of the elements of any of the classes, from one walk.
+
+    An element of several of the classes comes once for each; ``href`` is '' where there is none.
+    """
+
+    def rows_of(page: str) -> list[tuple]:
+        return [(mark, e.href or "", _text(e)) for e in _parse(page, *classes) for mark in classes if mark in e.marked]
+
+    return _page_rows(pages, classes, ["mark", "href", "text"], rows_of)

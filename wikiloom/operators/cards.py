@@ -14,15 +14,16 @@ WIDE_PICTURE = 1.75
 def answers_of(looked_up: DataFrame, cards: DataFrame) -> DataFrame:
     """One outcome per distinct (wiki, query).
 
-    ``looked_up`` has ``wiki_key, query, endpoint, resolver, color``.
+    ``looked_up`` has ``wiki_key, query, endpoint, resolver, color``; ``cards`` has a row for each request with a hit.
     """
     outcome = (
         F.when(F.col("endpoint").isNull(), "unknown_prefix")
         .when(F.col("resolver").isNull(), "unknown_resolver")
-        .when(F.col("article_id").isNull(), "no_result")
+        .when(F.col("hit").isNull(), "no_result")
         .otherwise("result")
     )
-    return looked_up.join(cards, ["endpoint", "query", "resolver"], "left").select(
+    found = cards.withColumn("hit", F.lit(True))
+    return looked_up.join(found, ["endpoint", "query", "resolver"], "left").select(
         "wiki_key", "query", "endpoint", "color", "article_id", *CARD, outcome.alias("answer")
     )
 
@@ -34,11 +35,15 @@ def outcomes(routed: DataFrame, answers: DataFrame) -> DataFrame:
         .when(F.size("words") == 2, "no_query")
         .otherwise(F.col("answer"))
     )
+    # Messages without a query have no answer. A key of their own spreads them, where NULL would gather them in one task.
+    no_query = F.concat(F.lit("\0"), F.col("event_id").cast("string"))
+    asked = routed.filter(F.col("route") == "query").select(
+        "event_id", "ts", "words", "wiki_key", "query", F.coalesce("wiki_key", no_query).alias("key"), F.coalesce("query", no_query).alias("text")
+    )
     return (
-        routed.filter(F.col("route") == "query")
-        .select("event_id", "ts", "words", "wiki_key", "query")
-        .join(answers, ["wiki_key", "query"], "left")
+        asked.join(answers.withColumnsRenamed({"wiki_key": "key", "query": "text"}), ["key", "text"], "left")
         .withColumn("outcome", outcome)
+        .drop("key", "text")
     )
 
 

@@ -34,26 +34,33 @@ def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         haystacks.select("haystack").filter("haystack IS NOT NULL").distinct(), "haystacks"
     )
 
+    # The lengths that short needles have, at most GRAM numbers.
+    lengths = [r[0] for r in needles.filter(F.length("needle") < GRAM).select(F.length("needle")).distinct().collect()]
+    found = _long_needles(needles, haystacks)
+    if any(lengths):
+        found = found.unionByName(_short_needles(needles, haystacks, sorted(n for n in lengths if n)))
+    if 0 in lengths:
+        found = found.unionByName(haystacks.limit(1).select(F.lit("").alias("needle")))
+    return found
+
+
+def _short_needles(needles: DataFrame, haystacks: DataFrame, lengths: list[int]) -> DataFrame:
+    """Needles of the given lengths: each equals a gram of its own length."""
+    grams = F.flatten(F.array_compact(F.array(*[_grams(F.col("haystack"), n) for n in lengths])))
     short = needles.filter(F.length("needle") < GRAM)
-    short_grams = F.flatten(
-        F.array_compact(F.array(*[_grams(F.col("haystack"), n) for n in range(1, GRAM)]))
-    )
-    short_found = short.join(
-        haystacks.select(F.explode(short_grams).alias("needle"))
-        .unionByName(haystacks.limit(1).select(F.lit("").alias("needle")))
-        .distinct(),
-        "needle",
-        "left_semi",
-    )
+    # The join keeps the few grams that are needles, before any are compared with each other.
+    return haystacks.select(F.explode(grams).alias("needle")).join(short, "needle", "left_semi").distinct()
 
-    long = needles.filter(F.length("needle") >= GRAM)
-    postings = haystacks.select(
-        "haystack", F.explode(_grams(F.col("haystack"), GRAM)).alias("gram")
-    )
+
+def _long_needles(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    own = needles.filter(F.length("needle") >= GRAM).select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
+    wanted = staged(own.select("gram").distinct(), "grams")
+    every = haystacks.select("haystack", F.explode(_grams(F.col("haystack"), GRAM)).alias("gram"))
+    # Postings of the needles' grams alone, cut once.
+    postings = staged(every.join(wanted, "gram", "left_semi"), "postings")
     frequencies = postings.groupBy("gram").agg(F.count("*").alias("haystacks"))
     rarest = (
-        long.select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-        .join(staged(frequencies, "grams"), "gram", "left")
+        own.join(frequencies, "gram", "left")
         .groupBy("needle")
         .agg(
             F.bool_and(F.col("haystacks").isNotNull()).alias("possible"),
@@ -62,10 +69,10 @@ def contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         .filter("possible")
         .select("needle", "rarest.gram")
     )
-    long_found = (
-        rarest.join(postings, "gram")
+    return (
+        staged(rarest, "rarest")
+        .join(postings, "gram")
         .filter(F.contains("haystack", "needle"))
         .select("needle")
         .distinct()
     )
-    return short_found.unionByName(long_found)

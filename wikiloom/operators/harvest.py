@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions import html
 from wikiloom.functions.urls import host_of, is_well_formed
+from wikiloom.operators.languages import with_language_code
 from wikiloom.session import staged
 
 # Fixed value: what a dump body says if its project does not exist.
@@ -110,86 +113,89 @@ def last_pages(crawl: DataFrame) -> DataFrame:
     """True last page of each term: follow the last number shown from page 1 on.
 
     ``crawl`` has ``term, page_no, last_shown``, one row per page. The chase ends at a
-    page that shows its own number. Each round doubles the length of every chase
-    at once, so the number of joins grows with the logarithm of the longest one, and
-    the join key is unique. A chase that leaves the crawl or runs in a circle gives no
-    row.
+    page that shows its own number. Each round moves every unfinished chase along the jumps of its term
+    and doubles these jumps, so the number of rounds grows with the logarithm of the longest chase. Chases that
+    have ended, have left the crawl, or have made more hops than their term has pages, and so run in a circle,
+    leave with all jumps of their term: each round has the rows of unfinished terms alone. Only the first kind gives
+    a row.
     """
-    steps = staged(
-        crawl.select("term", "page_no", F.col("last_shown").alias("target")), "chase"
-    )
-    pages = steps.count()
-    reach = 1
-    while reach < pages:
-        onward = steps.select("term", F.col("page_no").alias("target"), F.col("target").alias("next"))
-        jumped = steps.join(onward, ["term", "target"], "left").select(
-            "term", "page_no", F.col("next").alias("target"), (F.col("next") != F.col("target")).alias("moved")
-        )
-        jumped = staged(jumped.filter(F.col("target").isNotNull()), "chase")
-        moved = jumped.agg(F.bool_or("moved")).first()[0]
-        steps = jumped.select("term", "page_no", "target")
-        reach *= 2
-        if not moved:
-            break
-    final = crawl.filter("page_no = last_shown").select("term", F.col("page_no").alias("last_page"))
-    return (
-        steps.filter("page_no = 1")
-        .select("term", F.col("target").alias("last_page"))
-        .join(final, ["term", "last_page"], "left_semi")
-    )
+    jumps = crawl.select("term", "page_no", F.col("last_shown").alias("target"), (F.col("page_no") == F.col("last_shown")).alias("last"))
+    pages = crawl.groupBy("term").agg(F.count("*").alias("pages"))
+    jumps = staged(jumps.filter("target IS NOT NULL"), "jumps")
+    open_chases = staged(jumps.filter("page_no = 1").select("term", "page_no").join(pages, "term"), "chases")
+    finished, hops = [], 1
+    while not open_chases.isEmpty():
+        moved = staged(open_chases.join(jumps, ["term", "page_no"]).select("term", "page_no", "target", "last", "pages"), "chases")
+        finished.append(moved.filter("last").select("term", F.col("page_no").alias("last_page")))
+        open_chases = moved.filter((~F.col("last")) & (F.col("pages") >= hops)).select("term", F.col("target").alias("page_no"), "pages")
+        hops *= 2
+        own = jumps.join(open_chases.select("term"), "term", "left_semi")
+        onward = own.select("term", F.col("page_no").alias("target"), F.col("target").alias("next"))
+        jumps = staged(own.join(onward, ["term", "target"]).select("term", "page_no", F.col("next").alias("target"), "last"), "jumps")
+    if not finished:
+        return open_chases.select("term", F.col("page_no").alias("last_page"))
+    return reduce(DataFrame.unionByName, finished)
 
 
 # -- project dumps --------------------------------------------------------------
 
 
-def dump_rows(bodies: DataFrame) -> DataFrame:
-    """Rows of fetched dumps, read by the header line of each.
+# The columns of a dump that are read.
+DUMP_COLUMNS = ("lang", "prefix", "statsurl", "http")
 
-    ``bodies`` has ``source, body``. Gives ``source, line_no``, the four columns in
-    use, NULL where the dump lacks the column, and ``columns`` as the header names.
-    A quote opens a field only at its start, anywhere else it is data. A field whose quote is
-    never closed ends with its line. Empty lines are no rows.
+# One field: quoted, with what may follow the closing quote, or plain. A quote opens a field only at its start.
+_QUOTED, _PLAIN = r'"(?:[^"]++|"")*+"[^,\r\n]*+', r"[^,\r\n]*+"
+_RECORD = rf"((?=[^\r\n])(?:{_QUOTED}|{_PLAIN})(?:,(?:{_QUOTED}|{_PLAIN}))*+)"
+_CLOSED = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|)'
+_ALL_CLOSED = rf"^{_CLOSED}(?:,{_CLOSED})*+\z"
+
+
+def csv_fields(record: Column, width: int) -> Column:
+    """The first ``width`` fields of a CSV record, as Spark's CSV parser reads them; '' for blank and absent ones.
+
+    A record with a quote that is never closed is read without quotes.
     """
-    each = r"""(?:"(?:[^"]++|"")*+"[^,\r\n]*+|[^,\r\n]*+)"""
-    record = F.regexp_extract_all(
-        F.col("body"), F.lit(rf"((?=[^\r\n]){each}(?:,{each})*+)"), F.lit(1)
-    )
-    lines = (
-        bodies.filter(~F.contains("body", F.lit(MISSING_SOURCE)))
-        .withColumn("lines", record)
-        .select(
-            "source",
-            _fields(F.get("lines", F.lit(0))).alias("columns"),
-            F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias(
-                "line_no", "line"
-            ),
-        )
-    )
-    named = lines.withColumn("values", _fields(F.col("line")))
+    schema = F.lit(", ".join(f"c{i} string" for i in range(width)))
+
+    def read(quote: str) -> Column:
+        return F.from_csv(record, schema, {"quote": quote, "escape": quote, "mode": "PERMISSIVE"})
+
+    read_as = F.when(record.rlike(_ALL_CLOSED), read('"')).otherwise(read("\0"))
+    fields = F.array(*[F.coalesce(read_as.getField(f"c{i}"), F.lit("")) for i in range(width)])
+    return F.when(record.isNotNull(), fields)
+
+
+def named_fields(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in use of rows with ``columns`` (a header) and ``values``; NULL where the header lacks one."""
 
     def value(name: str) -> Column:
         place = F.array_position("columns", name).cast("int")
-        given = F.get(F.col("values"), place - 1)
-        return F.when(place > 0, F.coalesce(given, F.lit(""))).alias(name)
+        return F.when(place > 0, F.coalesce(F.get("values", place - 1), F.lit(""))).alias(name)
 
-    return named.select(
-        "source", "line_no", *[value(n) for n in ("lang", "prefix", "statsurl", "http")], "columns"
-    )
+    return rows.select(*keep, *[value(n) for n in DUMP_COLUMNS], "columns")
 
 
-def _fields(line: Column) -> Column:
-    """Fields of one CSV line; doubled quotes stand for one."""
-    # With a comma before each field, no match is empty.
-    raw = F.regexp_extract_all(
-        F.concat(F.lit(","), line), F.lit(r""",("(?:[^"]++|"")*+"|[^,]*+)"""), F.lit(1)
-    )
-    return F.transform(
-        raw,
-        lambda f: F.when(
-            f.rlike(r'^"(?:[^"]++|"")*+"\z'),
-            F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(f),
+def dump_rows(bodies: DataFrame) -> DataFrame:
+    """Rows of fetched dumps that are cells of a table, read by the header line of each.
+
+    ``bodies`` has ``source, body``. Gives ``source, line_no``, the four columns in
+    use, NULL where the dump lacks the column, and ``columns`` as the header names. Records are rows before their
+    fields are read, each by Spark's CSV parser.
+    A quote opens a field only at its start, anywhere else it is data; what follows a closing quote makes the field
+    data as a whole. A field whose quote is
+    never closed ends with its line. Empty lines are no rows. Dumps that are files are read by ``sources.dumps``.
+    """
+    found = bodies.filter(~F.contains("body", F.lit(MISSING_SOURCE)))
+    header = F.regexp_extract("body", _RECORD, 1)
+    commas = F.length(header) - F.length(F.replace(header, F.lit(","), F.lit("")))
+    width = (found.agg(F.max(commas)).first()[0] or 0) + 1
+    lines = found.withColumn("lines", F.regexp_extract_all(F.col("body"), F.lit(_RECORD), F.lit(1))).select(
+        "source",
+        csv_fields(F.get("lines", F.lit(0)), width).alias("columns"),
+        F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line_no", "line"),
     )
+    named = lines.withColumn("values", csv_fields(F.col("line"), width))
+    return named_fields(named, ["source", "line_no"])
 
 
 def missing_sources(bodies: DataFrame) -> DataFrame:
@@ -223,10 +229,6 @@ def statsurl_links(dump: DataFrame) -> DataFrame:
     )
 
 
-# What stands for a prefix in a host template.
-_SLOT = ";;;"
-
-
 def expanded_links(dump: DataFrame, display_links: DataFrame) -> DataFrame:
     """Rows with a link made from their prefix and their project's host template.
 
@@ -235,22 +237,19 @@ def expanded_links(dump: DataFrame, display_links: DataFrame) -> DataFrame:
     of the project; a project without one gives empty links.
     """
     prefixes = staged(dump.select("project", F.col("prefix").alias("text")).distinct(), "prefixes")
-    template = F.concat(
-        F.lit("http://"), F.replace(host_of(F.col("href")), F.col("text"), F.lit(_SLOT))
-    )
+    shown = F.struct("pos", host_of(F.col("href")).alias("host"), "text")
     templates = (
         display_links.filter(is_well_formed(F.col("href")) & (F.col("text") != ""))
         .join(prefixes, ["project", "text"], "left_semi")
         .groupBy("project")
-        .agg(F.min(F.struct("pos", template.alias("template"))).alias("first"))
-        .select("project", "first.template")
+        .agg(F.min(shown).alias("first"))
+        .select("project", F.col("first.host").alias("host"), F.col("first.text").alias("text"))
     )
+    link = F.concat(F.lit("http://"), F.replace("host", F.col("text"), F.col("prefix")))
     return (
         dump.join(staged(templates, "templates"), "project", "left")
-        .withColumn(
-            "url", F.coalesce(F.replace("template", F.lit(_SLOT), F.col("prefix")), F.lit(""))
-        )
-        .drop("template")
+        .withColumn("url", F.coalesce(link, F.lit("")))
+        .drop("host", "text")
     )
 
 
@@ -279,18 +278,113 @@ def source_listing(registry: dict[str, list[str]], index: DataFrame, indexed: st
     return listed.unionByName(found)
 
 
-def with_language_code(rows: DataFrame, languages: DataFrame) -> DataFrame:
-    """Look up the code of each row's language by display name; NULL if unknown.
+# -- links of whole sources ---------------------------------------------------------
 
-    ``languages`` has ``ord, name, code``; the first of equal names counts.
+
+def dump_links(bodies: DataFrame, display_pages: DataFrame, language: str) -> DataFrame:
+    """Candidate links of project dumps.
+
+    ``display_pages`` has ``project, html``. A dump with prefixes is expanded by the host
+    template of its project's page, another one by its statistics URLs.
     """
-    first = (
-        languages.groupBy(F.lower("name").alias("language_key"))
-        .agg(F.min(F.struct("ord", "code")).alias("first"))
-        .select("language_key", F.col("first.code").alias("code"))
+    rows = dump_rows(bodies)
+    spoken = rows.filter(
+        ~F.array_contains("columns", "lang") | has_language(F.col("lang"), language)
     )
-    return (
-        rows.withColumn("language_key", F.lower("language"))
-        .join(first, "language_key", "left")
-        .drop("language_key")
+    has_prefix = F.array_contains("columns", "prefix")
+    by_prefix = spoken.filter(has_prefix).withColumnRenamed("source", "project")
+    shown = html.links_with_text(display_pages.select("project", "html"))
+    expanded = expanded_links(by_prefix, shown).withColumnRenamed("project", "source")
+    by_url = statsurl_links(
+        spoken.filter(~has_prefix & F.array_contains("columns", "statsurl"))
+    )
+    return expanded.unionByName(by_url).select(
+        "url", "source", F.col("line_no").cast("long").alias("seq"), F.lit(0).alias("pos")
+    )
+
+
+def directory_links(crawl: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Candidate links of paged directories.
+
+    ``crawl`` has ``url, html``; ``seeds`` has ``seed``, the URL of a directory whose pages are asked for by ``?page=``.
+    """
+
+    def page_url(number):
+        return F.concat("seed", F.lit("?page="), number.cast("string"))
+
+    pages = crawl.select("url", "html")
+    first = staged(seeds.select("seed", page_url(F.lit(1)).alias("url")), "seeds")
+    items = html.marked_texts(
+        pages.join(first, "url").select("seed", "html"), "b-pagination-item", tag="a"
+    )
+    counted = last_number(items.withColumnRenamed("text", "label"))
+    frontier = numbered_pages(counted).withColumn("url", page_url(F.col("page_no")))
+    # Only pages of the frontier are parsed. It is stored, so it is broadcast if it is small.
+    asked = pages.join(staged(frontier, "frontier"), "url").select("seed", "page_no", "html")
+    return links_within_class(asked, "wiki").select(
+        F.col("href").alias("url"), F.col("seed").alias("source"), F.col("page_no").cast("long").alias("seq"), "pos"
+    )
+
+
+def search_links(
+    crawl: DataFrame, searches: DataFrame, languages: DataFrame | None, family: str
+) -> DataFrame:
+    """Candidate links of paged searches.
+
+    ``crawl`` has ``term, lang, page_no, html``; ``searches`` has ``term, language``.
+    Searches in unknown languages give nothing, nor do those without links on their
+    first page.
+    """
+    coded = with_language_code(searches, languages).filter(F.col("code").isNotNull())
+    asked = staged(coded.select("term", F.col("code").alias("lang")).distinct(), "searches")
+    pages = (
+        crawl.join(asked, ["term", "lang"], "left_semi")
+        .withColumn("source", F.concat_ws(" ", "term", "lang"))
+        .select("source", "page_no", "html")
+    )
+    # One walk through each page gives its links and its paginator.
+    found = staged(html.marked_elements(pages, "result-link", "paginator-page"), "results")
+    links = found.filter("mark = 'result-link'").select("source", "page_no", "pos", "href")
+    shown = (
+        found.filter("mark = 'paginator-page'")
+        .groupBy("source", "page_no")
+        .agg(F.max_by("text", "pos").try_cast("int").alias("last_shown"))
+        .filter(F.col("last_shown").isNotNull())
+    )
+    shown = staged(shown, "paginators")
+    chased = last_pages(shown.withColumnRenamed("source", "term"))
+    unpaged = (
+        links.filter("page_no = 1")
+        .select("source")
+        .distinct()
+        .join(shown.filter("page_no = 1"), "source", "left_anti")
+        .withColumn("last_page", F.lit(1))
+    )
+    lengths = (
+        links.filter("page_no = 1")
+        .select("source")
+        .distinct()
+        .join(chased.withColumnRenamed("term", "source"), "source")
+        .unionByName(unpaged, allowMissingColumns=True)
+    )
+    found = (
+        links.join(staged(lengths, "lengths"), "source")
+        .filter(F.col("page_no").between(1, F.col("last_page")))
+        .select(
+            F.col("href").alias("url"), "source", F.col("page_no").cast("long").alias("seq"), "pos"
+        )
+    )
+    return normalized_links(found, family)
+
+
+def display_pages(index_pages: DataFrame, crawl: DataFrame, base: str, prefix: str) -> DataFrame:
+    """``project, html`` of the page that the index shows first for each project.
+
+    ``index_pages`` has ``html``, ``crawl`` has ``url, html``. Links of the index start
+    with ``prefix``, are named after the project and are relative to ``base``.
+    """
+    links = index_links(index_pages.select("html"), prefix)
+    first = first_links_by_text(links).select(
+        F.col("text").alias("project"), F.concat(F.lit(base), "href").alias("url")
     )
+    return first.join(crawl.select("url", "html"), "url").select("project", "html")

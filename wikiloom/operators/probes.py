@@ -191,7 +191,8 @@ def funnel(
     is_link = F.col("url").isNotNull()
     is_new = is_link & F.col("covered").isNull()
     return (
-        flagged.withColumn("host", host_of(F.col("url")))
+        # Rows without a host get a key of their own, as NULL would gather them in one task.
+        flagged.withColumn("host", F.coalesce(host_of(F.col("url")), F.concat(F.lit("\0"), F.col("id").cast("string"))))
         .join(covered, "host", "left")
         .join(verified, "id", "left")
         .agg(

@@ -1,7 +1,10 @@
-"""Answers from article tables: one card per distinct (endpoint, query).
+"""Resolvers: requests and tables to one card per distinct (endpoint, query).
+
+In general a resolver is a function from requests ``endpoint, query, resolver`` and tables by name to cards;
+``resolve_with`` gives each its own requests. Those of article tables say which articles their search looks at and what
+they show as summary; ``REGISTRY`` maps ids to them, and all of them share one search over the articles. Those of
+fetched responses are in ``sources.responses``.
 
-A resolver says which articles its search looks at and what it shows as summary;
-``REGISTRY`` maps ids to resolvers. All of them share one search over the articles.
 ``articles`` has ``article_id, host, page_url, title, section_text, abstract_text, ns,
 quality, thumb_url, thumb_w, thumb_h``.
 """
@@ -20,6 +23,11 @@ from wikiloom.functions.urls import host_of
 from wikiloom.operators import search
 from wikiloom.session import staged
 
+Tables = Mapping[str, DataFrame]
+
+# Requests and tables to cards: ``endpoint, query, resolver, article_id`` and the columns of CARD.
+Answering = Callable[[DataFrame, Tables], DataFrame]
+
 CARD = ["title", "summary", "thumb_url", "page_url", "thumb_w", "thumb_h"]
 
 # What the servers are asked for.
@@ -95,3 +103,19 @@ def resolve(
         .withColumn("thumb_url", F.coalesce("thumb_url", F.lit("")))
         .select("endpoint", "query", "resolver", "article_id", *CARD)
     )
+
+
+def over_articles(registry: Mapping[str, Resolver] = REGISTRY) -> Answering:
+    """All resolvers of a registry, over the table ``articles``."""
+    return lambda requests, tables: resolve(requests, tables["articles"], registry)
+
+
+def resolve_with(requests: DataFrame, tables: Tables, registry: Mapping[str, Answering]) -> DataFrame:
+    """Cards of all requests, each from the resolver it names; requests of other resolvers have none."""
+    parts = [
+        answering(requests.filter(F.col("resolver") == name), tables).select("endpoint", "query", "resolver", "article_id", *CARD)
+        for name, answering in registry.items()
+    ]
+    if not parts:
+        raise ValueError("no resolver is registered")
+    return reduce(DataFrame.unionByName, parts)

@@ -1,38 +1,25 @@
 """Sources of wikis to an extended catalogue.
 
 Each pipeline finds candidate links, drops those of known hosts, verifies the others
-against the probe log, names them and appends what the catalogue lacks.
+against the probe log, names them and appends what the catalogue lacks. What differs between kinds of sources
+is in ``retrievers``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.functions import html
 from wikiloom.operators import catalog as catalogs
 from wikiloom.operators import harvest, probes
+from wikiloom.plans.retrievers import REGISTRY, Request, Retriever
 from wikiloom.session import staged
 
-# The retrievers with the names of their sources. The sources of the
-# first are those listed on its index page.
-RETRIEVERS = {
-    "wikistats": [],
-    "gamepedia": ["gamepedia"],
-    "fandom": ["<single word search or all>"],
-}
-
-# Source and language that a retriever takes if none is given, the word
-# for all search results, and the word that leaves new endpoints disabled.
-DEFAULTS = {
-    "wikistats": ("wikipedias", "english"),
-    "gamepedia": ("gamepedia", "english"),
-    "fandom": ("all", "english"),
-}
-ALL_RESULTS = "all"
+# Fixed value: the word that leaves new endpoints disabled.
 DISABLING_WORD = "noauto"
-FAMILY = "fandom"
 
 
 def _verified_into(
@@ -52,28 +39,6 @@ def _verified_into(
     return catalogs.extend(catalog, named, distinct)
 
 
-def dump_links(bodies: DataFrame, display_pages: DataFrame, language: str) -> DataFrame:
-    """Candidate links of project dumps.
-
-    ``display_pages`` has ``project, html``. A dump with prefixes is expanded by the host
-    template of its project's page, another one by its statistics URLs.
-    """
-    rows = harvest.dump_rows(bodies)
-    spoken = rows.filter(
-        ~F.array_contains("columns", "lang") | harvest.has_language(F.col("lang"), language)
-    )
-    has_prefix = F.array_contains("columns", "prefix")
-    by_prefix = spoken.filter(has_prefix).withColumnRenamed("source", "project")
-    shown = html.links_with_text(display_pages.select("project", "html"))
-    expanded = harvest.expanded_links(by_prefix, shown).withColumnRenamed("project", "source")
-    by_url = harvest.statsurl_links(
-        spoken.filter(~has_prefix & F.array_contains("columns", "statsurl"))
-    )
-    return expanded.unionByName(by_url).select(
-        "url", "source", F.col("line_no").cast("long").alias("seq"), F.lit(0).alias("pos")
-    )
-
-
 def add_source_dump(
     catalog: DataFrame,
     bodies: DataFrame,
@@ -83,41 +48,12 @@ def add_source_dump(
     auto_enable: bool = True,
     distinct: bool = False,
 ) -> DataFrame:
-    links = dump_links(bodies, display_pages, language)
+    links = harvest.dump_links(bodies, display_pages, language)
     return _verified_into(
         catalog, links, log, probes.GENERIC_SUFFIXES, "generic", auto_enable, distinct
     )
 
 
-def directory_links(crawl: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Candidate links of paged directories.
-
-    ``crawl`` has ``url, html``; ``seeds`` has ``seed``, the URL of a directory whose pages are asked for by ``?page=``.
-    """
-
-    def page_url(number):
-        return F.concat("seed", F.lit("?page="), number.cast("string"))
-
-    pages = crawl.select("url", "html")
-    first = staged(seeds.select("seed", page_url(F.lit(1)).alias("url")), "seeds")
-    items = html.marked_texts(
-        pages.join(first, "url").select("seed", "html"), "b-pagination-item", tag="a"
-    )
-    counted = harvest.last_number(items.withColumnRenamed("text", "label"))
-    frontier = harvest.numbered_pages(counted).withColumn("url", page_url(F.col("page_no")))
-    # Links are cut out where the pages are read, so that no page is shuffled.
-    return (
-        harvest.links_within_class(pages, "wiki")
-        .join(staged(frontier, "frontier"), "url")
-        .select(
-            F.col("href").alias("url"),
-            F.col("seed").alias("source"),
-            F.col("page_no").cast("long").alias("seq"),
-            "pos",
-        )
-    )
-
-
 def add_source_directory(
     catalog: DataFrame,
     crawl: DataFrame,
@@ -126,128 +62,85 @@ def add_source_directory(
     auto_enable: bool = True,
     distinct: bool = False,
 ) -> DataFrame:
-    links = directory_links(crawl, seeds)
+    links = harvest.directory_links(crawl, seeds)
     return _verified_into(
         catalog, links, log, probes.GENERIC_SUFFIXES, "generic", auto_enable, distinct
     )
 
 
-def search_links(
-    crawl: DataFrame, searches: DataFrame, languages: DataFrame, family: str
-) -> DataFrame:
-    """Candidate links of paged searches.
-
-    ``crawl`` has ``term, lang, page_no, html``; ``searches`` has ``term, language``.
-    Searches in unknown languages give nothing, nor do those without links on their
-    first page.
-    """
-    coded = harvest.with_language_code(searches, languages).filter(F.col("code").isNotNull())
-    asked = staged(coded.select("term", F.col("code").alias("lang")).distinct(), "searches")
-    pages = (
-        crawl.join(asked, ["term", "lang"], "left_semi")
-        .withColumn("source", F.concat_ws(" ", "term", "lang"))
-        .select("source", "page_no", "html")
-    )
-    links = staged(harvest.links_by_class(pages, "result-link"), "results")
-    shown = (
-        html.marked_texts(pages, "paginator-page")
-        .groupBy("source", "page_no")
-        .agg(F.max_by("text", "pos").try_cast("int").alias("last_shown"))
-        .filter(F.col("last_shown").isNotNull())
-    )
-    shown = staged(shown, "paginators")
-    chased = harvest.last_pages(shown.withColumnRenamed("source", "term"))
-    unpaged = (
-        links.filter("page_no = 1")
-        .select("source")
-        .distinct()
-        .join(shown.filter("page_no = 1"), "source", "left_anti")
-        .withColumn("last_page", F.lit(1))
-    )
-    lengths = (
-        links.filter("page_no = 1")
-        .select("source")
-        .distinct()
-        .join(chased.withColumnRenamed("term", "source"), "source")
-        .unionByName(unpaged, allowMissingColumns=True)
-    )
-    found = (
-        links.join(staged(lengths, "lengths"), "source")
-        .filter(F.col("page_no").between(1, F.col("last_page")))
-        .select(
-            F.col("href").alias("url"), "source", F.col("page_no").cast("long").alias("seq"), "pos"
-        )
-    )
-    return harvest.normalized_links(found, family)
-
-
 def add_source_search(
     catalog: DataFrame,
     crawl: DataFrame,
     searches: DataFrame,
-    languages: DataFrame,
+    languages: DataFrame | None,
     log: DataFrame,
     family: str,
     auto_enable: bool = True,
     distinct: bool = False,
 ) -> DataFrame:
-    links = search_links(crawl, searches, languages, family)
+    links = harvest.search_links(crawl, searches, languages, family)
     return _verified_into(
         catalog, links, log, probes.WIKIA_SUFFIXES, "wikia", auto_enable, distinct
     )
 
 
-def display_pages(index_pages: DataFrame, crawl: DataFrame, base: str, prefix: str) -> DataFrame:
-    """``project, html`` of the page that the index shows first for each project.
+@dataclass(frozen=True)
+class Command:
+    """A readable source command: ``<retriever>:<source> <language> [noauto]``."""
 
-    ``index_pages`` has ``html``, ``crawl`` has ``url, html``. Links of the index start
-    with ``prefix``, are named after the project and are relative to ``base``.
-    """
-    links = harvest.index_links(index_pages.select("html"), prefix)
-    first = harvest.first_links_by_text(links).select(
-        F.col("text").alias("project"), F.concat(F.lit(base), "href").alias("url")
+    name: str
+    retriever: Retriever
+    request: Request
+    auto_enable: bool
+
+
+def read_command(command: str, registry: Mapping[str, Retriever] = REGISTRY) -> Command | None:
+    """Only the retriever must be named. None if no retriever is, or its source is unreadable."""
+    target, *words = command.split() or [""]
+    name, *source = target.split(":")
+    if name not in registry or len(source) > 1 or source == [""]:
+        return None
+    retriever = registry[name]
+    request = Request(
+        source[0] if source else retriever.default_source, words[0] if words else retriever.default_language
     )
-    return first.join(crawl.select("url", "html"), "url").select("project", "html")
+    return Command(name, retriever, request, DISABLING_WORD not in words[1:2])
 
 
-def add_source(catalog: DataFrame, tables: Mapping[str, DataFrame], command: str) -> DataFrame | None:
-    """The catalogue after a command ``<retriever>:<source> <language> [noauto]``.
+def add_source(
+    catalog: DataFrame,
+    tables: Mapping[str, DataFrame],
+    command: str,
+    registry: Mapping[str, Retriever] = REGISTRY,
+    distinct: bool = False,
+) -> DataFrame | None:
+    """The catalogue after a source command; None if the command is not readable, which changes nothing.
 
-    Only the retriever must be named. ``tables`` has the inputs of its pipeline by the
-    names of its arguments. A command that names no retriever, or an unreadable
-    source, changes nothing.
+    ``tables`` has the probe log as ``log``, and what the retriever reads by the names it gives.
     """
-    target, *words = command.split() or [""]
-    retriever, *source = target.split(":")
-    if retriever not in DEFAULTS or len(source) > 1 or source == [""]:
+    read = read_command(command, registry)
+    if read is None:
         return None
-    default_source, default_language = DEFAULTS[retriever]
-    name = source[0] if source else default_source
-    language = words[0] if words else default_language
-    auto_enable = DISABLING_WORD not in words[1:2]
-    if retriever == "wikistats":
-        return add_source_dump(
-            catalog,
-            tables["bodies"].filter(F.col("source") == name),
-            tables["display_pages"].filter(F.col("project") == name),
-            tables["log"],
-            language,
-            auto_enable,
-        )
-    if retriever == "gamepedia":
-        return add_source_directory(
-            catalog, tables["crawl"], tables["seeds"], tables["log"], auto_enable
-        )
-    term = "" if name == ALL_RESULTS else name
-    searches = catalog.sparkSession.range(1).select(
-        F.lit(term).alias("term"), F.lit(language).alias("language")
-    )
-    return add_source_search(
-        catalog,
-        tables["crawl"],
-        searches,
-        tables["languages"],
-        tables["log"],
-        FAMILY,
-        auto_enable,
-    )
+    return _verified_into(
+        catalog, read.retriever.found_links(tables, read.request), tables["log"],
+        read.retriever.suffixes, read.retriever.resolver, read.auto_enable, distinct,
+    )
+
+
+def source_errors(
+    tables: Mapping[str, DataFrame], commands: Sequence[str], registry: Mapping[str, Retriever] = REGISTRY
+) -> DataFrame:
+    """``retriever, source, language, error`` of the commands that find nothing because what they ask for does not exist.
+
+    The result beside that of ``add_source``, which leaves the catalogue as it is in these cases. Unreadable
+    commands have no row.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    found = [
+        read.retriever.found_errors(spark, tables, read.request).select(F.lit(read.name).alias("retriever"), "source", "language", "error")
+        for read in (read_command(c, registry) for c in commands)
+        if read is not None
+    ]
+    if not found:
+        return spark.createDataFrame([], "retriever string, source string, language string, error string")
+    return reduce(DataFrame.unionByName, found)

@@ -1,4 +1,4 @@
-"""Fetched search and page responses to cards.
+"""Fetched search and page responses to cards, and what is still to be fetched.
 
 ``responses`` has ``url, body``, one row per fetched URL. Requests are matched with
 their response by the URL of the request plan; a missing or unreadable response leaves
@@ -8,11 +8,16 @@ fields in use are joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom import schemas
 from wikiloom.functions.text import before_last_sentence, whole_sentences
 from wikiloom.operators import routing
+from wikiloom.operators.resolvers import Answering, Tables
 from wikiloom.session import staged
 
 
@@ -126,3 +131,68 @@ def wikia_cards(requests: DataFrame, responses: DataFrame, mode: str = "default"
         .withColumn("summary", F.coalesce("text", "abstract"))
         .select("endpoint", "query", "title", "summary", "thumb_url", "page_url")
     )
+
+
+# -- resolvers over responses ------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class ResponseResolver:
+    """A resolver over the table ``responses``, and ``pictures`` if there is one.
+
+    ``hits`` gives ``endpoint, query, resolver`` and the ``title`` or ``article_id`` of the best hit, from the search
+    responses; ``cards`` gives whole cards. A request has a card once all its responses are there.
+    """
+
+    name: str
+    hits: Callable[[DataFrame, DataFrame], DataFrame]
+    cards: Callable[[DataFrame, DataFrame], DataFrame]
+
+    def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
+        found = self.cards(requests, tables["responses"]).withColumns(
+            {"resolver": F.lit(self.name), "article_id": F.lit(None).cast("long")}
+        )
+        return with_sizes(found, tables.get("pictures"))
+
+    def page_requests(self, requests: DataFrame, responses: DataFrame) -> DataFrame:
+        hits = self.hits(requests, responses)
+        known = hits.withColumns(
+            {c: F.lit(None).cast(t) for c, t in (("title", "string"), ("article_id", "int")) if c not in hits.columns}
+        )
+        distinct = staged(known.select("endpoint", "resolver", "title", "article_id").distinct(), "hits")
+        return routing.page_requests(distinct).select("kind", "url")
+
+
+def with_sizes(cards: DataFrame, pictures: DataFrame | None) -> DataFrame:
+    """Cards with the size of their picture; NULL if it could not be read.
+
+    ``pictures`` has ``url, width, height``, one row per picture.
+    """
+    if pictures is None:
+        return cards.withColumns({c: F.lit(None).cast("long") for c in ("thumb_w", "thumb_h")})
+    sizes = pictures.select(F.col("url").alias("thumb_url"), F.col("width").alias("thumb_w"), F.col("height").alias("thumb_h"))
+    return cards.join(sizes, "thumb_url", "left")
+
+
+GENERIC = ResponseResolver("generic", generic_hits, generic_cards)
+WIKIA = ResponseResolver("wikia", wikia_hits, wikia_cards)
+
+# Ids of the resolvers, in order of registration.
+REGISTRY: Mapping[str, Answering] = {r.name: r for r in (GENERIC, WIKIA)}
+
+
+def request_plan(requests: DataFrame, responses: DataFrame | None, registry: Mapping[str, ResponseResolver] = REGISTRY) -> DataFrame:
+    """``kind, url`` of the searches, and of the pages that the searches fetched so far lead to.
+
+    ``requests`` has ``endpoint, query, resolver`` and should be a stored table.
+    """
+    plan = routing.search_requests(requests).select(F.lit("search").alias("kind"), "url")
+    if responses is not None:
+        own = [r.page_requests(requests.filter(F.col("resolver") == name), responses) for name, r in registry.items()]
+        plan = reduce(DataFrame.unionByName, own, plan)
+    return plan.distinct()
+
+
+def unfetched(plan: DataFrame, responses: DataFrame) -> DataFrame:
+    """The requests of a plan that have no response yet."""
+    return plan.join(responses.select("url"), "url", "left_anti").select("kind", "url")
