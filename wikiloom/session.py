@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +69,55 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+# The folder that scratch tables of the current thread go to, where one is set.
+_FOLDER: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, or in the scratch folder that is open."""
+    folder = _FOLDER.get() or checkpoint_root(spark).rstrip("/")
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession, label: str, keep: bool = False) -> Iterator[str]:
+    """Scratch tables made inside share a folder, which is deleted at the end unless ``keep`` is set.
+
+    What is read from them must be stored elsewhere by then. With ``keep`` the caller deletes it, with ``delete``.
+    """
+    folder = scratch_path(spark, label)
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        if not keep:
+            delete(spark, folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of scratch tables."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if there is one already."""
+    system, target = _file_system(spark, path)
+    if system.exists(target):
+        return False
+    system.create(target, False).close()
+    return True
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
