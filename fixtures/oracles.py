@@ -337,6 +337,13 @@ SELECT doc_id, contains(text, 'The') OR contains(text, 'onde') OR contains(text,
        contains(lower(text), ' the ') OR contains(lower(text), ' onde ') OR contains(lower(text), ' zzzz ') AS spaced_word FROM documents""",
     "list_membership": f"""
 SELECT doc_id, list_has_any(string_split(text, ' '), [{_DOC_WORDS}]) AS any_listed, list_contains(string_split(text, ' '), 'The') AS first_listed FROM documents""",
+    "word_table_match": "SELECT doc_id, count(*) AS words, min(word) AS first_word FROM documents JOIN fx_words ON contains(text, word) GROUP BY doc_id",
+    "spaced_word_table_match": "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM fx_words WHERE contains(lower(text), ' ' || lower(word) || ' '))",
+    "list_membership_table": "SELECT doc_id FROM documents WHERE list_has_any(string_split(text, ' '), (SELECT list(word) FROM fx_words))",
+    "route_stream_kept": _about_pages(ANSWER_MESSAGES),
+    "ready_stream": """
+SELECT shard, count(*) AS ready_events FROM fx_lifecycle WHERE kind = 'ready' GROUP BY shard
+UNION ALL SELECT NULL, 16""",
     "known_host_anti": f"SELECT * FROM {NEW_CANDIDATES} c",
     "exact_url_anti": f"SELECT * FROM {ADDED} a",
     "probe_resolve": f"SELECT * FROM {by_step('fx_candidates', GENERIC_SUFFIXES)} v",

@@ -25,7 +25,7 @@ from wikiloom.operators import (
 from wikiloom.plans import add_source, answer, retrievers
 from wikiloom.session import scratch_path, staged
 from wikiloom.sources import responses
-from wikiloom.streaming import answers
+from wikiloom.streaming import answers, readiness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -410,6 +410,25 @@ def list_membership(fx: Inputs) -> DataFrame:
     )
 
 
+@query
+def word_table_match(fx: Inputs) -> DataFrame:
+    docs = fx.base("documents").select("doc_id", "text")
+    found = corpus.found_words(docs, fx.words, "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("words"), F.min("word").alias("first_word"))
+
+
+@query
+def spaced_word_table_match(fx: Inputs) -> DataFrame:
+    docs = fx.base("documents").select("doc_id", "text")
+    return corpus.with_any_listed_word(docs, fx.words, "doc_id", "text", case_sensitive=False, spaced=True).select("doc_id")
+
+
+@query
+def list_membership_table(fx: Inputs) -> DataFrame:
+    docs = fx.base("documents").select("doc_id", F.split("text", " ").alias("words"))
+    return corpus.holding_listed(docs, fx.words.withColumnRenamed("word", "item"), "doc_id", "words").select("doc_id")
+
+
 # -- sessions and streams -----------------------------------------------------------
 
 
@@ -430,3 +449,29 @@ def route_stream(fx: Inputs) -> DataFrame:
     )
     running.awaitTermination()
     return fx.spark.read.parquet(sink).drop("batch_id")
+
+
+@query
+def route_stream_kept(fx: Inputs) -> DataFrame:
+    sink = scratch_path(fx.spark, "answers")
+    running = answers.route_stream(
+        stream_view(fx.spark, fx.sf_dir, "fx_asks", "pages"),
+        lambda: fx.catalog_raw,
+        fx.wiki_pages,
+        sink,
+        scratch_path(fx.spark, "progress"),
+        kept=scratch_path(fx.spark, "kept"),
+    )
+    running.awaitTermination()
+    return fx.spark.read.parquet(sink).drop("batch_id")
+
+
+@query
+def ready_stream(fx: Inputs) -> DataFrame:
+    """Ready events per shard, and as the row without a shard the number of shards that the signal was given for."""
+    table = scratch_path(fx.spark, "ready")
+    lifecycle = stream_view(fx.spark, fx.sf_dir, "fx_lifecycle", "events")
+    readiness.ready_stream(lifecycle, 16, lambda batch_id: None, table, scratch_path(fx.spark, "progress")).awaitTermination()
+    counts = fx.spark.read.parquet(f"{table}/batch_id=0").select("shard", "ready_events")
+    signal = fx.spark.read.parquet(f"{table}_signal").select(F.lit(None).cast("long").alias("shard"), F.col("ready_shards").alias("ready_events"))
+    return counts.unionByName(signal)

@@ -102,7 +102,12 @@ FROM (SELECT 'https://directory.example/' || CAST(CAST(floor(page_id / 50) AS BI
 """,
     "fx_crawl": f"""
 SELECT page_id, term, page_no, term || '?page=' || CAST(page_no AS STRING) AS url,
-       html || '<div class="wikis wiki"><p><a href="http://' || host || '">Wiki</a></div><a title="a > b" class="result-link" href="http://' || host || '&#47;/">Found</a>'
+       html || CASE CAST(page_id % 3 AS INT)
+         WHEN 0 THEN '<div class="wikis wiki"><p><a href="http://' || host || '">Wiki</a></div><a title="a > b" class="result-link" href="http://' || host || '&#47;/">Found</a>'
+         WHEN 1 THEN '<!-- <a class="result-link" href="http://no.org">no</a> --><UL><LI CLASS=wiki title=it' || chr(39) || 's><A title="a > b"" HREF=http://' || host || '>Wiki</A><li><a href=http://out.org>out</a></UL>'
+              || '<A CLASS="z RESULT-LINK"id=x href=' || chr(39) || 'http://' || host || '&#47;/' || chr(39) || '>Found</a>'
+         ELSE '<script>var t = "<a class=wiki href=http://no.org>";</script><table><tr class=wiki><td><a =x href = "http://' || host || '">Wiki</a><tr><td><a href="http://out.org">out</a></table>'
+              || '<span data-x=' || chr(39) || '<a class=result-link>' || chr(39) || '></span><a href="http://' || host || '&#47;/" class = result-link / >Found' END
        || '<div><a class="b-pagination-item" href="?page=1">1</a><a class="b-pagination-item" href="?page=2"> ' || CAST(last_page AS STRING)
        || '</a><span class="b-pagination-item">next</span><a class="paginator-page">1</a><a class="paginator-page"><b>'
        || CAST(least(page_no + 9, last_page) AS STRING) || '</b></a></div>' AS html
@@ -173,6 +178,13 @@ FROM (SELECT page_id, split_part({_HOST}, '.', 1) AS wiki, regexp_extract(html,
              regexp_extract(html, '<p>([^<]+)', 1) AS lead FROM {{pages}}) t
 """
 
+# Long words of titles: a list that grows with the pages.
+_DIALECT["spark"]["<each>"] = "explode(split(title, ' ')) AS word"
+_DIALECT["duckdb"]["<each>"] = "unnest(string_split(title, ' ')) AS word"
+VIEWS["fx_words"] = """
+SELECT DISTINCT word FROM (SELECT <each> FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {pages}) t) w WHERE length(word) > 8
+"""
+
 WORDS = ["The", "onde", "zzzz"]
 
 

@@ -230,3 +230,49 @@ def test_rounds_shrink_to_unfinished_chases(spark, monkeypatch):
     # All 755 pages, then those of the long chase and the circle once the short chases have arrived.
     assert counts[0] == 755 and counts[1] == 755 and max(counts[2:]) <= 305
     assert counts[5] <= 300 and counts[-1] == 0 and len(counts) <= 12
+
+
+TEXTS = [(1, "the cat sat"), (2, "The category of cats"), (3, ""), (4, None), (5, "concatenate  dog"), (6, "dog")]
+
+
+def found_in(spark, words, **options):
+    texts = spark.createDataFrame(TEXTS, "id int, text string").withColumn("word", F.lit("x"))
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    return sorted((r.id, r.word) for r in corpus.found_words(texts, table, "id", "text", **options).collect())
+
+
+@pytest.mark.parametrize("block", [4_000_000, 4])
+def test_word_tables_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(corpus, "BLOCK_CHARACTERS", block)
+    words = ["cat", "cat", "category", "at", "Dog", "dog", "zzz", None, " ", "t s", "c"]
+    for case_sensitive in (True, False):
+        for spaced in (True, False):
+            expected = set()
+            for i, text in TEXTS:
+                for w in {w for w in words if w is not None}:
+                    needle, hay = (w, text or "") if case_sensitive else (w.lower(), (text or "").lower())
+                    if text is not None and (f" {needle} " if spaced else needle) in hay:
+                        expected.add((i, needle))
+            assert found_in(spark, words, case_sensitive=case_sensitive, spaced=spaced) == sorted(expected)
+
+
+def test_word_tables_without_words(spark):
+    assert found_in(spark, []) == found_in(spark, [None]) == []
+    assert found_in(spark, [""]) == [(i, "") for i, t in TEXTS if t is not None]
+
+
+def test_plans_do_not_grow_with_the_list(spark):
+    texts = spark.createDataFrame(TEXTS, "id int, text string")
+
+    def size(n):
+        table = spark.range(n).selectExpr("concat('w', id) AS word")
+        return len(corpus.found_words(texts, table, "id", "text")._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(size(3000) - size(3)) < 200
+
+
+def test_tables_of_elements(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["c", None]), (3, []), (4, None), (5, ["z", "a"])], "id int, items array<string>")
+    wanted = spark.createDataFrame([("b",), ("b",), (None,), ("z",)], "item string")
+    assert sorted(r.id for r in corpus.holding_listed(rows, wanted, "id", "items").collect()) == [1, 5]
+    assert corpus.holding_listed(rows, wanted.limit(0), "id", "items").count() == 0

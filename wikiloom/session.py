@@ -26,6 +26,14 @@ SETTINGS = {
 }
 
 
+# For a join whose large side should lose most rows before it is shuffled, whatever Spark takes its size for.
+RUNTIME_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
+
 def build_session(name: str = "wikiloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -69,6 +77,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans that are made and run inside, then as before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 # The folder that scratch tables of the current thread go to, where one is set.
 _FOLDER: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
