@@ -343,7 +343,7 @@ SELECT doc_id, list_has_any(string_split(text, ' '), [{_DOC_WORDS}]) AS any_list
     "route_stream_kept": _about_pages(ANSWER_MESSAGES),
     "ready_stream": """
 SELECT shard, count(*) AS ready_events FROM fx_lifecycle WHERE kind = 'ready' GROUP BY shard
-UNION ALL SELECT NULL, 16""",
+UNION ALL SELECT NULL, count(DISTINCT shard) FROM fx_lifecycle WHERE kind = 'ready'""",
     "known_host_anti": f"SELECT * FROM {NEW_CANDIDATES} c",
     "exact_url_anti": f"SELECT * FROM {ADDED} a",
     "probe_resolve": f"SELECT * FROM {by_step('fx_candidates', GENERIC_SUFFIXES)} v",

@@ -471,7 +471,8 @@ def ready_stream(fx: Inputs) -> DataFrame:
     """Ready events per shard, and as the row without a shard the number of shards that the signal was given for."""
     table = scratch_path(fx.spark, "ready")
     lifecycle = stream_view(fx.spark, fx.sf_dir, "fx_lifecycle", "events")
-    readiness.ready_stream(lifecycle, 16, lambda batch_id: None, table, scratch_path(fx.spark, "progress")).awaitTermination()
+    shards = fx.lifecycle.filter("kind = 'ready'").select("shard").distinct().count()
+    readiness.ready_stream(lifecycle, shards, lambda batch_id: None, table, scratch_path(fx.spark, "progress")).awaitTermination()
     counts = fx.spark.read.parquet(f"{table}/batch_id=0").select("shard", "ready_events")
     signal = fx.spark.read.parquet(f"{table}_signal").select(F.lit(None).cast("long").alias("shard"), F.col("ready_shards").alias("ready_events"))
     return counts.unionByName(signal)
