@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -154,3 +156,77 @@ def test_unmarked_pages_keep_all_that_varies(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     found = {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()}
     assert {i: t.replace("\n\nAll rights reserved", "") for i, t in found.items()} == expected
+
+
+@pytest.mark.parametrize("levels", [150, 198, 300, 2000])
+def test_no_level_loses_or_leaks_text(spark, levels):
+    """What stands after deeply nested elements is read, and scripts and menus in them are not."""
+    rows = []
+    for i in range(12):
+        inner = f"<p>in {i}</p><script>var x = {i};</script><nav>menu {i}</nav>"
+        deep = "<div>" * levels + inner + "</div>" * levels
+        rows.append((i, f"http://{'abc'[i % 3]}.example/{i}", page(f"<article><p>start {i}</p>{deep}<p>end {i}</p></article>")))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()}
+    assert found == {i: f"start {i}\n\nin {i}\n\nend {i}" for i in range(12)}
+
+
+def test_wrappers_of_any_depth_survive_writing():
+    tree = ["p", 3, "*", 5, []]
+    for i in range(3000):
+        tree = ["div", 3, "", 0, [["b", 1, "h", i, []], tree]]
+    again = html_extract._read(html_extract._written(tree))
+    while tree[4]:
+        assert tree[:4] == again[:4] and tree[4][0] == again[4][0]
+        tree, again = tree[4][1], again[4][1]
+    assert tree == again
+
+
+def test_parts_of_an_article_with_names_of_menus(spark):
+    """Headings in an article's header and prose in elements named like menus are text; lists of links and what is the same everywhere are not."""
+    rows, expected = [], {}
+    for i in range(6):
+        article = (
+            f"<header><h1>Title {i}</h1></header><div class='article-header'><h2>Chapter {i}</h2></div><p class='menu item'>A sentence about {i}.</p>"
+            f"<div id='related-work'><p>Work that is related to {i} in words.</p></div><div class='related'><h3>Related</h3><a href=x>Another story {i + 1}</a></div>"
+            f"<ul class=menu><li><a href=y>Part {i}</a></li></ul><div class=header>The Daily Site</div><div class=comments><p>I like {i}</p></div><p>End {i}</p>"
+        )
+        rows.append((i, "http://h.example/", page(f"<header><h1>Site {i}</h1></header><div class=menu>Go on {i}</div><article>{article}</article>")))
+        expected[i] = f"Title {i}\n\nChapter {i}\n\nA sentence about {i}.\n\nWork that is related to {i} in words.\n\nEnd {i}"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()} == expected
+
+
+def test_the_wrapper_decides(spark):
+    """The same pages without a wrapper keep their template."""
+    rows = [(i, "http://h.example/", page(f"<div>Site name</div><div class=x><p>Story {i}</p><div>Read on</div></div>")) for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()}
+    bare = {i: html_extract.Wrapper(None).text(text) for i, _, text in rows}
+    assert found == {i: f"Story {i}" for i in range(8)}
+    assert bare == {i: f"Site name\n\nStory {i}\n\nRead on" for i in range(8)}
+
+
+def _most_matched(a, b):
+    """Simple tree matching as it is defined, without a table."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(left, right):
+        if not left or not right:
+            return 0
+        return max(best(left[1:], right), best(left, right[1:]), _most_matched(left[0], right[0]) + best(left[1:], right[1:]))
+
+    return 1 + best(a[4], b[4])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_matching_equals_brute_force(seed):
+    numbers = random.Random(seed)
+
+    def tree(levels):
+        return [numbers.choice("abc"), 1, "", 0, [tree(levels - 1) for _ in range(numbers.randint(0, 3) if levels else 0)]]
+
+    for _ in range(30):
+        a, b = tree(3), tree(3)
+        assert html_extract._weight(a, b) == _most_matched(a, b)

@@ -73,10 +73,16 @@ def test_pipeline_equals_plain_stages(spark, documents, tmp_path):
     rows = [r.asDict() for r in judged if r["lang_pred"] != "und" and r["score"] >= 0.5]
     assert 0.9 * len(judged) <= len(rows) < len(judged)
 
-    groups = brute_copies([(r["doc_id"], r["text"]) for r in rows])
-    copies = {doc for doc, _, component in groups if doc is not None and component != doc}
+    # Rows are told by their place: each is an id of its own for the brute force.
+    groups = {place: component for place, _, component in brute_copies([(i, r["text"]) for i, r in enumerate(rows)])}
+    first: dict[int, tuple] = {}
+    for place, r in enumerate(rows):
+        order = (r["doc_id"] is None, r["doc_id"] or 0, place)
+        if (r["text"] or "").split() and (groups[place] not in first or order < first[groups[place]]):
+            first[groups[place]] = order
+    copies = {place for place, r in enumerate(rows) if (r["text"] or "").split() and first[groups[place]][2] != place}
     assert copies
-    rows = [r for r in rows if r["doc_id"] not in copies]
+    rows = [r for place, r in enumerate(rows) if place not in copies]
     longer = sum(len(r["text"] or "") for r in rows)
     rows = plain_repeats(rows)
     assert sum(len(r["text"] or "") for r in rows) < longer
@@ -118,3 +124,11 @@ def test_one_row_of_each_group_of_near_copies_stays(spark):
     assert sorted((k for k in kept if k[0] or not k[1]), key=repr) == sorted(expected, key=repr)
     cleaned = corpus_pipeline.repeated_passages(spark, spark.createDataFrame([(i, t, "en", None, 0) for i, t in kept], docs.schema), "")
     assert sorted((tuple(r) for r in cleaned.select("doc_id", "text").collect()), key=repr) == sorted(kept, key=repr)
+
+
+def test_a_clean_row_stays_whatever_else_has_its_id(spark):
+    story, other, third = (" ".join(f"{head}{i}" for i in range(60)) for head in ("a", "b", "c"))
+    rows = [(1, story), (2, story + " end"), (2, other), (3, third)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == [(1, story), (2, other), (3, third)]

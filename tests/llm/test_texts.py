@@ -198,3 +198,78 @@ def test_long_texts_are_counted_whole(monkeypatch):
     cut = langid.term_counts(text, langid.Settings())
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
     assert math.isclose(whole[1].sum(), 3 * len(text) - 3)
+
+
+def test_the_sample_is_bounded_whatever_is_copied(spark):
+    """A frequent text is drawn once, so it can neither fill the sample nor go beyond its bound."""
+    settings = langid.Settings(sample=200)
+    rows = [("en", "the same words over and over")] * 3000 + [("en", f"some words number {i}") for i in range(400)]
+    rows += [("de", f"einige Wörter Nummer {i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    drawn, original = [], langid._follow_the_leader
+
+    def counted(learnt, labels, s):
+        drawn.append(len(learnt))
+        return original(learnt, labels, s)
+
+    langid._follow_the_leader = counted
+    try:
+        model = langid.train(table, settings=settings)
+    finally:
+        langid._follow_the_leader = original
+    assert 60 <= drawn[0] <= 200
+    assert langid.predict("einige Wörter", model)[0] == "de" and langid.predict("the same words", model)[0] == "en"
+
+
+def test_leader_updates_by_definition():
+    """Each weight is the least of the regularised sum of all gradients so far, found here by search."""
+    s = langid.Settings(bits=2, epochs=1, alpha=0.5, beta=1.0, l1=0.05, l2=0.1)
+    rng = np.random.default_rng(4)
+    rows = [(np.array(p), rng.random(len(p)) + 0.2, label) for p, label in (([0, 1], 0), ([1, 2], 1), ([0, 3], 2), ([2], 1), ([0, 1, 2], 0))]
+    found, bias = langid._follow_the_leader(rows, 3, s)
+    size, labels = 5, 3
+    gradients, points = np.zeros((0, size, labels)), []
+
+    def least(i, k):
+        """argmin over w of sum(g) w + sum(sigma (w - w_t)^2) / 2 + beta w^2 / (2 alpha) + l1 |w| + l2 w^2 / 2."""
+        g = gradients[:, i, k]
+        squares = np.cumsum(g**2)
+        sigma = np.diff(np.sqrt(np.concatenate([[0], squares]))) / s.alpha
+        past = np.array([w[i, k] for w in points])
+
+        def cost(w):
+            own = (sigma * (w - past) ** 2).sum() / 2 if len(g) else 0.0
+            return g.sum() * w + own + s.beta / s.alpha * w * w / 2 + s.l1 * abs(w) + s.l2 * w * w / 2
+
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, b) if cost(a) < cost(b) else (a, high)
+        return (low + high) / 2
+
+    for places, values, label in rows:
+        w = np.array([[least(i, k) for k in range(labels)] for i in range(size)])
+        x = np.zeros(size)
+        x[places], x[-1] = values, 1.0
+        scores = x @ w
+        p = np.exp(scores) / np.exp(scores).sum()
+        p[label] -= 1
+        points.append(w)
+        gradients = np.concatenate([gradients, (x[:, None] * p)[None]])
+    w = np.array([[least(i, k) for k in range(labels)] for i in range(size)])
+    assert np.abs(w[:-1] - found).max() < 1e-6 and np.abs(w[-1] - bias).max() < 1e-6
+    assert (found == 0).any() and (found != 0).any()
+
+
+def test_temperature_by_search():
+    rng = np.random.default_rng(2)
+    logits = rng.normal(size=(200, 3)) * 5
+    labels = np.where(rng.random(200) < 0.7, logits.argmax(axis=1), rng.integers(0, 3, 200))
+
+    def loss(t):
+        e = np.exp(logits / t - (logits / t).max(axis=1, keepdims=True))
+        return -np.log((e / e.sum(axis=1, keepdims=True))[np.arange(200), labels]).mean()
+
+    found = langid._temperature(logits, labels)
+    assert loss(found) <= min(loss(t) for t in np.linspace(0.05, 9.9, 400)) + 2e-3
+    assert langid._temperature(np.zeros((0, 3)), np.zeros(0, dtype=int)) == 1.0

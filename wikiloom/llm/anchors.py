@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.llm.common import Rolling, arrow_map, joined, minimisers, settled
+from wikiloom.session import RUNTIME_FILTER, configured
 
 #: Units of a text, as numbers: ``(data, rolling) -> array``.
 Units = Callable[[bytes, Rolling], np.ndarray]
@@ -32,14 +33,15 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 def recurring(docs: DataFrame, units: Units, length: int, gram: int, text: str, once: bool = False) -> DataFrame:
     """``__key, __anchors``: per key the hashes of its anchors that occur more than once.
 
-    With ``once`` a task reads the first document of each key only.
+    With ``once`` a task reads the first document of each key only. An anchor of a document is one row, with the number
+    of its places, so a document that repeats a phrase makes no crowd.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         seen: set[int] = set()
         for batch in batches:
-            hashes, owners = [], []
+            hashes, owners, times = [], [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t and key not in seen:
                     if once:
@@ -47,11 +49,17 @@ def recurring(docs: DataFrame, units: Units, length: int, gram: int, text: str,
                         seen.add(key)
                     grams = rolling.grams(units(t.encode("utf-8", "surrogatepass"), rolling), gram)
                     places = minimisers(grams, length - gram + 1)[1]
-                    hashes.append(grams[places])
-                    owners.append(np.full(len(places), key, dtype=np.int64))
-            found = pa.array(joined(hashes, np.uint64).view(np.int64)), pa.array(joined(owners, np.int64))
-            yield pa.RecordBatch.from_arrays(list(found), names=["anchor", "__key"])
-
-    rows = settled(arrow_map(docs.select("__key", text), find, "anchor long, __key long"), "anchors")
-    again = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
-    return rows.join(again, "anchor", "left_semi").groupBy("__key").agg(F.collect_set("anchor").alias("__anchors"))
+                    own, n = np.unique(grams[places], return_counts=True)
+                    hashes.append(own)
+                    times.append(n)
+                    owners.append(np.full(len(own), key, dtype=np.int64))
+            columns = joined(hashes, np.uint64).view(np.int64), joined(owners, np.int64), joined(times, np.int64).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "__key", "times"])
+
+    rows = settled(arrow_map(docs.select("__key", text), find, "anchor long, __key long, times int"), "anchors")
+    # Partial sums come before the shuffle, so a frequent anchor is one row of each task.
+    again = settled(rows.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor"), "again")
+    with configured(docs.sparkSession, RUNTIME_FILTER):
+        # Anchors that occur once are dropped by a Bloom filter where they are read.
+        own = rows.select("anchor", "__key").join(again, "anchor", "left_semi")
+        return settled(own.groupBy("__key").agg(F.collect_set("anchor").alias("__anchors")), "recurring")

@@ -6,15 +6,13 @@ one Arrow batch of documents and the arrays of one document.
 
 from __future__ import annotations
 
-import contextlib
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from wikiloom.session import staged
+from wikiloom.session import configured, staged
 
 BATCH_ROWS = 512
 
@@ -27,28 +25,14 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-@contextlib.contextmanager
-def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """Session settings for the plans that are made and run inside, then as before."""
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+#: Spark removes the shuffle files of a query when the query ends.
+_SHUFFLES_REMOVED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """``df`` stored and read back, and the shuffle files behind it released.
-
-    Spark removes them when its driver has collected what referred to them.
-    """
-    out = staged(df, label)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+    """``df`` stored and read back, and the shuffle files behind it removed."""
+    with configured(df.sparkSession, _SHUFFLES_REMOVED):
+        return staged(df, label)
 
 
 def fields(*parts: T.StructType | T.StructField | str) -> T.StructType:

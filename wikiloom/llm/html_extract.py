@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +27,6 @@ from wikiloom.session import staged
 
 #: Hosts whose wrappers a task holds before it hands them on.
 HELD = 1000
-DEEPEST = 200
 SALTS = 32
 
 # What the HTML standard and common class names say about the parts of a page.
@@ -44,6 +44,10 @@ APART_NAMES = frozenset(
     "disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar "
     "skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Names that also stand for parts of an article: such an element of it is left out only if it is the same on all pages of the
+# host that have it, or if most of its text is links.
+WEAK_NAMES = frozenset("header menu related".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -55,9 +59,12 @@ _SCOPE = frozenset("html body table td th article section div ul ol dl main nav
 
 
 class Node:
-    """An element: tag, class, whether it is apart from the main text, and its content in order."""
+    """An element: tag, class, whether it is apart from the main text, and its content in order.
 
-    __slots__ = ("tag", "kind", "apart", "content")
+    ``weak`` says that it is apart by a name or tag that parts of an article may have too.
+    """
+
+    __slots__ = ("tag", "kind", "apart", "weak", "content")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]] = ()):
         given = dict(reversed(attributes)) if attributes else {}
@@ -65,11 +72,13 @@ class Node:
         self.tag = tag
         self.kind = f"{tag}.{name[0]}" if name else tag
         self.apart = tag in APART or tag in HIDDEN
+        self.weak = tag == "header"
         if attributes and not self.apart and tag not in ("html", "body", "article", "main"):
             words = re.split(r"[\s_-]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower())
-            self.apart = (
-                not APART_NAMES.isdisjoint(words) or given.get("role") in APART_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-            )
+            names = APART_NAMES.intersection(words)
+            by_state = given.get("role") in APART_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+            self.apart = bool(names) or by_state
+            self.weak = bool(names) and names <= WEAK_NAMES and not by_state
         self.content: list = []
 
     def children(self) -> list[Node]:
@@ -83,6 +92,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#")
         self.open = [self.root]
+        self.deepest = 1
 
     def _close(self, tags, barrier) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -99,9 +109,9 @@ class _Builder(HTMLParser):
             self._close(("p",), _SCOPE)
         node = Node(tag, attrs)
         self.open[-1].content.append(node)
-        # Below the deepest level elements are kept side by side, so no page is too deep to walk.
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
             self.open.append(node)
+            self.deepest = max(self.deepest, len(self.open))
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,9 +130,15 @@ def parse(page: str) -> Node:
     builder = _Builder()
     builder.feed(page)
     builder.close()
+    _allow_depth(builder.deepest)
     return builder.root
 
 
+def _allow_depth(levels: int) -> None:
+    """Let trees of so many levels be walked: a call for each level, none of which passes through C."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * levels + 1000))
+
+
 # -- wrappers ---------------------------------------------------------------------
 #
 # A wrapper's node is a list: kind, pages it is on, text hash ('' none, '*' varying), length of
@@ -131,6 +147,29 @@ def parse(page: str) -> Node:
 KIND, PAGES, TEXT, SIZE, KIDS = range(5)
 
 
+def _written(wrapper: list) -> str:
+    """A wrapper as JSON: its nodes in order, each with its level, so depth needs no nesting."""
+    rows, todo = [], [(0, wrapper)]
+    while todo:
+        level, node = todo.pop()
+        rows.append([level, *node[:KIDS]])
+        todo += [(level + 1, kid) for kid in reversed(node[KIDS])]
+    return json.dumps(rows)
+
+
+def _read(text: str) -> list:
+    path: list[list] = []
+    rows = json.loads(text)
+    for level, *node in rows:
+        node.append([])
+        del path[level:]
+        if path:
+            path[-1][KIDS].append(node)
+        path.append(node)
+    _allow_depth(max(row[0] for row in rows) + 1)
+    return path[0]
+
+
 def skeleton(node: Node) -> list:
     """A page's tree as a wrapper of one page, as deep as it was parsed."""
     text = " ".join(" ".join(c for c in node.content if type(c) is str).split())
@@ -223,7 +262,7 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         held: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            found = [list(held), [json.dumps(w) for w in held.values()]]
+            found = [list(held), [_written(w) for w in held.values()]]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], names=["host", "wrapper"])
 
@@ -238,16 +277,16 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     def united(group: pd.DataFrame) -> list:
         whole = None
         for text in sorted(group["wrapper"]):
-            part = json.loads(text)
+            part = _read(text)
             whole = part if whole is None else merge(whole, part)
         return whole
 
     def unite(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(united(group))]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [_written(united(group))]})
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         whole = united(group)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(pruned(whole, whole[PAGES]))]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [_written(pruned(whole, whole[PAGES]))]})
 
     parts = arrow_map(rows, fold, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     some = parts.groupBy("host", "salt").applyInPandas(unite, "host string, wrapper string")
@@ -257,14 +296,59 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 # -- reading a page ------------------------------------------------------------------
 
 
+def _varying_sizes(node: list) -> dict[int, int]:
+    """Length of varying text below each of a wrapper's nodes, by the identity of the node."""
+    order, todo = [], [node]
+    while todo:
+        order.append(todo.pop())
+        todo += order[-1][KIDS]
+    sizes: dict[int, int] = {}
+    for own in reversed(order):
+        total = own[SIZE] if own[TEXT] == "*" else 0
+        for kid in own[KIDS]:
+            total += sizes[id(kid)]
+        sizes[id(own)] = total
+    return sizes
+
+
 def _varying(node: list) -> int:
     """Length of varying text below a wrapper's node."""
-    own = node[SIZE] if node[TEXT] == "*" else 0
-    return own + sum(_varying(k) for k in node[KIDS])
+    return _varying_sizes(node)[id(node)]
+
+
+def _blank_nodes(root: Node) -> set[int]:
+    """Identities of the elements without any text that shows."""
+    order, todo = [], [root]
+    while todo:
+        order.append(todo.pop())
+        todo += order[-1].children()
+    found: set[int] = set()
+    for node in reversed(order):
+        if node.tag in HIDDEN:
+            found.add(id(node))
+            continue
+        for item in node.content:
+            if item.strip() if type(item) is str else id(item) not in found:
+                break
+        else:
+            found.add(id(node))
+    return found
 
 
-def _blank(node: Node) -> bool:
-    return all(not c.strip() if type(c) is str else c.tag in HIDDEN or _blank(c) for c in node.content)
+def _is_text(node: Node) -> bool:
+    """Whether a header has a heading, or another element less than half of its text in links."""
+    linked, plain, headed = 0, 0, node.tag in HEADINGS
+    todo = [(node, node.tag == "a")]
+    while todo:
+        own, in_link = todo.pop()
+        for item in own.content:
+            if type(item) is str:
+                size = len("".join(item.split()))
+                linked, plain = linked + size * in_link, plain + size * (not in_link)
+            elif item.tag not in HIDDEN and (not item.apart or item.weak):
+                headed = headed or item.tag in HEADINGS
+                todo.append((item, in_link or item.tag == "a"))
+    return plain > linked or (headed and "header" in node.kind)
 
 
 def _main_nodes(node: Node, found: list[Node]) -> list[Node]:
@@ -280,7 +364,8 @@ class Wrapper:
     """A host's wrapper, as it is used for its pages."""
 
     def __init__(self, text: str | None):
-        self.root = json.loads(text) if text else None
+        self.root = _read(text) if text else None
+        self.sizes = _varying_sizes(self.root) if text else {}
 
     def _pairs(self, node: Node, slot: list | None) -> list[tuple[Node, list | None]]:
         """Children of a page's node with the wrapper's nodes they match."""
@@ -304,7 +389,7 @@ class Wrapper:
 
     def _is_template(self, node: Node, slot: list | None, spared: frozenset = PROSE) -> bool:
         """Whether a node and all below it is the same on the host's pages that have it."""
-        return node.tag not in spared and self._known(slot) and not _varying(slot)
+        return node.tag not in spared and self._known(slot) and not self.sizes[id(slot)]
 
     def region(self, root: Node) -> list[tuple[Node, list | None, frozenset]]:
         """What holds the main text: marked as such, or the lowest node with all that is not template or apart.
@@ -329,7 +414,7 @@ class Wrapper:
         while slot is not None:
             if any(type(c) is str and c.strip() for c in node.content) and (slot[TEXT] == "*" or not self._known(slot)):
                 break
-            inner = [(c, s) for c, s in self._pairs(node, slot) if not c.apart and not self._is_template(c, s, NONE) and not _blank(c)]
+            inner = [(c, s) for c, s in self._pairs(node, slot) if not c.apart and not self._is_template(c, s, NONE) and id(c) not in self.blank]
             if len(inner) != 1 or inner[0][0].tag in PROSE:
                 break
             node, slot = inner[0]
@@ -340,7 +425,7 @@ class Wrapper:
         if not page:
             return ""
         root = parse(page)
-        self.varies = self.root is not None and _varying(self.root) > 0
+        self.varies = self.root is not None and self.sizes[id(self.root)] > 0
         blocks: list[str] = []
         parts: list[str] = []
 
@@ -350,6 +435,14 @@ class Wrapper:
                 blocks.append(block)
             parts.clear()
 
+        def is_apart(item: Node, slot: list | None) -> bool:
+            """Whether an element inside the main text is no part of it."""
+            if item.tag in HIDDEN or not item.apart:
+                return item.tag in HIDDEN
+            if not marked or not item.weak:
+                return True
+            return self._is_template(item, slot, NONE) or not _is_text(item)
+
         def read(node: Node, slot: list | None, spared: frozenset = PROSE) -> None:
             slots = {id(c): s for c, s in self._pairs(node, slot)} if slot is not None else {}
             for item in node.content:
@@ -357,7 +450,7 @@ class Wrapper:
                     parts.append(item)
                 elif item.tag in ("br", "hr"):
                     parts.append(" ")
-                elif item.apart or item.tag in HIDDEN:
+                elif is_apart(item, slots.get(id(item))):
                     if item.tag not in INLINE:
                         end()
                 elif not self._is_template(item, slots.get(id(item)), spared):
@@ -368,7 +461,10 @@ class Wrapper:
                     if not inline:
                         end()
 
-        for node, slot, spared in self.region(root):
+        self.blank = _blank_nodes(root)
+        regions = self.region(root)
+        marked = any(node.tag in MAIN for node, _, _ in regions)
+        for node, slot, spared in regions:
             read(node, slot, spared)
             end()
         return "\n\n".join(blocks)
@@ -378,7 +474,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """``pages`` with ``text``, the main text of each, and ``n_chars``.
 
     Elements that the standard or their class sets apart from the main text are left out, and so is
-    what the host's wrapper knows as template. Where the page marks its article, the text is read
+    what the host's wrapper knows as template. Inside an article, names that parts of it may have too (``WEAK_NAMES``, and ``header``)
+    set an element apart only if the wrapper knows it as the same on all pages, or if it is mostly links without a
+    heading. Pages may be nested to any depth. Where the page marks its article, the text is read
     there, and paragraphs are never taken for template; elsewhere in the lowest node that holds all that
     is neither template nor apart, without its constant children. Blocks have their white space made single and are joined by an empty
     line. NULL or empty html gives ''; a NULL url is a host of its own. Equal pages prove no

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, configured, fields, mix, settled, shuffle_partitions, word_bounds
-from wikiloom.session import staged
+from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, settled, shuffle_partitions, word_bounds
+from wikiloom.session import RUNTIME_FILTER, configured, staged
 
 WORDS = 5
 PERCENT = 75
@@ -43,11 +43,7 @@ BLOCK = 4000
 #: For the join of a cluster's sets with their texts: Spark drops texts of other documents by a Bloom filter
 #: of ids before it shuffles, also where its default takes the texts for too few. The filter has a fixed
 #: 1 MB; with many millions of near copies it lets most through and the join costs a shuffle of the texts.
-PRUNED = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-}
+PRUNED = RUNTIME_FILTER
 
 _WORD = byte_class(WHITE)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -352,11 +348,13 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
 
 def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
-    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.min("mark").alias("mark")).join(clusters, "sid")
+    places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("row")).select("sid", "row.id", "row.mark").join(clusters, "sid")
     members = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # The filter says what all rows have, but tells Spark that this side may prune the other.
     few = settled(places.join(members, "part"), "places").filter("blocks >= 1")
-    texts = docs.join(few, "id").select("sid", "part", "blocks", "text")
+    # A row of the set is told by its id and its text, so many rows of one id are no crowd.
+    marked = docs.select("id", F.xxhash64("text").alias("mark"), "text")
+    texts = marked.join(few, ["id", "mark"]).select("sid", "part", "blocks", "text")
     # Sets of rows without an id only are found by the hash of a text.
     nameless = docs.filter("id IS NULL").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"])
     texts = texts.union(nameless.join(few.filter("id IS NULL"), "mark").select("sid", "part", "blocks", "text"))
@@ -489,23 +487,23 @@ def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: s
     """One row of each group of near copies, and all rows without words.
 
     It is the row of the least id, rows without an id last, and of the least hash of the text among rows of that id.
-    Of rows that are equal in both, one stays. A row without near copies goes with its id, if another row of
-    that id is a copy of a document of a lesser id.
+    Of rows that are equal in both, one stays. Rows are judged one by one: what another row of the same id is a copy of
+    does not matter.
     """
     prefixes, parts = _linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), words, percent)
     rows = prefixes.filter("n > 0").join(parts, "sid", "left").select(F.coalesce("part", "sid").alias("part"), "id", "mark")
     keys = settled(rows.groupBy("part", "id", "mark").count(), "keys")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    best = keys.groupBy("part").agg(F.min(order).alias("best"), F.sum("count").alias("rows")).select("part", "best.id", "best.mark", "rows")
-    best = staged(best.toDF("part", "best_id", "best_mark", "rows"), "best")
+    best = keys.groupBy("part").agg(F.min(order).alias("best")).select("part", "best.id", "best.mark")
+    best = staged(best.toDF("part", "best_id", "best_mark"), "best")
     is_best = F.col("id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
-    judged = staged(keys.join(best, "part").select("id", "mark", "count", "rows", is_best.alias("kept"), (F.col("id") != F.col("best_id")).alias("later")), "judged")
-    later = judged.filter("later").select(F.col("id").alias("later_id")).distinct()
-    judged = judged.join(later, F.col("id") == F.col("later_id"), "left").withColumn("kept", F.expr("kept AND (rows > 1 OR later_id IS NULL)"))
-    gone = staged(judged.filter("NOT kept").select("id", "mark"), "gone")
+    judged = staged(keys.join(best, "part").select("id", "mark", "count", is_best.alias("kept")), "judged")
+    gone = judged.filter("NOT kept").select("id", "mark")
     again = staged(judged.filter("kept AND count > 1").select("id", "mark"), "again")
 
     def chosen(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        # Copies are many, so both sides are dealt anew at any size.
+        keys = keys.hint("merge")
         return rows.join(keys, rows["__id"].eqNullSafe(keys["id"]) & (rows["__mark"] == keys["mark"]), how)
 
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("__id"), F.xxhash64(text).alias("__mark"))

@@ -118,14 +118,17 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings | None = None) -> Model | None:
     """A model from all rows with a language and a letter in the text; None if there are none.
 
-    Counts cover all rows. The sample takes about as many rows of each language, chosen by a
-    hash of the text, ``settings.sample`` rows on average at most.
+    Counts cover all rows. The sample takes about as many texts of each language, chosen by a
+    hash of the text, each text once, and ``settings.sample`` rows at most. There may be
+    ``settings.languages`` languages at most; more raise a ValueError.
     """
     s = settings or Settings()
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counted = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(s.languages + 1).collect()}
+    tally = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("text")).alias("texts"))
+    tally = tally.limit(s.languages + 1).collect()
+    counted = {r["lang"]: r["rows"] for r in tally}
     if not counted:
         return None
     if len(counted) > s.languages:
@@ -146,8 +149,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings:
 
     share = s.sample / len(counted)
     buckets = 1 << 30
-    cut = F.create_map(*[x for k, n in counted.items() for x in (F.lit(k), F.lit(int(min(1.0, share / n) * buckets)))])
+    cut = F.create_map(*[x for k, n in ((r["lang"], r["texts"]) for r in tally) for x in (F.lit(k), F.lit(int(min(1.0, share / n) * buckets)))])
     sample = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(buckets)) < cut[F.col("lang")])
+    # Copies of a text share its hash; one of them is drawn.
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +164,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings:
     drawn = arrow_map(sample.select("lang", "text", "h"), terms, "lang string, h long, places array<int>, counts array<int>").collect()
     languages = sorted(counted)
     number = {k: i for i, k in enumerate(languages)}
-    drawn.sort(key=lambda r: (r["h"], r["lang"]))
+    # What is fetched is the bound on average; what is over it goes.
+    drawn = sorted(drawn, key=lambda r: (r["h"], r["lang"]))[: s.sample]
     examples = []
     for r in drawn:
         places = np.array(r["places"], dtype=np.int64)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.llm.anchors import SEEN, recurring
 from wikiloom.llm.common import WHITE, Rolling, arrow_map, byte_class, covered, fields, minimisers, settled, word_bounds
+from wikiloom.session import delete, scratch_folder
 
 WINDOW = 35
 PHRASE = 12
@@ -127,11 +128,14 @@ def find_repeats(
     added = ["n_words", "n_removed", "kept_sha256", *["clean_text"] * with_text]
     kept = docs.drop(*added)
     rows = kept.withColumn("__key", F.xxhash64(F.col(text)))
-    anchors = recurring(rows, word_hashes, window, phrase, text, once=True)
+    spark = docs.sparkSession
+    with scratch_folder(spark, "phrases", keep=True) as phrases:
+        anchors = recurring(rows, word_hashes, window, phrase, text, once=True)
     copies = rows.groupBy("__key").count().filter("count > 1").select("__key", F.lit(True).alias("__copied"))
     joined = rows.join(anchors.join(copies, "__key", "full"), "__key", "left")
     located = candidates(joined.withColumn("__copied", F.coalesce("__copied", F.lit(False))), window, phrase, text)
     found = settled(located, "windows")
+    delete(spark, phrases)
     times = F.when(F.col("__copied"), 2).otherwise(1)
     again = found.select(times.alias("times"), F.explode("__hashes").alias("__hashes")).groupBy("__hashes").agg(F.sum("times").alias("times"))
     again = again.filter("times > 1").select("__hashes")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from wikiloom.llm.anchors import keyed, recurring
 from wikiloom.llm.common import U64, Rolling, arrow_map, fields, minimisers, mix, settled, shuffle_partitions
 from wikiloom.llm.gsaca import common_prefixes, suffix_array
+from wikiloom.session import delete, scratch_folder
 
 LENGTH = 200
 GRAM = 64
@@ -193,8 +194,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     """
     kept = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept)
     rows = keyed(kept, id, text)
-    anchors = settled(recurring(rows, byte_values, length, gram, text), "recurring")
+    spark = docs.sparkSession
+    with scratch_folder(spark, "anchors", keep=True) as scratch:
+        anchors = recurring(rows, byte_values, length, gram, text)
     found = settled(segments(rows.join(anchors, "__key"), length, gram, text).withColumn("hash", F.xxhash64("segment")), "segments")
+    delete(spark, scratch)
     distinct = found.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.first("segment").alias("segment"))
     sorted_out = settled(sorted_segments(distinct, length).filter(F.size("runs") > 0), "runs")
     shifted = F.transform("runs", lambda r: r + F.col("start"))
