@@ -124,6 +124,7 @@ def brute_copies(texts, words=5, percent=75):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
         sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set())
     group = list(range(len(texts)))
+    links = [0] * len(texts)
 
     def root(i):
         while group[i] != i:
@@ -140,11 +141,13 @@ def brute_copies(texts, words=5, percent=75):
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 group[max(a, b)] = min(a, b)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (doc, _) in enumerate(texts):
         if doc is not None:
             least[root(i)] = min(least.get(root(i), doc), doc)
-    return sorted(((doc, len(sets[i]), least.get(root(i)) if sets[i] else doc) for i, (doc, _) in enumerate(texts)), key=repr)
+    return sorted(((doc, len(sets[i]), least.get(root(i)) if sets[i] else doc, links[i]) for i, (doc, _) in enumerate(texts)), key=repr)
 
 
 def test_near_copies_equal_brute_force(documents, texts):
@@ -204,4 +207,16 @@ def test_no_documents(nothing):
 def test_a_row_without_an_id_links_two_others(spark):
     rows = [(1, 0), (None, 10), (2, 20), (None, 10)]
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(s, s + 100))) for i, s in rows], "doc_id long, text string")
-    assert rows_of(jaccard_join.near_copies(docs)) == sorted([(1, 96, 1), (None, 96, 1), (2, 96, 1), (None, 96, 1)], key=repr)
+    assert rows_of(jaccard_join.near_copies(docs)) == brute_copies([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_links_are_counted_between_blocks_once(spark, monkeypatch):
+    """A crowd of copies and near copies over several blocks, some under one id."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i % 7, " ".join([*base[: rng.randint(44, 60)], *[f"x{rng.randint(0, 9)}"] * rng.randint(0, 2)])) for i in range(40)] + [(50, "a b c"), (51, "a b c"), (52, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = rows_of(jaccard_join.near_copies(docs))
+    assert found == brute_copies(rows)
+    assert {r[3] for r in found if r[0] in (50, 51)} == {1} and max(r[3] for r in found) > 20

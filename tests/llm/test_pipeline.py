@@ -74,7 +74,7 @@ def test_pipeline_equals_plain_stages(spark, documents, tmp_path):
     assert 0.9 * len(judged) <= len(rows) < len(judged)
 
     # Rows are told by their place: each is an id of its own for the brute force.
-    groups = {place: component for place, _, component in brute_copies([(i, r["text"]) for i, r in enumerate(rows)])}
+    groups = {place: component for place, _, component, _ in brute_copies([(i, r["text"]) for i, r in enumerate(rows)])}
     first: dict[int, tuple] = {}
     for place, r in enumerate(rows):
         order = (r["doc_id"] is None, r["doc_id"] or 0, place)

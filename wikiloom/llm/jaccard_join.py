@@ -346,8 +346,8 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
     return arrow_map(ordered, find, "a long, b long").distinct()
 
 
-def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
+def _members(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``sid, part, blocks, items``: the sets of clusters ``sid, part``, once each, and the number of blocks of the cluster."""
     places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("row")).select("sid", "row.id", "row.mark").join(clusters, "sid")
     members = clusters.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # The filter says what all rows have, but tells Spark that this side may prune the other.
@@ -371,12 +371,23 @@ def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], names=["sid", "part", "blocks", "items"])
 
-    sets = arrow_map(texts, whole, "sid long, part long, blocks long, items binary").dropDuplicates(["sid"])
-    # Each block meets each block of its cluster, itself included, in one task.
+    return arrow_map(texts, whole, "sid long, part long, blocks long, items binary").dropDuplicates(["sid"])
+
+
+def _meetings(sets: DataFrame, *more: str) -> DataFrame:
+    """Members of each two blocks of a cluster, ``x`` and ``y``, next to each other in one task; ``own`` is a member's block.
+
+    Each block meets each block of its cluster, itself included.
+    """
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "items")
-    ordered = met.repartition(shuffle_partitions(docs.sparkSession), "part", "x", "y").sortWithinPartitions("part", "x", "y", "sid")
+    met = met.select("part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sid", "items", "own", *more)
+    return met.repartition(shuffle_partitions(sets.sparkSession), "part", "x", "y").sortWithinPartitions("part", "x", "y", "sid")
+
+
+def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: links that connect what is linked in each cluster ``sid, part``, by whole sets."""
+    ordered = _meetings(_members(clusters, prefixes, docs, words)).drop("own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -405,6 +416,62 @@ def _links(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int
     return arrow_map(ordered, compare, "a long, b long")
 
 
+def linked_rows(sets: list[np.ndarray], rows: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Per set the number of rows of all other sets that it is linked with.
+
+    If members are of two blocks, only links between these count. Shared shingles are counted over the lists of
+    sets that hold each shingle, so a pair costs no more than what it shares.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(places, kind="stable")]
+    held = np.bincount(places)
+    firsts = np.cumsum(held) - held
+    ends = np.cumsum(sizes)
+    across = len(np.unique(blocks)) > 1
+    found = np.zeros(len(sets), dtype=np.int64)
+    for i, end in enumerate(ends.tolist()):
+        own = places[end - sizes[i] : end]
+        counts = held[own]
+        at = np.repeat(firsts[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(holders[at], minlength=len(sets))
+        linked = 100 * shared >= percent * (sizes[i] + sizes - shared)
+        linked[i] = False
+        if across:
+            linked &= blocks != blocks[i]
+        found[i] = rows[linked].sum()
+    return found
+
+
+def _link_counts(classes: DataFrame, weights: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sid, others``: the rows of other sets that each set of the classes ``sid, part`` is linked with."""
+    sets = _members(classes, prefixes, docs, words).join(weights, "sid")
+    ordered = _meetings(sets, "rows").select("part", "x", "y", "sid", "items", "own", "rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            sids = [r[3] for r in group]
+            items = [np.frombuffer(r[4], dtype=np.uint64) for r in group]
+            own, rows = (np.array([r[i] for r in group], dtype=np.int64) for i in (5, 6))
+            # Two blocks that meet where one is empty have no links between them.
+            apart = bool(group) and group[0][1] != group[0][2]
+            none = not group or (apart and len(np.unique(own)) == 1)
+            group.clear()
+            others = np.zeros(len(sids), dtype=np.int64) if none else linked_rows(items, rows, own, percent)
+            return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(others)], names=["sid", "others"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if group and group[0][:3] != row[:3]:
+                    yield close()
+                group.append(row)
+        yield close()
+
+    return arrow_map(ordered, count, "sid long, others long").groupBy("sid").agg(F.sum("others").alias("others"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``sid, part`` of all linked sets: the least set that links reach.
 
@@ -464,23 +531,30 @@ def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document.
+    """``doc_id, n_shingles, component_id, n_links`` of each document.
 
     A document's set are its distinct runs of ``words`` words, ASCII letters lower-cased; with
     fewer words the whole sequence is its one shingle, and without words the set is empty and
     linked with nothing. Two documents link if the sets share ``percent`` of their union or
     more; ``component_id`` is the least id that links reach, the document's own included.
+    ``n_links`` is the number of other rows that the row is linked with.
     Documents with equal sets are handled as one. Rows that repeat an id count one by one. A NULL id
     gets the least other id of its component, or NULL. NULL texts are empty.
     """
-    prefixes, parts = _linked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), words, percent)
-    sets = prefixes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
-    sets = sets.join(parts, "sid", "left").select("sid", "least", F.coalesce("part", "sid").alias("part"))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    prefixes, parts = _linked(rows, words, percent)
+    sets = prefixes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    sets = staged(sets, "sets")
+    parts = staged(parts, "parts")
+    with configured(docs.sparkSession, PRUNED):
+        counts = settled(_link_counts(parts, sets.select("sid", "rows").join(parts.select("sid"), "sid"), prefixes, rows, words, percent), "counts")
+    sets = sets.join(parts, "sid", "left").join(counts, "sid", "left")
+    sets = sets.select("sid", "least", F.coalesce("part", "sid").alias("part"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     least = sets.groupBy("part").agg(F.min("least").alias("component_id"))
-    classes = staged(sets.join(least, "part").select("sid", "component_id"), "classes")
+    classes = staged(sets.join(least, "part").select("sid", "component_id", "n_links"), "classes")
     found = prefixes.join(classes, "sid", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:

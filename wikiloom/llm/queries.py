@@ -118,9 +118,13 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n)
       GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
 e AS (SELECT a, b FROM c UNION SELECT b, a FROM c),
 reach AS (SELECT rep AS id, rep AS node FROM reps UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.node),
-comp AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id
+comp AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id),
+size AS (SELECT reps.rep, count(*) AS docs FROM sets JOIN reps USING (h) GROUP BY reps.rep),
+near AS (SELECT e.a AS id, sum(size.docs) AS others FROM e JOIN size ON size.rep = e.b GROUP BY e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id,
+       CAST(coalesce(size.docs - 1, 0) + coalesce(near.others, 0) AS BIGINT) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (h) LEFT JOIN comp ON comp.id = reps.rep
+LEFT JOIN size ON size.rep = reps.rep LEFT JOIN near ON near.id = reps.rep
 """
 
 OP6 = f"""
