@@ -231,13 +231,19 @@ def find_contamination(
     """
     added = ["n_words", "n_hit", "hit_items", *["clean_text"] * with_text]
     context = docs.sparkSession.sparkContext
-    # Each group is bounded by ``automaton_words``, so what is fetched and broadcast is too.
-    shared = [context.broadcast([tuple(r) for r in g.collect()]) for g in _groups(items, item_id, item_text, window, automaton_words)]
+    groups = _groups(items, item_id, item_text, window, automaton_words)
+    rounds = [groups[i : i + TOGETHER] for i in range(0, len(groups), TOGETHER)] or [[]]
     kept = docs.drop(*added)
     found = kept.withColumns({"__spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
-    rounds = [shared[i : i + TOGETHER] for i in range(0, len(shared), TOGETHER)] or [[]]
-    for i, group in enumerate(rounds):
-        found = _pass(found, kept.columns.index(text), group, window, i == len(rounds) - 1, with_text)
+    for i, own in enumerate(rounds):
+        # Each group is bounded by ``automaton_words``, and so is what is fetched and broadcast for a round.
+        shared = [context.broadcast([tuple(r) for r in g.collect()]) for g in own]
+        found = _pass(found, kept.columns.index(text), shared, window, i == len(rounds) - 1, with_text)
+        if i < len(rounds) - 1:
+            # Stored, so the next round neither repeats this one nor needs its automata.
+            found = staged(found, "round")
+            for sent in shared:
+                sent.destroy()
     return found.select(*kept.columns, *added)
 
 
