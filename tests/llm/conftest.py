@@ -5,7 +5,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def documents(spark):
+def documents(spark, tmp_path_factory):
     """The smallest documents, with untidy ones: no text, no id, white space, repeats, clashing columns."""
     given = spark.read.parquet(f"{SMALL}/documents.parquet")
     long = " ".join(f"word{i % 700} und{i % 13}" for i in range(6000))
@@ -22,8 +22,8 @@ def documents(spark):
     both = given.unionByName(extra).withColumns(
         {c: F.lit(None).cast("string") for c in ("key", "hashes", "anchors", "n_words", "fingerprint", "score", "part", "host")}
     )
-    path = "/tmp/llm-tests-documents"
-    both.coalesce(3).write.mode("overwrite").parquet(path)
+    path = str(tmp_path_factory.mktemp("llm") / "documents")
+    both.coalesce(3).write.parquet(path)
     return spark.read.parquet(path)
 
 

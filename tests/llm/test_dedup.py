@@ -154,10 +154,11 @@ def test_near_copies_equal_brute_force(documents, texts):
     assert rows_of(jaccard_join.near_copies(documents)) == brute_copies(texts)
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(2, 15), (200, 4000)])
-def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block):
+@pytest.mark.parametrize(("frequent", "block", "group"), [(2, 15, 1000), (200, 4000, 1000), (2, 15, 6), (200, 4000, 9)])
+def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block, group):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = rng.choices(words, k=120)
@@ -174,6 +175,29 @@ def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block)
     assert rows_of(jaccard_join.near_copies(docs)) == brute_copies(rows)
 
 
+@pytest.mark.parametrize("limit", ["GROUP", "GROUP_SHINGLES"])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard_join, limit, 40 if limit == "GROUP" else 40 * 60)
+    met = []
+    plain = jaccard_join._pairs
+
+    def watched(groups, percent):
+        sizes = groups.groupBy("key", "x", "y").count().collect()
+        met.append(max((r["count"] for r in sizes), default=0))
+        return plain(groups, percent)
+
+    monkeypatch.setattr(jaccard_join, "_pairs", watched)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base, start = rng.choices(words, k=64), rng.choices(words, k=40)
+    # Near copies of one text, and texts that are alike but mostly not linked.
+    rows = [(i, " ".join([*base[: rng.randint(0, 3) + 58], f"own{i}"])) for i in range(300)]
+    rows += [(1000 + i, " ".join(start + rng.choices(words[:40], k=rng.randint(10, 24)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard_join.near_copies(docs)) == brute_copies(rows)
+    assert max(met) <= 120 and len(met) > 2  # two blocks, unevenly filled
+
+
 @pytest.mark.parametrize("leaf", [8, 64, 200])
 def test_trees_lose_no_pair(monkeypatch, leaf):
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)

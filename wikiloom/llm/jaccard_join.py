@@ -10,7 +10,9 @@ too small for any pair below.
 
 First each set goes to the groups of its few least shared shingles, then the groups that still hold
 several clusters are descended. A pair that bitmaps allow puts two clusters of its group together and pairs within a
-cluster are skipped, so a crowd gives as many pairs as members and not all. All links lie
+cluster are skipped, so a crowd gives as many pairs as members and not all. A large group is cut into blocks by the
+hash of the set: blocks are descended one by one, then one member of each cluster of each block, and only groups that are
+not yet one cluster by then have their blocks meet in pairs. All links lie
 within clusters. The sets of a cluster are sent to one task, once, or to blocks of tasks if there are
 very many, where a tree over them is descended again and pairs are checked on the sets themselves.
 """
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, settled, shuffle_partitions, word_bounds
 from wikiloom.session import RUNTIME_FILTER, configured, staged
@@ -37,6 +39,10 @@ MOST_FREQUENT = 1_000_000
 FIRST = 3
 LEAF = 64
 
+#: Sets of a group, and shingles of these, that are descended in one tree; larger groups are cut into blocks.
+GROUP = 1000
+GROUP_SHINGLES = 1 << 25
+
 #: Sets of a cluster that meet in one task; larger clusters are cut into blocks that meet in pairs.
 BLOCK = 4000
 
@@ -311,9 +317,13 @@ def _frequent(prefixes: DataFrame) -> np.ndarray:
 
 
 def _pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs that put clusters ``part`` of a group together; ``key, sid, part, n, bits``."""
+    """``a, b``: pairs that put clusters ``part`` of a group together; ``key, x, y, sid, part, n, bits``.
+
+    A group is what has one ``key, x, y``.
+    """
     tasks = shuffle_partitions(groups.sparkSession)
-    ordered = groups.repartition(tasks, "key").sortWithinPartitions("key", "sid").select("key", "sid", "part", "n", "bits")
+    names = ["key", "x", "y"]
+    ordered = groups.repartition(tasks, *names).sortWithinPartitions(*names, "sid").select(*names, "sid", "part", "n", "bits")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -321,10 +331,10 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if len(group) > 1:
-                sids = [r[1] for r in group]
-                parts = np.array([r[2] for r in group], dtype=np.int64)
-                sizes = np.array([r[3] for r in group], dtype=np.int64)
-                for i, j in candidate_pairs(sizes, [r[4] for r in group], parts, percent):
+                sids = [r[3] for r in group]
+                parts = np.array([r[4] for r in group], dtype=np.int64)
+                sizes = np.array([r[5] for r in group], dtype=np.int64)
+                for i, j in candidate_pairs(sizes, [r[6] for r in group], parts, percent):
                     found.add((min(sids[i], sids[j]), max(sids[i], sids[j])))
             group.clear()
 
@@ -335,7 +345,7 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if group and group[0][0] != row[0]:
+                if group and group[0][:3] != row[:3]:
                     close()
                     if len(found) > 50_000:
                         yield out()
@@ -346,6 +356,52 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
     return arrow_map(ordered, find, "a long, b long").distinct()
 
 
+def _parts_of(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``members`` with the part of their set in ``clusters``, or their own where it has none."""
+    found = members.join(clusters.withColumnRenamed("part", "now"), "sid", "left")
+    return found.withColumn("part", F.coalesce("now", "part")).drop("now")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Groups ``key`` that hold several clusters."""
+    ends = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return ends.filter("low <> high").select("key")
+
+
+def _group_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs that put clusters ``part`` of the groups ``key, sid, n, part`` together, by bitmaps ``sid, bits``.
+
+    Each two members of a group are in one cluster by these pairs, or their bitmaps do not allow a link. A group of more than
+    ``GROUP`` members or ``GROUP_SHINGLES`` shingles is never gathered in a task, only its blocks and each two of them.
+    """
+    size = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES))
+    large = staged(members.groupBy("key").agg(size.alias("blocks")).filter("blocks > 1"), "large")
+    if large.isEmpty():
+        whole = members.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+        return settled(_pairs(whole.join(bits, "sid"), percent), "pairs")
+
+    block = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("blocks")), F.lit(0))
+    dealt = members.join(large, "key", "left").withColumn("x", block)
+    pairs = settled(_pairs(dealt.withColumn("y", F.col("x")).join(bits, "sid"), percent), "pairs")
+    cut = staged(_parts_of(dealt.filter("blocks > 1"), components(pairs)), "cut")
+
+    # One member of each cluster of each block, where these are few enough to meet.
+    several = cut.join(staged(_mixed(cut), "mixed"), "key", "left_semi")
+    chosen = staged(several.groupBy("key", "x", "part").agg(F.min(F.struct("sid", "n")).alias("one")).select("key", "part", "one.*"), "chosen")
+    few = chosen.groupBy("key").agg(size.alias("blocks")).filter("blocks = 1").select("key")
+    meeting = chosen.join(staged(few, "few"), "key", "left_semi").withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+    pairs = staged(pairs.union(settled(_pairs(meeting.join(bits, "sid"), percent), "pairs")), "pairs")
+    cut = staged(_parts_of(cut, components(pairs)), "cut")
+
+    # What is still apart may be linked by other members.
+    left = cut.join(staged(_mixed(cut), "mixed"), "key", "left_semi")
+    if left.isEmpty():
+        return pairs
+    met = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("x <> other")
+    met = met.select("key", F.least("x", "other").alias("x"), F.greatest("x", "other").alias("y"), "sid", "n", "part")
+    return pairs.union(settled(_pairs(met.join(bits, "sid"), percent), "pairs"))
+
+
 def _members(clusters: DataFrame, prefixes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """``sid, part, blocks, items``: the sets of clusters ``sid, part``, once each, and the number of blocks of the cluster."""
     places = prefixes.filter("bits IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("row")).select("sid", "row.id", "row.mark").join(clusters, "sid")
@@ -502,26 +558,30 @@ def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     frequent = _frequent(_prefixes(rows, words, percent, nothing))
     prefixes = staged(_prefixes(rows, words, percent, context.broadcast(frequent)), "prefixes")
 
-    by_key = Window.partitionBy("key")
-    exploded = prefixes.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key"))
-    several = exploded.withColumn("low", F.min("sid").over(by_key)).withColumn("high", F.max("sid").over(by_key)).filter("low <> high")
-    shared = settled(several.select("key", "sid").distinct(), "shared")
+    exploded = prefixes.filter("keys IS NOT NULL").select("sid", "n", F.explode("keys").alias("key"))
+    # Least and greatest have partial aggregates, so a shingle of very many sets is one row of each task.
+    ends = exploded.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    several = settled(ends.filter("low <> high").select("key"), "several")
+    with configured(rows.sparkSession, PRUNED):
+        # The filter says what all rows have, but lets Spark drop lone shingles by a Bloom filter before they are dealt.
+        both = exploded.join(several.filter("key IS NOT NULL"), "key", "left_semi")
+        shared = settled(both.select("key", "sid", "n").distinct(), "shared")
     bits = prefixes.filter("bits IS NOT NULL").join(shared.select("sid").distinct(), "sid", "left_semi")
-    bits = staged(bits.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
+    bits = staged(bits.groupBy("sid").agg(F.first("bits").alias("bits")), "bits")
 
-    first = shared.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
-    first = first.select("sid", F.explode("keys").alias("key")).withColumn("part", F.col("sid"))
-    pairs = settled(_pairs(first.join(bits, "sid"), percent), "pairs")
+    first = shared.groupBy("sid", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
+    first = staged(first.select(F.explode("keys").alias("key"), "sid", "n", F.col("sid").alias("part")), "first")
+    pairs = _group_pairs(first, bits, percent)
     clusters = components(pairs)
 
     # Groups of several clusters; groups of the same sets are looked at once.
-    placed = shared.join(clusters, "sid", "left").select("key", "sid", F.coalesce("part", "sid").alias("part"))
-    placed = settled(placed, "placed")
+    placed = settled(_parts_of(shared.withColumn("part", F.col("sid")), clusters), "placed")
     mixed = placed.groupBy("key").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("who")
     )
     chosen = mixed.filter("low <> high").groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
-    more = settled(_pairs(placed.join(chosen, "key", "left_semi").join(bits, "sid"), percent), "pairs")
+    chosen = staged(placed.join(settled(chosen, "chosen"), "key", "left_semi").select("key", "sid", "n", "part"), "second")
+    more = _group_pairs(chosen, bits, percent)
     if not more.isEmpty():
         clusters = components(pairs.union(more))
     with configured(rows.sparkSession, PRUNED):
