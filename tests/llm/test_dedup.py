@@ -154,7 +154,7 @@ def test_near_copies_equal_brute_force(documents, texts):
     assert rows_of(jaccard_join.near_copies(documents)) == brute_copies(texts)
 
 
-@pytest.mark.parametrize(("frequent", "block", "group"), [(2, 15, 1000), (200, 4000, 1000), (2, 15, 6), (200, 4000, 9)])
+@pytest.mark.parametrize(("frequent", "block", "group"), [(2, 15, 1000), (200, 4000, 1000), (200, 4000, 9)])
 def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block, group):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -175,9 +175,8 @@ def test_near_copies_with_frequent_passages(spark, monkeypatch, frequent, block,
     assert rows_of(jaccard_join.near_copies(docs)) == brute_copies(rows)
 
 
-@pytest.mark.parametrize("limit", ["GROUP", "GROUP_SHINGLES"])
-def test_large_groups_meet_in_blocks(spark, monkeypatch, limit):
-    monkeypatch.setattr(jaccard_join, limit, 40 if limit == "GROUP" else 40 * 60)
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 40 * 60)
     met = []
     plain = jaccard_join._pairs
 
