@@ -215,10 +215,32 @@ def test_trees_lose_no_pair(monkeypatch, leaf):
             assert (i, j) in found
 
 
-def test_long_chains_are_one_component(spark):
-    chain = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
+@pytest.mark.parametrize("few", [0, 20, 1 << 16])
+def test_long_chains_are_one_component(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    chain = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (100, 101)]
     found = dict(rows_of(jaccard_join.components(spark.createDataFrame(chain, "a long, b long"))))
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    assert rows_of(jaccard_join.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_components_of_one_task():
+    rng = np.random.default_rng(5)
+    for n, links in ((1, 3), (40, 25), (400, 380), (3000, 2500)):
+        a, b = (rng.choice(rng.integers(-(1 << 62), 1 << 62, n), links) for _ in range(2))
+        b[: links // 2] = a[links // 2 : links // 2 * 2]
+        parents = {x: x for x in (*a.tolist(), *b.tolist())}
+
+        def root(x):
+            while parents[x] != x:
+                x = parents[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = root(x), root(y)
+            parents[max(x, y)] = min(x, y)
+        ends, least = jaccard_join._least_reached(a, b)
+        assert dict(zip(ends.tolist(), least.tolist())) == {x: root(x) for x in parents}
 
 
 def test_no_documents(nothing):

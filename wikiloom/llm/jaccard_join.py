@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, mix, settled, shuffle_partitions, word_bounds
+from wikiloom.llm.common import U64, WHITE, Rolling, arrow_map, byte_class, fields, joined, mix, settled, shuffle_partitions, word_bounds
 from wikiloom.session import RUNTIME_FILTER, configured, staged
 
 WORDS = 5
@@ -46,6 +46,9 @@ GROUP_SHINGLES = 1 << 25
 #: Sets of a cluster that meet in one task; larger clusters are cut into blocks that meet in pairs.
 BLOCK = 4000
 
+#: Links of which one task works out the components.
+FEW = 1 << 16
+
 #: For the join of a cluster's sets with their texts: Spark drops texts of other documents by a Bloom filter
 #: of ids before it shuffles, also where its default takes the texts for too few. The filter has a fixed
 #: 1 MB; with many millions of near copies it lets most through and the join costs a shuffle of the texts.
@@ -528,27 +531,56 @@ def _link_counts(classes: DataFrame, weights: DataFrame, prefixes: DataFrame, do
     return arrow_map(ordered, count, "sid long, others long").groupBy("sid").agg(F.sum("others").alias("others"))
 
 
+def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the links, and the least end that each one reaches."""
+    ends, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    to = np.arange(len(ends))
+    while (to[x] != to[y]).any():
+        low = np.minimum(to[x], to[y])
+        for side in (to[x], to[y]):
+            np.minimum.at(to, side, low)
+        # What is pointed at is never greater, so pointers end at the least of a tree.
+        while (to != to[to]).any():
+            to = to[to]
+    return ends, ends[to]
+
+
+def _few_components(links: DataFrame) -> DataFrame:
+    """``sid, part`` of at most ``FEW`` links, by one task."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = list(batches)
+        a, b = (joined([r.column(i).to_numpy() for r in read], np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _least_reached(a, b)], names=["sid", "part"])
+
+    return arrow_map(links.select("a", "b").coalesce(1), find, "sid long, part long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``sid, part`` of all linked sets: the least set that links reach.
+    """``sid, part`` of all linked sets: the least set that links reach. ``links`` are a stored table.
 
     Each round maps every set to the least of itself and its neighbours and draws the
-    links between what they are mapped to, which at least halves the sets that are left of a component.
+    links between what they are mapped to, which at least halves the sets that are left of a component. Once no more
+    than ``FEW`` links are left, whatever the size of the input, one task works out the rest.
     """
-    edges = staged(links.filter("a <> b").distinct(), "edges")
+    edges = links.filter("a <> b").select("a", "b")
     labels = None
-    while not edges.isEmpty():
+    while edges.count() > FEW:
+        if labels is None:
+            edges = staged(edges.distinct(), "edges")
         ends = edges.union(edges.select("b", "a")).toDF("u", "v")
         near = staged(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "near")
-        if labels is None:
-            labels = near.toDF("sid", "part")
-        else:
-            labels = labels.join(near.withColumnRenamed("u", "part"), "part", "left").select("sid", F.coalesce("to", "part").alias("part"))
-            labels = staged(labels, "labels")
+        labels = near.toDF("sid", "part") if labels is None else _moved(labels, near.toDF("part", "to"))
         moved = edges.join(near.toDF("a", "a2"), "a").join(near.toDF("b", "b2"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         edges = staged(moved.filter("a <> b").distinct(), "edges")
-    if labels is None:
-        return edges.select(F.col("a").alias("sid"), F.col("b").alias("part"))
-    return labels
+    rest = staged(_few_components(edges), "rest")
+    return rest if labels is None else _moved(labels, rest.toDF("part", "to"))
+
+
+def _moved(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """``labels`` with parts mapped by ``part, to``."""
+    return staged(labels.join(to, "part", "left").select("sid", F.coalesce("to", "part").alias("part")), "labels")
 
 
 def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
