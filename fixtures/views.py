@@ -205,12 +205,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
-    """The view over ``table`` read as a stream of files."""
-    rows = (
-        spark.readStream.schema(base(spark, sf_dir, table).schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(sf_dir)
-    )
+    """The view over ``table`` read as a stream of files; the table is one file or a folder of files."""
+    # As a pattern, for a stream over a plain path takes it for a folder.
+    rows = spark.readStream.schema(base(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
     return spark.sql(_sql(name, "spark"), **{table: rows})
 
 

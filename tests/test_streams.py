@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures.queries import Inputs
+from fixtures.queries import QUERIES, Inputs
+from fixtures.views import stream_view
 from wikiloom import session
 from wikiloom.operators import resolvers, sessions
 from wikiloom.plans.answer import answer_messages
@@ -172,3 +173,21 @@ def test_scratch_folders(spark):
             session.staged(spark.range(1), "rows")
         assert inner.startswith(folder) and session.exists(spark, inner)
     assert not session.exists(spark, folder) and not session.scratch_path(spark, "x").startswith(folder)
+
+
+def test_streams_read_tables_of_one_file_and_of_several(spark, tmp_path):
+    page = "<title>{}</title><p>one two three four five six</p>"
+    pages = spark.createDataFrame(
+        [(i, f"https://w{i}.org/{i}", page.format(f"Some title{i}")) for i in range(12)], "page_id long, url string, html string"
+    )
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    pages.repartition(3).write.parquet(str(folder / "pages.parquet"))
+    single.mkdir()
+    pages.toPandas().to_parquet(single / "pages.parquet")
+    answers = []
+    for path in (folder, single):
+        running = stream_view(spark, str(path), "fx_asks", "pages").writeStream.format("memory").queryName(f"asks_{path.name}")
+        running.trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(f"asks_{path.name}").count() == 12
+        answers.append(sorted(map(str, QUERIES["route_stream_kept"](spark, str(path)).collect())))
+    assert len(answers[0]) == 12 and answers[0] == answers[1]
