@@ -265,3 +265,48 @@ def test_links_are_counted_between_blocks_once(spark, monkeypatch):
     found = rows_of(jaccard_join.near_copies(docs))
     assert found == brute_copies(rows)
     assert {r[3] for r in found if r[0] in (50, 51)} == {1} and max(r[3] for r in found) > 20
+
+
+def test_linked_sets_are_met_at_the_first_shingle_they_share():
+    rng = random.Random(23)
+    links = ruled_out = 0
+    for _ in range(300):
+        base = rng.sample(range(200), rng.randint(4, 60))
+        sets = [sorted(set(rng.sample(base, max(1, len(base) - rng.randint(0, 12))) + rng.sample(range(200), rng.randint(0, 12)))) for _ in range(6)]
+        groups = defaultdict(list)
+        for i, items in enumerate(sets):
+            for at, item in enumerate(items[: jaccard_join.prefix_length(len(items), 75)]):
+                groups[item].append((i, (len(items) << jaccard_join.PLACE_BITS) + at))
+        kept = {}
+        for item, members in groups.items():
+            found = jaccard_join.meeting(np.array([m[1] for m in members]), np.arange(len(members)), 75)
+            kept[item] = {m[0] for m, k in zip(members, found) if k}
+            ruled_out += int((~found).sum()) if len(members) > 1 else 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            shared = set(sets[i]) & set(sets[j])
+            if 100 * len(shared) >= 75 * len(set(sets[i]) | set(sets[j])):
+                links += 1
+                assert {i, j} <= kept[min(shared)]
+    assert links > 100 and ruled_out > 100
+
+
+def test_chance_meetings_are_not_carried_with_their_bitmaps(spark, monkeypatch):
+    """Texts that share one shingle, too late in each set for a link."""
+    rng, rolling = random.Random(29), Rolling()
+    passages = ("a common passage of words%d" % i for i in range(10_000))
+    passage = next(p for p in passages if 0.18 < int(jaccard_join.shingles(p, 5, rolling)[0]) / 2**64 < 0.19)
+    rows = [(i, " ".join([f"w{rng.random()}" for _ in range(rng.choice([300, 500, 900]))] + [passage])) for i in range(60)]
+    rows += [(100 + i, t + f" end{i}") for i, t in rows[:10]]
+    plain, carried = jaccard_join._group_pairs, []
+
+    def watched(members, *rest):
+        carried.append(members.count())
+        return plain(members, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_group_pairs", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard_join.near_copies(docs)) == brute_copies(rows)
+    shared = jaccard_join.shingles(passage, 5, rolling)[0]
+    sets = [jaccard_join.shingles(t, 5, rolling) for _, t in rows]
+    holders = sum(shared in s[: jaccard_join.prefix_length(len(s), 75)] for s in sets)
+    assert len(carried) == 2 and holders > 60 and carried[1] < 20

@@ -9,7 +9,8 @@ sizes. Pairs of nodes are descended together and dropped if the largest possible
 too small for any pair below.
 
 First each set goes to the groups of its few least shared shingles, then the groups that still hold
-several clusters are descended. A pair that bitmaps allow puts two clusters of its group together and pairs within a
+several clusters are descended, without the sets that no other of the group
+can be linked with, by the places that the shingle has in them. A pair that bitmaps allow puts two clusters of its group together and pairs within a
 cluster are skipped, so a crowd gives as many pairs as members and not all. A large group is cut into blocks by the
 hash of the set: blocks are descended one by one, then one member of each cluster of each block, and only groups that are
 not yet one cluster by then have their blocks meet in pairs. All links lie
@@ -81,6 +82,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+#: Bits of the place of a shingle in a set, below the set's size in one number.
+PLACE_BITS = 31
+
+
+def meeting(places: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a group may be linked with one of another part for which the group's shingle is the first they share.
+
+    ``places`` are sizes and places as ``PLACE_BITS`` has them. All that two sets share is from the first shared shingle
+    on, so as much as ``least_overlap`` asks for must be left there in both.
+    """
+    sizes, at = places >> PLACE_BITS, places & (1 << PLACE_BITS) - 1
+    reach = 100 * sizes - (100 + percent) * at
+    fits = percent * sizes[None, :] <= reach[:, None]
+    return (fits & fits.T & (parts[:, None] != parts[None, :])).any(axis=1)
+
+
 def bitmap(found: np.ndarray) -> bytes:
     """Bits of the hashes; as many as the size asks for, a power of two."""
     bits = 64 << max(0, (len(found) * 4 - 1).bit_length() - 6)
@@ -371,6 +388,32 @@ def _mixed(members: DataFrame) -> DataFrame:
     return ends.filter("low <> high").select("key")
 
 
+def _meeting(members: DataFrame, percent: int) -> DataFrame:
+    """``members``, ``key, sid, place, part``, of groups of at most ``GROUP``, without those that ``meeting`` rules out."""
+    ordered = members.repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key", "sid")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = rows.column(0).to_numpy()
+            # The last group may go on in the next batch.
+            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            whole = int(ends[-1]) if len(ends) else 0
+            yield from chosen(rows.slice(0, whole), ends)
+            rest = rows.slice(whole)
+        if rest is not None:
+            yield from chosen(rest, np.array([len(rest)]))
+
+    def chosen(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        places, parts = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+        starts = [0, *ends[:-1].tolist()]
+        kept = joined([meeting(places[a:b], parts[a:b], percent) for a, b in zip(starts, ends.tolist())], bool)
+        yield from rows.filter(pa.array(kept)).combine_chunks().to_batches()
+
+    return arrow_map(ordered, find, members.schema)
+
+
 def _group_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """``a, b``: pairs that put clusters ``part`` of the groups ``key, sid, n, part`` together, by bitmaps ``sid, bits``.
 
@@ -590,29 +633,35 @@ def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     frequent = _frequent(_prefixes(rows, words, percent, nothing))
     prefixes = staged(_prefixes(rows, words, percent, context.broadcast(frequent)), "prefixes")
 
-    exploded = prefixes.filter("keys IS NOT NULL").select("sid", "n", F.explode("keys").alias("key"))
+    exploded = prefixes.filter("keys IS NOT NULL").select("sid", "n", F.posexplode("keys").alias("place", "key"))
+    exploded = exploded.select("sid", "key", (F.shiftleft("n", PLACE_BITS) + F.col("place")).alias("place"))
     # Least and greatest have partial aggregates, so a shingle of very many sets is one row of each task.
     ends = exploded.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
     several = settled(ends.filter("low <> high").select("key"), "several")
     with configured(rows.sparkSession, PRUNED):
         # The filter says what all rows have, but lets Spark drop lone shingles by a Bloom filter before they are dealt.
         both = exploded.join(several.filter("key IS NOT NULL"), "key", "left_semi")
-        shared = settled(both.select("key", "sid", "n").distinct(), "shared")
+        shared = settled(both.select("key", "sid", "place").distinct(), "shared")
     bits = prefixes.filter("bits IS NOT NULL").join(shared.select("sid").distinct(), "sid", "left_semi")
     bits = staged(bits.groupBy("sid").agg(F.first("bits").alias("bits")), "bits")
 
-    first = shared.groupBy("sid", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
+    size = F.shiftright("place", PLACE_BITS).alias("n")
+    first = shared.groupBy("sid", size).agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("keys"))
     first = staged(first.select(F.explode("keys").alias("key"), "sid", "n", F.col("sid").alias("part")), "first")
     pairs = _group_pairs(first, bits, percent)
     clusters = components(pairs)
 
-    # Groups of several clusters; groups of the same sets are looked at once.
+    # Groups of several clusters, without the sets that none of another cluster can be linked with there; linked sets
+    # meet in the group of the first shingle that they share. Then groups of the same sets are looked at once.
     placed = settled(_parts_of(shared.withColumn("part", F.col("sid")), clusters), "placed")
-    mixed = placed.groupBy("key").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("who")
-    )
-    chosen = mixed.filter("low <> high").groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
-    chosen = staged(placed.join(settled(chosen, "chosen"), "key", "left_semi").select("key", "sid", "n", "part"), "second")
+    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"))
+    mixed = settled(ends.filter("low <> high").select("key", "members"), "mixed")
+    held = settled(placed.join(mixed, "key").select("key", "sid", "place", "part", "members"), "held")
+    large = held.filter(F.col("members") > GROUP).drop("members")
+    met = settled(_meeting(held.filter(F.col("members") <= GROUP).drop("members"), percent).union(large), "met")
+    alike = met.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("who"))
+    chosen = alike.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
+    chosen = staged(met.join(settled(chosen, "chosen"), "key", "left_semi").select("key", "sid", size, "part"), "second")
     more = _group_pairs(chosen, bits, percent)
     if not more.isEmpty():
         clusters = components(pairs.union(more))
